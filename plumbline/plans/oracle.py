@@ -45,6 +45,32 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id AS chunk_id, concat(2020 + k // 4, 'Q', k % 4 + 1) AS period, length(text) AS n_chars,
                lang AS page_kind, text
         FROM (SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) AS k FROM documents)"""),
+    "run": ((), """
+        SELECT question_id, category, period, expected_route,
+               CASE WHEN k % 11 <> 0 THEN expected_route WHEN expected_route = 'sql' THEN 'search_0' ELSE 'sql' END AS route,
+               CASE WHEN k % 7 = 0 THEN concat(m0, ';0.05') WHEN k % 17 = 0 THEN '见原文' ELSE concat(m0, ';', c) END
+                 AS expected_answer,
+               CASE WHEN k % 5 = 0 THEN concat(m5, ' / ', c) WHEN k % 8 = 0 THEN concat(m0, ' / ', m9)
+                    WHEN k % 7 = 0 THEN concat(m0, ' / ', m5) ELSE concat(m0, ' / ', c) END AS answer,
+               page AS expected_page,
+               CASE WHEN k % 4 = 0 THEN [beside] WHEN k % 6 = 1 THEN [page, '1999Q1-P01'] ELSE [beside, page] END AS sources,
+               CASE WHEN k % 10 = 0 THEN 1 WHEN k % 10 = 3 THEN 2 ELSE 0 END AS n_warnings,
+               CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS n_trace
+        FROM (SELECT *, k AS question_id, o_custkey % 97 AS c,
+                     CASE WHEN k % 9 = 0 THEN 'refuse' WHEN k % 9 <= 2 THEN 'search' WHEN k % 9 = 3 THEN 'clarify' ELSE 'sql' END
+                       AS expected_route,
+                     concat(h // 100, '.', lpad(CAST(h % 100 AS VARCHAR), 2, '0')) AS m0,
+                     concat((h + 5) // 100, '.', lpad(CAST((h + 5) % 100 AS VARCHAR), 2, '0')) AS m5,
+                     concat((h + 9) // 100, '.', lpad(CAST((h + 9) % 100 AS VARCHAR), 2, '0')) AS m9,
+                     concat(period, '-P', lpad(CAST(nk + 1 AS VARCHAR), 2, '0')) AS page,
+                     concat(period, '-P', lpad(CAST((nk + 2) % 25 + 1 AS VARCHAR), 2, '0')) AS beside
+              FROM (SELECT o_orderkey AS k, o_custkey, o_orderpriority AS category, c_nationkey AS nk,
+                           concat(year(o_orderdate), 'Q', quarter(o_orderdate)) AS period,
+                           CAST(round(o_totalprice * 100) AS BIGINT) // 100000 AS h
+                    FROM orders JOIN customer ON o_custkey = c_custkey))"""),
+    "trial": ((), """
+        SELECT l_orderkey AS question_id, l_linenumber AS position, l_suppkey % 5 + 1 AS pages, l_quantity >= 13 AS ok
+        FROM lineitem"""),
     "query": ((), """
         SELECT item_id AS query_id,
                array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:4], ' ') AS phrase

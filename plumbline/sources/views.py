@@ -126,3 +126,58 @@ def query(t: Tables) -> DataFrame:
     """query(query_id, phrase): the first four words of each benchmark item."""
     words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4)
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("phrase"))
+
+
+def run(t: Tables) -> DataFrame:
+    """One recorded run row per order: expected against given route, answer and sources.
+
+    Deterministic slips are spread over the keys so that every verdict occurs.
+    """
+    base = t.orders.select(
+        F.col("o_orderkey").alias("question_id"),
+        "o_custkey",
+        period_of(F.col("o_orderdate")).alias("period"),
+        F.col("o_orderpriority").alias("category"),
+        F.expr("cast(round(o_totalprice * 100) as bigint) div 100000").alias("h"),
+    ).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nk")), "o_custkey")
+    k = F.col("question_id")
+
+    def money(h):
+        return F.concat(F.expr(f"({h}) div 100").cast("string"), F.lit("."), F.lpad(F.expr(f"({h}) % 100").cast("string"), 2, "0"))
+
+    expected_route = F.when(k % 9 == 0, "refuse").when(k % 9 <= 2, "search").when(k % 9 == 3, "clarify").otherwise("sql")
+    page = page_id(F.col("period"), F.col("nk") + 1)
+    beside = page_id(F.col("period"), (F.col("nk") + 2) % 25 + 1)
+    return base.select(
+        "question_id",
+        "category",
+        "period",
+        expected_route.alias("expected_route"),
+        F.when(k % 11 != 0, expected_route).when(expected_route == "sql", "search_0").otherwise("sql").alias("route"),
+        F.when(k % 7 == 0, F.concat(money("h"), F.lit(";0.05")))
+        .when(k % 17 == 0, F.lit("见原文"))
+        .otherwise(F.concat(money("h"), F.lit(";"), (F.col("o_custkey") % 97).cast("string")))
+        .alias("expected_answer"),
+        F.when(k % 5 == 0, F.concat(money("h + 5"), F.lit(" / "), (F.col("o_custkey") % 97).cast("string")))
+        .when(k % 8 == 0, F.concat(money("h"), F.lit(" / "), money("h + 9")))
+        .when(k % 7 == 0, F.concat(money("h"), F.lit(" / "), money("h + 5")))
+        .otherwise(F.concat(money("h"), F.lit(" / "), (F.col("o_custkey") % 97).cast("string")))
+        .alias("answer"),
+        page.alias("expected_page"),
+        F.when(k % 4 == 0, F.array(beside))
+        .when(k % 6 == 1, F.array(page, F.lit("1999Q1-P01")))
+        .otherwise(F.array(beside, page))
+        .alias("sources"),
+        F.when(k % 10 == 0, 1).when(k % 10 == 3, 2).otherwise(0).alias("n_warnings"),
+        F.when(k % 6 == 0, 1).otherwise(0).alias("n_trace"),
+    )
+
+
+def trial(t: Tables) -> DataFrame:
+    """Repeated trials of a question: position, number of pages shown, and whether it was right."""
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("question_id"),
+        F.col("l_linenumber").alias("position"),
+        (F.col("l_suppkey") % 5 + 1).alias("pages"),
+        (F.col("l_quantity") >= 13).alias("ok"),
+    )
