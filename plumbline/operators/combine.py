@@ -68,8 +68,13 @@ def explain_differences(rows: DataFrame, missing: str, have: str) -> DataFrame:
     ).withColumn("still_missing", F.transform(F.filter("_d", lambda s: s["low"].isNull()), lambda s: s["number"])).drop("_d")
 
 
+def _lists(*legs: DataFrame) -> list[DataFrame]:
+    return [leg.select("query_id", "id", "rank") for leg in legs]
+
+
 def fill(keyword: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
     """Keyword hits first; the vector leg fills the empty slots up to ``k``. Legs: (query_id, id, rank)."""
+    keyword, vector = _lists(keyword, vector)
     both = keyword.withColumn("leg", F.lit(0)).unionByName(vector.withColumn("leg", F.lit(1)))
     first = both.groupBy("query_id", "id").agg(F.min(F.struct("leg", "rank")).alias("o"))
     w = W.partitionBy("query_id").orderBy("o.leg", "o.rank")
@@ -85,6 +90,7 @@ def intersect(keyword: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
 
 def union_top(keyword: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
     """Both top-k lists, duplicates once: at most 2k ids."""
+    keyword, vector = _lists(keyword, vector)
     both = keyword.filter(F.col("rank") <= k).withColumn("leg", F.lit(0)).unionByName(
         vector.filter(F.col("rank") <= k).withColumn("leg", F.lit(1))
     )

@@ -68,3 +68,13 @@ def broadcast_if_small(
     n, n_bytes = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     small = n <= max_rows and n_bytes <= max_bytes
     return (F.broadcast(df) if small else df), small
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use the whole cluster for work that is heavy per row.
+
+    A scan with fewer splits than cores (a small or single-row-group file) is dealt out;
+    a scan that already has many splits stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
