@@ -141,7 +141,7 @@ def choose_field(asks: DataFrame, ranked: DataFrame) -> DataFrame:
     got = asks.join(ranked, ["period", "entity"], "left")
     value = (
         F.when(F.col("field") == "rank", F.col("row_no").cast("string"))
-        .when(F.col("field") == "score", F.format_string("%.2f", F.col("score").cast("double")))
+        .when((F.col("field") == "score") & F.col("score").isNotNull(), F.format_string("%.2f", F.col("score").cast("double")))
         .when(F.col("field") == "source", F.col("source"))
         .when(F.col("field") == "entity_n", F.col("group_n").cast("string"))
     )

@@ -181,3 +181,42 @@ def trial(t: Tables) -> DataFrame:
         (F.col("l_suppkey") % 5 + 1).alias("pages"),
         (F.col("l_quantity") >= 13).alias("ok"),
     )
+
+
+def raw_page(t: Tables) -> DataFrame:
+    """raw_page(period, page_no, raw): every document as a page of its source's quarter."""
+    k = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return t.documents.select(
+        F.concat((F.lit(2020) + F.floor(k / 4)).cast("string"), F.lit("Q"), (k % 4 + 1).cast("string")).alias("period"),
+        F.col("doc_id").alias("page_no"),
+        F.col("text").alias("raw"),
+    )
+
+
+def score_page(t: Tables) -> DataFrame:
+    """score_page(period, page_no, raw): the printed form of a period's score table.
+
+    Scores, then the average, then the names in the same order. A page lists one period's entities.
+    """
+    row = F.struct((-F.col("score")).alias("s"), "entity")
+    pages = score(t).groupBy("period").agg(
+        F.sort_array(F.collect_list(row)).alias("r"), F.round(F.sum("score") / F.count(F.lit(1)), 2).alias("m"))
+    return pages.select(
+        "period",
+        F.lit(9).alias("page_no"),
+        F.concat(
+            F.lit("9\n页\n第\n"), F.array_join(F.transform("r", lambda x: (-x["s"]).cast("string")), " "),
+            F.lit("\n平均, "), F.col("m").cast("decimal(6,2)").cast("string"), F.lit("\n"),
+            F.array_join(F.transform("r", lambda x: x["entity"]), "\n"), F.lit("\nCopyright, All rights reserved"),
+        ).alias("raw"),
+    )
+
+
+def tier_page(t: Tables) -> DataFrame:
+    """tier_page(source, period, raw): the printed form of one tier of one period."""
+    r = tier(t).groupBy("period", "tier", "tier_avg").agg(F.sort_array(F.collect_list("entity")).alias("e"))
+    return r.select(
+        F.concat("period", F.lit("-P"), F.translate("tier", " ", "")).alias("source"),
+        "period",
+        F.concat(F.lit("— "), "tier", F.lit(" 机场综合得分\n"), F.col("tier_avg").cast("string"), F.lit(" 平均\n"), F.array_join("e", "\n")).alias("raw"),
+    )
