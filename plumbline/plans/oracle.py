@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.sources.views import NUMERAL_WORDS, TEMPLATES, pieces
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "cells": ((), """
         SELECT concat(year(o_orderdate), 'Q', quarter(o_orderdate)) AS period, c_nationkey AS nk,
@@ -78,6 +80,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _question() -> str:
+    cases = []
+    for i, template in enumerate(TEMPLATES):
+        filled = ", ".join(x[1:-1] if x.startswith("{") else f"'{x}'" for x in pieces(template))
+        cases.append(f"WHEN kind = {i} THEN concat({filled})")
+    return f"""SELECT *, CASE {' '.join(cases)} END AS text FROM (
+        SELECT o_orderkey AS question_id, CAST(o_orderkey % 25 AS INT) AS kind, n_name AS e, concat('NATION_', (n_nationkey + 7) % 25) AS e2,
+               concat(year(o_orderdate), 'Q', quarter(o_orderdate)) AS p, concat(year(o_orderdate) - 1, 'Q', quarter(o_orderdate)) AS p2,
+               o_orderpriority AS m, r_name AS t, CAST(o_orderkey // 25 % 9 + 1 AS VARCHAR) AS n,
+               '{NUMERAL_WORDS}'[o_orderkey // 25 % 9 + 1] AS cn, CAST(n_nationkey AS VARCHAR) AS nk
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+CTES["question"] = ((), _question())
+
+
 def oracle(views: str, body: str, **extra: str) -> str:
     """``WITH`` the named views (and what they need), then any extra CTEs, then the body."""
     order: list[str] = []

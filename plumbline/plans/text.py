@@ -50,7 +50,7 @@ def cln_merge_wraps(t):
 @plan("cln_glyphs")
 def cln_glyphs(t):
     """CLN-3: private-use glyphs without a mapping; every tenth document gets one known and one unknown glyph."""
-    glyph = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(""))).otherwise(F.col("text"))
+    glyph = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\uf06c\ue123"))).otherwise(F.col("text"))
     return C.unmapped_glyphs(t.documents.select("doc_id", glyph.alias("raw")), "doc_id").withColumn("glyph", F.hex(F.encode("glyph", "UTF-16BE")))
 
 
@@ -262,7 +262,7 @@ def ext_answer_numbers(t):
 
 @plan("ext_cited_ids", oracle("run", """
     SELECT question_id, array_to_string(list_concat([expected_page], list_filter(sources, lambda s: s <> expected_page)), ' ') AS named,
-           array_to_string(sources, ' ') AS cited FROM run"""))
+           array_to_string(list_filter(sources, lambda s, i: list_position(sources, s) = i), ' ') AS cited FROM run"""))
 def ext_cited_ids(t):
     """EXT-14/15: page ids anywhere in a text, and those inside citation brackets."""
     text = F.concat("expected_page", F.lit(" 见（出处: "), F.array_join("sources", " / "), F.lit("）"))

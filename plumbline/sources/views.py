@@ -220,3 +220,43 @@ def tier_page(t: Tables) -> DataFrame:
         "period",
         F.concat(F.lit("— "), "tier", F.lit(" 机场综合得分\n"), F.col("tier_avg").cast("string"), F.lit(" 平均\n"), F.array_join("e", "\n")).alias("raw"),
     )
+
+
+# Question wordings; the order key picks one, the order fills it. {e}/{e2} entities, {p}/{p2} periods, {m} metric,
+# {t} tier, {n}/{cn} a count in digits and as a numeral, {nk} the number in an entity's name.
+TEMPLATES = (
+    "{p}{e}的综合得分是多少", "{p}{e}的{m}得分是多少", "{p}前{n}名是哪些", "{p}{e}属于哪个档", "{p}样本量是多少",
+    "{p}{t}平均得分是多少", "{p}{t}的有谁，得分多少", "{e}{p}各项得分", "{p}最低得分是谁", "最新一期{e}得分多少",
+    "{e}近{cn}期排名", "{p}的上一期{e}综合得分是多少", "{p}和上一期{e}的得分变化", "{p}报告里{e}的背景介绍", "1990Q1{e}得分多少",
+    "为什么{e}的{m}下降", "{p}{e}与{p2}{e2}相差多少", "{p}{e}和{e2}谁的总分高", "{e}表现如何", "2024年度报告里说了什么背景",
+    "{p}第3页为什么没进库", "{p}光明国际机场得分多少", "{p}{e}的靠桥率是多少", "{p}NA得分多少", "{p}ON_{nk}得分多少",
+)
+NUMERAL_WORDS = "一二三四五六七八九"
+
+
+def question(t: Tables) -> DataFrame:
+    """question(question_id, kind, text) and the parts it was filled with."""
+    k = F.col("o_orderkey")
+    base = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(
+        t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    n = (F.floor(k / 25) % 9 + 1).cast("int")
+    parts = base.select(
+        k.alias("question_id"), (k % 25).cast("int").alias("kind"), F.col("n_name").alias("e"),
+        F.concat(F.lit("NATION_"), ((F.col("n_nationkey") + 7) % 25).cast("string")).alias("e2"),
+        period_of(F.col("o_orderdate")).alias("p"),
+        F.concat((F.year("o_orderdate") - 1).cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("p2"),
+        F.col("o_orderpriority").alias("m"), F.col("r_name").alias("t"), n.cast("string").alias("n"),
+        F.substring(F.lit(NUMERAL_WORDS), n, F.lit(1)).alias("cn"), F.col("n_nationkey").cast("string").alias("nk"),
+    )
+    text = None
+    for i, template in enumerate(TEMPLATES):
+        filled = F.concat(*[F.col(x[1:-1]) if x.startswith("{") else F.lit(x) for x in pieces(template)])
+        text = F.when(F.col("kind") == i, filled) if text is None else text.when(F.col("kind") == i, filled)
+    return parts.withColumn("text", text)
+
+
+def pieces(template: str) -> list[str]:
+    """A template cut into literal parts and ``{placeholders}``."""
+    import re
+
+    return [x for x in re.split(r"(\{\w+\})", template) if x]
