@@ -91,12 +91,12 @@ def stated_periods(text: Column, cal: Column) -> Column:
     )
 
 
-def relative_periods(text: Column, cal: Column, reference: Column, this_year: int) -> Column:
+def relative_periods(text: Column, cal: Column, reference: Column, this_year: int, explicit: Column | None = None) -> Column:
     """Previous / next / last year / recent N / latest, against the last written period or else the reference.
 
     Neighbours are taken in the observed sequence. ``this_year`` replaces the wall clock.
     """
-    explicit = stated_periods(text, cal)["values"]
+    explicit = stated_periods(text, cal)["values"] if explicit is None else explicit
     ref = F.coalesce(F.get(explicit, F.size(explicit) - 1), reference)
     at = F.array_position(cal, ref)
     year = F.coalesce(F.substring(ref, 1, 4).cast("int"), F.lit(this_year)) - 1
@@ -138,7 +138,7 @@ def period_plan(questions: DataFrame, periods: DataFrame, this_year: int, refere
         relation = F.when(text.rlike(pattern), name) if relation is None else relation.when(text.rlike(pattern), name)
     staged = with_calendar(questions, periods).withColumn("explicit", stated_periods(text, cal)["values"]).withColumn("relation", relation)
     staged = staged.withColumn("refs", F.when(F.col("relation").isNull(), _none()).otherwise(F.filter("explicit", lambda p: as_reference(F.col("text"), p))))
-    staged = staged.withColumn("derived", relative_periods(text, cal, F.coalesce(F.get("refs", F.size("refs") - 1), ref), this_year)["values"])
+    staged = staged.withColumn("derived", relative_periods(text, cal, F.coalesce(F.get("refs", F.size("refs") - 1), ref), this_year, F.col("explicit"))["values"])
     targets = F.when(F.col("relation").isNull(), F.col("explicit")).otherwise(
         F.array_distinct(F.concat(F.array_except("explicit", "refs"), "derived")))
     return staged.withColumn("targets", targets).drop("calendar", "derived")

@@ -12,6 +12,7 @@ from plumbline.operators import ranking as R
 from plumbline.plans.oracle import half_up, oracle
 from plumbline.plans.ranking import DEV, dbl
 from plumbline.plans.registry import plan
+from plumbline.session import durable
 from plumbline.sources import views as V
 
 TAILS = (5, 6)
@@ -24,14 +25,14 @@ def labelled(t):
     s = V.score(t).select("period", "entity")
     metrics = V.metric_score(t).select("metric").distinct()
     names = V.members(t).select("entity")
-    q = V.question(t).select("question_id", "kind", "text")
-    return L.label_questions(q, s, names, metrics, V.members(t), YEAR, TAILS, TIER_WORD)
+    q = durable(V.question(t).select("question_id", "kind", "text"))  # every label reads it
+    return durable(L.label_questions(q, s, names, metrics, V.members(t), YEAR, TAILS, TIER_WORD))
 
 
 def routed(t):
     known = V.score(t).select("period")
     out = L.route(labelled(t), known, known.filter("period >= '1998Q1'"))
-    return L.apply_gates(out, L.refusals(out, KNOWN).filter("reason is not null"))
+    return durable(L.apply_gates(out, L.refusals(out, KNOWN).filter("reason is not null")))  # every kind of answer reads it
 
 
 LABELS = {
@@ -90,14 +91,14 @@ def lab_relative_periods(t):
 @plan("lab_entities", lab("SELECT question_id, array_to_string(entities, '/') AS entities, entity_status AS status FROM lab2"))
 def lab_entities(t):
     """LAB-5, JON-7: full names, endings, city prefixes; ambiguous never resolves."""
-    q = V.question(t).select("question_id", "text")
+    q = durable(V.question(t).select("question_id", "text"))
     return L.link_entity(q, V.members(t).select("entity"), TAILS).select("question_id", F.array_join("entities", "/").alias("entities"), "status")
 
 
 @plan("lab_all_mentions", lab("SELECT question_id, array_to_string(entities, '/') AS entities FROM lab2 WHERE len(entities) > 0"))
 def lab_all_mentions(t):
     """LAB-6: all entities, longest first without overlap, in text order."""
-    q = V.question(t).select("question_id", "text")
+    q = durable(V.question(t).select("question_id", "text"))
     return L.all_mentions(q, V.members(t).select("entity"), TAILS).select("question_id", F.array_join("entities", "/").alias("entities"))
 
 
@@ -180,7 +181,7 @@ def lab_ambiguous_extreme(t):
 
 
 @plan("lab_headline_default", lab("""
-    SELECT question_id, CASE WHEN kind IN (0, 11, 17) THEN 'explicit' WHEN kind IN (2, 6, 8, 10, 12, 16) THEN 'ranked'
+    SELECT question_id, CASE WHEN kind IN (0, 11, 17) THEN 'explicit' WHEN kind IN (2, 3, 6, 8, 10, 12, 16) THEN 'ranked'
         WHEN kind = 18 THEN 'default' WHEN kind IN (1, 7, 9, 14, 23, 24, 21, 5) THEN (CASE WHEN kind IN (7, 5, 21) THEN 'cannot_tell' ELSE 'explicit' END)
         ELSE 'cannot_tell' END AS headline FROM lab2"""))
 def lab_headline_default(t):
@@ -284,10 +285,10 @@ def lab_comparison_lines(t):
 
 
 @plan("lab_lookup_outcome", lab("""
-    SELECT question_id, CASE WHEN n > 0 THEN 'ok' WHEN route = 'refuse' AND reason = 'no period' THEN 'incomplete' WHEN route = 'refuse' THEN 'not covered'
+    SELECT question_id, CASE WHEN k_lines > 0 THEN 'ok' WHEN route = 'refuse' AND reason = 'no period' THEN 'incomplete' WHEN route = 'refuse' THEN 'not covered'
            WHEN route <> 'sql' OR kind = 23 OR (kind = 24 AND len(entities) = 0) THEN 'cannot answer' ELSE 'nothing found' END AS status,
            array_to_string(targets, '/') AS used_periods, array_to_string(entities, '/') AS used_entities, metric AS used_metric
-    FROM gated LEFT JOIN (SELECT question_id, count(*) AS n FROM ans GROUP BY 1) USING (question_id)""", VIEWS, **ANSWERS))
+    FROM gated LEFT JOIN (SELECT question_id, count(*) AS k_lines FROM ans GROUP BY 1) USING (question_id)""", VIEWS, **ANSWERS))
 def lab_lookup_outcome(t):
     """LAB-22: status of every lookup with the parameters it used."""
     out = routed(t)

@@ -226,7 +226,7 @@ def tier_page(t: Tables) -> DataFrame:
 # {t} tier, {n}/{cn} a count in digits and as a numeral, {nk} the number in an entity's name.
 TEMPLATES = (
     "{p}{e}的综合得分是多少", "{p}{e}的{m}得分是多少", "{p}前{n}名是哪些", "{p}{e}属于哪个档", "{p}样本量是多少",
-    "{p}{t}平均得分是多少", "{p}{t}的有谁，得分多少", "{e}{p}各项得分", "{p}最低得分是谁", "最新一期{e}得分多少",
+    "{p}{t}平均得分是多少", "{p}{t}的有谁，得分多少", "{e}在{p}各项得分", "{p}最低得分是谁", "最新一期{e}得分多少",
     "{e}近{cn}期排名", "{p}的上一期{e}综合得分是多少", "{p}和上一期{e}的得分变化", "{p}报告里{e}的背景介绍", "1990Q1{e}得分多少",
     "为什么{e}的{m}下降", "{p}{e}与{p2}{e2}相差多少", "{p}{e}和{e2}谁的总分高", "{e}表现如何", "2024年度报告里说了什么背景",
     "{p}第3页为什么没进库", "{p}光明国际机场得分多少", "{p}{e}的靠桥率是多少", "{p}NA得分多少", "{p}ON_{nk}得分多少",
