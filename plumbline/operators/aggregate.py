@@ -177,7 +177,7 @@ def constrained_weights(wide: DataFrame, metrics: list[str], target: str = "scor
     gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], dtype=float)
     a, b, yy, n = gram[:k, :k], gram[:k, k], gram[k, k], row["n"]
     w = np.linalg.solve(a, b)
-    rss = float(yy - w @ b)
+    rss = max(float(yy - w @ b), 0.0)
     cov = np.linalg.inv(a) * (rss / (n - k))
     se = np.append(np.sqrt(np.diag(cov)), np.sqrt(cov.sum()))
     weights = np.append(w, 1 - w.sum())

@@ -65,7 +65,8 @@ def phrase_positions(
     rest = (F.length("needle") <= WINDOW) | F.expr("substring(hay, p + 1, length(needle)) = needle")
     out = ("text_id", "phrase_id", (F.col("p") + 1).alias("pos"), F.length("needle").alias("len"))
     windows = hay.select("text_id", "hay", F.posexplode(_windows(F.col("hay"))).alias("p", "win"))
-    head = heads[0] if len(heads) == 1 else F.explode(F.array(*heads))
+    # at the end of a text the heads of several lengths are one
+    head = heads[0] if len(heads) == 1 else F.explode(F.array_distinct(F.array(*heads)))
     if n <= max_rows and n_bytes <= max_bytes:
         return windows.select("*", head.alias("head")).join(F.broadcast(needles), "head").filter(begins & rest).select(*out)
     unfolded = windows.select("text_id", "p", "win", head.alias("head"))

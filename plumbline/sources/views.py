@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.periods import page_id, period_of
+from plumbline.session import spread
 from plumbline.sources.tables import Tables
 
 SCORE_SCALE = 100_000
@@ -133,7 +134,7 @@ def run(t: Tables) -> DataFrame:
 
     Deterministic slips are spread over the keys so that every verdict occurs.
     """
-    base = t.orders.select(
+    base = spread(t.orders).select(
         F.col("o_orderkey").alias("question_id"),
         "o_custkey",
         period_of(F.col("o_orderdate")).alias("period"),
@@ -186,7 +187,7 @@ def trial(t: Tables) -> DataFrame:
 def raw_page(t: Tables) -> DataFrame:
     """raw_page(period, page_no, raw): every document as a page of its source's quarter."""
     k = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
-    return t.documents.select(
+    return spread(t.documents).select(
         F.concat((F.lit(2020) + F.floor(k / 4)).cast("string"), F.lit("Q"), (k % 4 + 1).cast("string")).alias("period"),
         F.col("doc_id").alias("page_no"),
         F.col("text").alias("raw"),
@@ -237,7 +238,7 @@ NUMERAL_WORDS = "一二三四五六七八九"
 def question(t: Tables) -> DataFrame:
     """question(question_id, kind, text) and the parts it was filled with."""
     k = F.col("o_orderkey")
-    base = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(
+    base = spread(t.orders).join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     n = (F.floor(k / 25) % 9 + 1).cast("int")
     parts = base.select(
