@@ -147,3 +147,67 @@ def drift(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
         F.when(F.col("recorded").isNull(), "new").when(F.col("now").isNull(), "gone")
         .when(F.col("recorded") == F.col("now"), "same").otherwise("drifted"),
     )
+
+
+def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFrame, meta: DataFrame) -> DataFrame:
+    """The numbers each citation clause points at: (question_id, clause_no, numbers), NULL numbers when nothing is there.
+
+    Clauses name a table and its keys; ``字段=排名`` asks for the rank and ``取前=N`` for the first N scores.
+    """
+    f = lambda k: F.col("fields")[k]
+    c = clauses.filter("error is null").select(
+        "question_id", "clause_no", f("表").alias("tbl"), f("期次").alias("period"), f("机场").alias("entity"), f("指标").alias("metric"),
+        f("字段").alias("field"), f("取前").cast("int").alias("n"))
+    text = lambda x: F.array(canonical_numbers(x.cast("string"))[0])
+    key = ["question_id", "clause_no"]
+    one = c.filter("tbl = '综合得分' and n is null").join(ranked.drop("source"), ["period", "entity"]).select(
+        *key, F.when(F.col("field") == "排名", text(F.col("row_no"))).otherwise(text(F.col("score"))).alias("numbers"))
+    top = c.filter("tbl = '综合得分' and n is not null").drop("entity").join(ranked, "period").filter("row_no <= n").groupBy(*key).agg(
+        F.flatten(F.collect_list(text(F.col("score")))).alias("numbers"))  # at most n
+    part = c.filter("tbl = '指标得分'").join(metric_score, ["period", "metric", "entity"]).select(*key, text(F.col("score")).alias("numbers"))
+    whole = c.filter("tbl = 'meta'").join(meta, "period").select(
+        *key, F.concat(*[text(F.col(x)) for x in ("sample_n", "entity_n", "l1_n", "l2_n")]).alias("numbers"))
+    found = one.unionByName(top).unionByName(part).unionByName(whole)
+    return c.select(*key).join(found, key, "left")
+
+
+def verify_keys(questions: DataFrame, clauses: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """Verdict on every answer key: ok, mismatch, format, citation, to fill, or not machine-checkable.
+
+    ``questions(question_id, expected_route, expected_answer, refusal_reason)``.
+    """
+    errors = clauses.groupBy("question_id").agg(F.min("error").alias("error"))
+    have = looked_up.groupBy("question_id").agg(
+        F.flatten(F.collect_list("numbers")).alias("have"), F.bool_or(F.col("numbers").isNull()).alias("lost"))  # a citation's few clauses
+    want = answer_numbers(F.col("expected_answer"))
+    refuse = F.col("expected_route") == "refuse"
+    blank = lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) == ""
+    rows = questions.join(errors, "question_id", "left").join(have, "question_id", "left").withColumn("want", want)
+    return rows.select(
+        "question_id",
+        F.when(blank("expected_route"), "to fill")
+        .when(refuse & blank("refusal_reason"), "to fill")
+        .when(refuse & (F.size("want") > 0), "format")
+        .when(refuse, "ok")
+        .when(F.col("error").isNotNull(), "format")
+        .when(F.coalesce("lost", F.lit(True)), "citation")
+        .when(F.size("want") == 0, "not machine-checkable")
+        .when(covered_by(F.col("want"), F.col("have")), "ok")
+        .otherwise("mismatch").alias("verdict"))
+
+
+def challenge_set(chunks: DataFrame, pattern: str, seed: str, n: int, max_pages: int = 3) -> DataFrame:
+    """A seeded challenge set: ``n`` distinctive phrases as real questions and a falsified counterpart for each.
+
+    A phrase is distinctive when it occurs on at most ``max_pages`` pages. The sample is the first ``n`` in the order of a
+    seeded hash, so it does not depend on partitioning.
+    """
+    seen = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("phrase"))
+    rare = seen.groupBy("phrase").agg(F.count(F.lit(1)).alias("pages"), F.min("chunk_id").alias("expected_page")).filter(F.col("pages") <= max_pages)
+    order = F.md5(F.concat_ws("|", F.lit(seed), "phrase").cast("binary"))
+    picked = rare.orderBy(order, "phrase").limit(n)
+    fake = F.concat(F.reverse("phrase"), F.lit("qx"))
+    kinds = F.array(
+        F.struct(F.lit("real").alias("category"), F.concat("phrase", F.lit("说的是什么")).alias("question"), F.col("expected_page").alias("expected_page")),
+        F.struct(F.lit("false").alias("category"), F.concat(fake, F.lit("说的是什么")).alias("question"), F.lit(None).cast("bigint").alias("expected_page")))
+    return picked.select("phrase", "pages", F.inline(kinds))
