@@ -47,7 +47,7 @@ def cln_merge_wraps(t):
     return t.documents.select("doc_id", F.md5(text.cast("binary")).alias("clean"), F.length(text).alias("n_chars"))
 
 
-@plan("cln_glyphs")
+@plan("cln_glyphs", oracle("", "SELECT doc_id, 'E123' AS glyph, 1 AS n FROM documents WHERE doc_id % 10 = 0"))
 def cln_glyphs(t):
     """CLN-3: private-use glyphs without a mapping; every tenth document gets one known and one unknown glyph."""
     glyph = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\uf06c\ue123"))).otherwise(F.col("text"))
@@ -71,9 +71,10 @@ def cln_repair_score_table(t):
     return V.score_page(t).select("period", C.repair_score_table(F.col("raw"), NAME).alias("lines"))
 
 
-@plan("cln_join_vertical")
+@plan("cln_join_vertical", oracle("", """
+    SELECT c_custkey, concat('深圳宝安', chr(10), n_name) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey"""))
 def cln_join_vertical(t):
-    """CLN-7: one character per line becomes a word; the letters of each nation's index are typeset vertically."""
+    """CLN-7: one character per line becomes a word; a Latin neighbour keeps its line."""
     tall = F.concat(F.lit("深\n圳\n宝 \n 安"), F.lit("\n"), F.col("n_name"))
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", C.join_vertical(tall).alias("text"))
 
