@@ -126,14 +126,24 @@ def catalogs(**columns: DataFrame) -> DataFrame:
 
 
 def field_catalog(tables: dict[str, DataFrame], dimensions: set[str]) -> DataFrame:
-    """What can be asked, read from the schemas: measures are columns that are not dimensions."""
+    """What can be asked, read from the schemas, and how many values stand behind each field.
+
+    Measures are columns that are not dimensions; a table without ``entity`` holds entity-independent fields.
+    """
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (table, f.name, f.dataType.simpleString(), f.name not in dimensions, "entity" in df.columns)
         for table, df in tables.items()
         for f in df.schema.fields
     ]
-    return spark.createDataFrame(rows, "table string, field string, type string, is_measure boolean, per_entity boolean")
+    fields = spark.createDataFrame(rows, "table string, field string, type string, is_measure boolean, per_entity boolean")
+    counts = None
+    for table, df in tables.items():
+        sums = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_values")) for c in df.columns])
+        part = sums.select(F.lit(table).alias("table"), F.inline(pairs))
+        counts = part if counts is None else counts.unionByName(part)
+    return fields.join(counts, ["table", "field"])
 
 
 def choose_field(asks: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -142,11 +142,22 @@ def flt_choose_field(t):
     return L.choose_field(wanted, R.rank_table(V.score(t)))
 
 
-@plan("flt_field_catalog")
+def _fields(table: str, names: str, measures: str, per_entity: str) -> str:
+    listed = names.split()
+    marks = ", ".join(str(n in measures.split()).lower() for n in listed)
+    quoted = ", ".join(f"'{n}'" for n in listed)
+    return f"SELECT '{table.removesuffix('_q')}' AS \"table\", unnest([{quoted}]) AS field, unnest([{marks}]) AS is_measure, {per_entity} AS per_entity, (SELECT count(*) FROM {table}) AS n_values"
+
+
+@plan("flt_field_catalog", oracle("score metric_score tier period_meta_q", " UNION ALL ".join([
+    _fields("score", "period entity score source", "score", "true"),
+    _fields("metric_score", "period metric entity score source", "score", "true"),
+    _fields("tier", "period entity tier tier_avg source", "tier_avg", "true"),
+    _fields("period_meta_q", "period sample_n entity_n l1_n l2_n basis_version", "sample_n entity_n l1_n l2_n basis_version", "false")])))
 def flt_field_catalog(t):
     """FLT-13: what can be asked, from the schemas of the derived tables."""
     return L.field_catalog({"score": V.score(t), "metric_score": V.metric_score(t), "tier": V.tier(t), "period_meta": V.period_meta_q(t)},
-                           {"period", "entity", "metric", "tier", "source"})
+                           {"period", "entity", "metric", "tier", "source"}).drop("type")
 
 
 @plan("src_value_set", oracle("", """
