@@ -49,7 +49,7 @@ def gram_statistics(chunks: DataFrame, n: int = 3) -> DataFrame:
 def corpus_size(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in trigrams."""
     return chunks.agg(
-        F.count(F.lit(1)).alias("n_docs"), (F.sum(F.greatest(F.length("text") - 2, F.lit(0))) / F.count(F.lit(1))).alias("avgdl")
+        F.count(F.lit(1)).alias("n_docs"), (F.sum(F.greatest(F.col("n_chars") - 2, F.lit(0))) / F.count(F.lit(1))).alias("avgdl")
     )
 
 
@@ -61,14 +61,14 @@ def bm25(tf: Column, df: Column, dl: Column, n_docs: Column, avgdl: Column) -> C
 def phrase_scores(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase_id, id, period, bm25) of every chunk that contains the phrase.
 
-    ``chunks(chunk_id, period, text)``; ``phrases(phrase_id, phrase)``. Document frequencies are
+    ``chunks(chunk_id, period, n_chars, text)``; ``phrases(phrase_id, phrase)``. Document frequencies are
     counted over the whole index, before any period filter.
     """
     texts = chunks.select(F.col("chunk_id").alias("text_id"), "text")
-    tf = phrase_counts(spread(texts), phrases)
+    tf = durable(phrase_counts(spread(texts), phrases))  # read twice below; the corpus is unfolded once
     df = tf.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("df"))
     facts = chunks.select(
-        F.col("chunk_id").alias("text_id"), "period", F.greatest(F.length("text") - 2, F.lit(0)).alias("dl")
+        F.col("chunk_id").alias("text_id"), "period", F.greatest(F.col("n_chars") - 2, F.lit(0)).alias("dl")
     )
     size = F.broadcast(corpus_size(chunks))  # one row
     scored = tf.join(facts, "text_id").join(df, "phrase_id").join(size)

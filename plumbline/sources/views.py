@@ -117,7 +117,7 @@ def chunk(t: Tables) -> DataFrame:
         F.concat(
             (F.lit(2020) + F.floor(k / 4)).cast("string"), F.lit("Q"), (k % 4 + 1).cast("string")
         ).alias("period"),
-        F.length("text").alias("n_chars"),
+        F.col("n_chars").cast("int").alias("n_chars"),
         F.col("lang").alias("page_kind"),
         "text",
     )
