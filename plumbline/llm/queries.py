@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, sharding
+from plumbline.llm import decontaminate, mixing, quality, sharding
 from plumbline.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,16 @@ def _shards(t: Tables) -> DataFrame:
 @query("op6_source_mix", mixing.ORACLE_SQL)
 def _mix(t: Tables) -> DataFrame:
     return mixing.mix_sources(t.documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_wu_manber", decontaminate.ORACLE_SQL)
+def _decontaminate(t: Tables) -> DataFrame:
+    found = decontaminate.find_benchmark(t.documents.select("doc_id", "text"), t.benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        decontaminate.item_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op2_pu_quality")
+def _quality(t: Tables) -> DataFrame:
+    scored = quality.classify(t.documents.select("doc_id", "text"), t.labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
