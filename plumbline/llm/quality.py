@@ -33,6 +33,7 @@ FOLDS = 5
 THRESHOLD = 0.3
 STEPS = 400
 RIDGE = 1e-4
+KEEP = 0.995  # share of the trusted positives that the threshold lets through
 
 _LINES = np.ones(256, dtype=bool)
 _LINES[[10, 13]] = False
@@ -136,14 +137,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float
         zp, zu = z[:n_p], z[n_p:]
         g = np.empty_like(z)
         if _softplus(zu).mean() - prior * _softplus(zp).mean() >= 0:
-            g[:n_p] = prior * (_sigmoid(zp) - 1 - _sigmoid(zp)) / n_p
+            g[:n_p] = -prior / n_p  # of prior * (loss as 1 - loss as 0), whose slope is constant
             g[n_p:] = _sigmoid(zu) / n_u
         else:  # the negative part must not go below zero: step back along it
             g[:n_p] = prior * _sigmoid(zp) / n_p
             g[n_p:] = -_sigmoid(zu) / n_u
         return g
 
-    return _fit(x, gradient), prior
+    w = _fit(x, gradient)
+    # The risk fixes the order of texts; where to cut is told by the positives, so the intercept puts the threshold there.
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(p @ w, 1 - KEEP)
+    return w, prior
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",

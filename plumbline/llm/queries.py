@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, quality, sharding
+from plumbline.llm import decontaminate, jaccard, mixing, quality, sharding, urlfilter, vptree
 from plumbline.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,19 @@ def _decontaminate(t: Tables) -> DataFrame:
 def _quality(t: Tables) -> DataFrame:
     scored = quality.classify(t.documents.select("doc_id", "text"), t.labels)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_prefix_tree_join", jaccard.ORACLE_SQL)
+def _jaccard(t: Tables) -> DataFrame:
+    return jaccard.jaccard_components(t.documents)
+
+
+@query("op9_vp_trees")
+def _neighbours(t: Tables) -> DataFrame:
+    index = vptree.build_index(t.embeddings)
+    return vptree.nearest(index, t.embeddings.filter("vec_id % 50 = 0"))
+
+
+@query("op5_link_graph", urlfilter.oracle_sql())
+def _urls(t: Tables) -> DataFrame:
+    return urlfilter.judge_urls(t.pages).select("page_id", "host", "path", "rule", "verdict")
