@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import durable
+from plumbline.session import checkpoint_root, durable
 
-__all__ = ["durable", "arrow_batches", "pieces", "utf8", "words", "normalised", "mix", "Powers", "window_hashes", "prefix_sums", "empty_like"]
+__all__ = ["durable", "arrow_batches", "pieces", "utf8", "words", "byte_hashes", "normalised", "mix", "Powers", "window_hashes", "prefix_sums", "stored", "only"]
 
 # A task's numpy arrays are eight to sixteen times the bytes in hand; so many bytes of text are taken at once.
 PIECE_BYTES = 2_000_000
@@ -94,6 +95,10 @@ _WORD_POWERS = Powers(0x9E3779B97F4A7C15)
 _WINDOW_POWERS = Powers(0xC2B2AE3D27D4EB4F)
 
 
+def byte_hashes(data: np.ndarray) -> np.ndarray:
+    return _BYTES[data]
+
+
 def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray, fold: np.ndarray = SAME):
     """Words of many texts at once.
 
@@ -168,10 +173,23 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
             .drop("_task", "_t", "_offset", *[f"_g_{c}" for c in group]))
 
 
-def empty_like(batch: pa.RecordBatch, columns: list[str]) -> pa.Table:
-    return pa.Table.from_batches([batch.slice(0, 0)]).select(columns)
-
-
 def hex_long(text_hash: Column, digits: int = 13) -> Column:
     """The first ``digits`` (at most 15) hexadecimal digits as a long; the same number in any SQL that has md5."""
     return F.conv(F.substring(text_hash, 1, digits), 16, 10).cast("long")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it again: a cut of the lineage that takes less disk than rows."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Up to so many 8-byte ids travel to every task; a longer list is joined by a shuffle.
+ID_LIST = 2_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` that occur in ``ids`` (distinct rows, few bytes each): sent to every task if there are few, else a shuffle join."""
+    return df.join(F.broadcast(ids) if ids.count() <= ID_LIST else ids, on, "left_semi")

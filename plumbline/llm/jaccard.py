@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FOLD, SPACE_SEPARATED, arrow_batches, durable, mix, pieces, utf8, words
+from plumbline.llm.common import FOLD, SPACE_SEPARATED, arrow_batches, durable, mix, only, pieces, utf8, words
 from plumbline.llm.components import connected
 
 WIDTH = 4
@@ -336,8 +336,8 @@ def _shingles_of(width: int):
     return run
 
 
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
+def labelled_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """key, content (hash of the text), n (shingles) and label (of the component; null without shingles) of every row; stored."""
     arrow_batches(documents.sparkSession)
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     hashed = docs.withColumn("content", F.xxhash64("text"))
@@ -360,12 +360,32 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     links = dealt.groupBy("comp", "i", "j").applyInPandas(_group_links(percent), "a long, b long")
     roots = connected(links).toDF("sid", "root")
     placed = thin.join(roots, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
-    placed = durable(placed)
+    return durable(placed.select("key", "content", "n", "label"))
+
+
+def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
+    placed = labelled_sets(documents, key, text, width, percent)
     names = placed.filter("label is not null").groupBy("label").agg(F.min("key").alias("component"))
     return (placed.join(names, "label", "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id")))
 
 
+def one_per_component(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents without those that are linked, over any number of links, to one with a smaller key.
+
+    Of rows with the same key and text one stays; texts without words all stay. Only row hashes are joined with the texts.
+    """
+    placed = labelled_sets(documents, key, text, width, percent).withColumn("_row", F.xxhash64("key", "content"))
+    grouped = placed.filter("label is not null")
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("content"), F.col("_row"))).alias("at")).select("at._row")
+    bare = placed.filter("label is null").select("_row").distinct()
+    often = durable(grouped.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row").join(first, "_row"))
+    single = durable(first.join(often, "_row", "left_anti").union(bare))
+    docs = documents.withColumn("_row", F.xxhash64(F.col(key), F.xxhash64(F.col(text))))
+    return only(docs, single, ["_row"]).unionByName(only(docs, often, ["_row"]).dropDuplicates(["_row"])).select(*documents.columns)
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w

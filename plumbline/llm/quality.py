@@ -6,7 +6,7 @@ A linear model over hashed byte trigrams and a few shape features is fitted by t
 
 from trusted positives (label 1 outside the held-out fold) and unlabelled web text of the same fold; labels 0 are never read. The
 class prior is the smallest ratio of tail masses, unlabelled to positive, under a first positive-against-unlabelled model on halves
-it has not seen. Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` rows, the first in hash order; features are computed
+it has not seen. Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` rows, of least hash; features are computed
 where the texts lie, so only their vectors reach the driver. Every whole text is scored.
 
 Defined results: null and empty texts have all features 0 and get the score of the intercept; repeated rows get equal scores; without
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import SPACE_SEPARATED, arrow_batches, mix, pieces, utf8, words
+from plumbline.llm.common import SPACE_SEPARATED, arrow_batches, durable, mix, pieces, utf8, words
 
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -80,10 +80,14 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _vectors(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()  # repeated rows of this task; the sample bounds it
         for whole in batches:
             for batch in pieces(whole, text):
-                x = features(*utf8(batch.column(batch.schema.get_field_index(text)))[:2])
-                yield pa.RecordBatch.from_pydict({"positive": batch.column(batch.schema.get_field_index("positive")), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+                positive, row = batch.column(batch.schema.get_field_index("positive")), batch.column(batch.schema.get_field_index("row"))
+                new = [i for i, x in enumerate(zip(positive.to_pylist(), row.to_pylist())) if not (x in sent or sent.add(x))]
+                new = pa.array(new, pa.int64())
+                x = features(*utf8(batch.column(batch.schema.get_field_index(text)).take(new))[:2])
+                yield pa.RecordBatch.from_pydict({"positive": positive.take(new), "row": row.take(new), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     return run
 
@@ -152,17 +156,28 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray | None:
-    """Weights of the model, or None if no trusted positive lies outside the held-out fold."""
+    """Weights of the model, or None if no trusted positive lies outside the held-out fold.
+
+    A sample is the rows whose hash lies under a bound set by the number of rows, cut at the exact size: no sort or limit over texts.
+    """
+    def under(hashed: Column, wanted: int, there: int) -> Column:
+        return F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (1.2 * wanted + 200) / max(1, there)))
+
     trusted = labels.filter(~held_out(F.col(key)) & (F.col(label) == 1)).select(F.col(key).alias("key")).distinct()
+    known = durable(trusted.filter(under(F.xxhash64("key", F.lit(7)), positives, trusted.count())))
+    if not known.count():
+        return None
     pool = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(~held_out(F.col("key")))
-    order = [F.xxhash64("key", F.lit(7)), F.col("key"), F.xxhash64("text")]
-    near = pool.join(trusted, "key", "left_semi").orderBy(*order).limit(positives).withColumn("positive", F.lit(True))
-    any_ = pool.orderBy(F.xxhash64("key", F.lit(11)), *order[1:]).limit(unlabelled).withColumn("positive", F.lit(False))
-    rows = near.unionByName(any_).select("positive", "text").mapInArrow(_vectors("text"), "positive boolean, x binary").toPandas()
-    if not rows.positive.any() or rows.positive.all():
+    row = F.xxhash64("key", "text", F.lit(11))
+    near = pool.join(F.broadcast(known), "key", "left_semi").select(F.lit(True).alias("positive"), row.alias("row"), "text")
+    any_ = pool.filter(under(row, unlabelled, pool.count())).select(F.lit(False).alias("positive"), row.alias("row"), "text")
+    rows = near.unionByName(any_).mapInArrow(_vectors("text"), "positive boolean, row long, x binary").dropDuplicates(["positive", "row"]).toPandas()
+    rows = rows.sort_values("row")
+    near, any_ = rows[rows.positive][:positives], rows[~rows.positive][:unlabelled]
+    if not len(near) or not len(any_):
         return None
-    x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), HASHED + SHAPES)
-    return fit(x[rows.positive.to_numpy(bool)], x[~rows.positive.to_numpy(bool)])[0]
+    matrix = lambda x: np.frombuffer(b"".join(x), np.float32).reshape(-1, HASHED + SHAPES)
+    return fit(matrix(near.x), matrix(any_.x))[0]
 
 
 def _score_with(weights: np.ndarray | None, text: str, schema: pa.Schema):

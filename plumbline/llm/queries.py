@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, mixing, quality, sharding, urlfilter, vptree
+from plumbline.llm import decontaminate, jaccard, mixing, pseudonyms, quality, recompression, sharding, suffixes, urlfilter, vptree
 from plumbline.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,19 @@ def _neighbours(t: Tables) -> DataFrame:
 @query("op5_link_graph", urlfilter.oracle_sql())
 def _urls(t: Tables) -> DataFrame:
     return urlfilter.judge_urls(t.pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_recompression", recompression.ORACLE_SQL)
+def _substrings(t: Tables) -> DataFrame:
+    return recompression.dedup_substrings(t.documents)
+
+
+@query("op8_suffix_family")
+def _bytes(t: Tables) -> DataFrame:
+    return suffixes.dedup_bytes(t.documents)
+
+
+@query("op3_feistel_pseudonyms")
+def _pseudonyms(t: Tables) -> DataFrame:
+    out = pseudonyms.pseudonymised(t.documents.select("doc_id", "text"), pseudonyms.DEMO_KEY)
+    return out.select("doc_id", "text", F.size("found").alias("n_found"), F.transform("found", lambda x: F.concat_ws("@", x["kind"], x["place"])).alias("found"))
