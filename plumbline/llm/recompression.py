@@ -156,14 +156,14 @@ def removal_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     least = seen.groupBy("key", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").drop("high")
     later = (seen.join(least, ["key", "window"]).filter("doc > low").select(F.col("key").alias("anchor"), "content", "place").distinct()
              .groupBy("anchor", "content").agg(F.array_sort(F.collect_list("place")).alias("places")))
-    # Back to the documents: a later occurrence of a context loses all of it, the first one loses the windows found above.
-    marks = (each.join(later, ["anchor", "content"], "left").filter("places is not null or last > at.key")
-             .select("anchor", "content", F.col("at.key").alias("low"), "places"))
-    hits = (found.join(marks, ["anchor", "content"])
-            .filter(F.col("places").isNotNull() | (F.col("key") > F.col("low"))))
+    # Back to the documents: a later occurrence of a context loses all of it, the first one loses the windows found above. The marks are
+    # stored, so that what follows is one plain join and Spark can split the contexts of a common passage.
+    marks = stored(each.filter("last > at.key").select("anchor", "content", F.col("at.key").alias("low"), F.lit(None).cast("array<int>").alias("places"))
+                   .unionByName(later.select("anchor", "content", F.lit(None).cast("long").alias("low"), "places")))
+    hits = found.join(marks, ["anchor", "content"]).filter(F.col("places").isNotNull() | (F.col("key") > F.col("low")))
     whole = F.array(F.struct(F.col("start"), F.col("count")))
     some = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("count")))
-    spans = (hits.select("key", "text_id", F.explode(F.when(F.col("key") > F.col("low"), whole).otherwise(some)).alias("x"))
+    spans = (hits.select("key", "text_id", F.explode(F.when(F.col("places").isNull(), whole).otherwise(some)).alias("x"))
              .groupBy("key", "text_id").agg(F.collect_list("x").alias("spans")))
     return docs, per_doc, spans
 
