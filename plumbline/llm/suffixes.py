@@ -161,11 +161,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, key_bytes: int = KEY_BYT
     twice = seen.groupBy("key", "window").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("key", "window")
     places = (seen.join(twice, ["key", "window"]).select(F.col("key").alias("anchor"), "content", "place").distinct()
               .groupBy("anchor", "content").agg(F.array_sort(F.collect_list("place")).alias("places")))
-    marks = again.select("anchor", "content", F.lit(True).alias("all")).join(places, ["anchor", "content"], "full")
+    # Stored, so that what follows is one plain join and Spark can split the contexts of a common passage.
+    marks = stored(again.select("anchor", "content", F.lit(None).cast("array<int>").alias("places")).unionByName(places))
     hits = found.join(marks, ["anchor", "content"])
     whole = F.array(F.struct(F.col("start"), F.col("count")))
     some = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("count")))
-    return (hits.select("text_id", F.explode(F.when(F.col("all"), whole).otherwise(some)).alias("x"))
+    return (hits.select("text_id", F.explode(F.when(F.col("places").isNull(), whole).otherwise(some)).alias("x"))
             .groupBy("text_id").agg(F.collect_set("x").alias("spans")))
 
 
