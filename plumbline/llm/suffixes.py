@@ -1,12 +1,13 @@
 """Substring dedup over bytes with a logarithmic family of suffix arrays.
 
 Of each text, the suffixes at anchors are indexed: places chosen by content so that every ``WIDTH`` bytes hold one at a place that all their
-copies share (the least hash of ``KEY_BYTES`` bytes). An array is a table in suffix order (first eight bytes, then the hash of the key
-bytes, then the hash of all bytes that the anchor stands for), one row per distinct content.
+copies share (the least hash of ``KEY_BYTES`` bytes). An array is a table in suffix order in every partition (``anchor``: two bytes of
+the suffix and a hash of its key bytes; ``content``: the hash of all bytes that the anchor stands for), with one row per content.
 
-New batches get an array of their own, which is merge-scanned against every level of the family; then levels of equal size merge until sizes
-differ, so n batches make at most log2(n) + 1 levels and each entry is rewritten log2(n) times at most. A scan says which contents occur again
-and which anchors have different contents; of the latter, one occurrence each is compared window by window (see repeats).
+New batches get an array of their own. Arrays of equal size merge until sizes differ, so n batches make at most log2(n) + 1 levels and an entry is
+rewritten log2(n) times at most. A merge is one scan in suffix order; it says which contents occur again and which anchors have
+different contents. Of the latter, one occurrence each travels with its bytes, and its windows are compared (see repeats); anchors of more than
+``FEW`` contents, such as the edge of a passage that is everywhere, are compared window by window in an aggregate instead.
 
 Removed is each byte of a ``WIDTH``-byte string that also starts at any other place, in the same text or another. Strings do not cross texts.
 
@@ -31,9 +32,11 @@ from plumbline.llm.repeats import Hashes, contexts, covered, windows_of
 
 WIDTH = 400
 KEY_BYTES = 128
-BATCHES = 4
+BATCHES = 2
 RECENT = 50_000
-SUFFIX = ["head", "anchor"]
+FEW = 4096
+ENTRY = ["anchor", "content", "text_id", "start", "count", "again"]
+SPANS = "array<struct<start:int,count:int>>"
 
 
 def _units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,17 +44,16 @@ def _units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled_suffixes(data: np.ndarray, off: np.ndarray, width: int, key_bytes: int):
-    """Contexts of the anchors of all texts, and the first eight bytes of each anchor's suffix in byte order."""
+    """Contexts of the anchors of all texts, and the anchors' keys: their order is that of the first two bytes of the suffix."""
     h = byte_hashes(data)
     rank = np.full(len(h), np.iinfo(np.uint64).max, np.uint64)
     n = len(h) - key_bytes + 1
     if n > 0:
         rank[:n] = mix(Hashes(h).of(np.arange(n), key_bytes)) >> np.uint64(1)
     c = contexts(h, off, rank, width, 0, width - key_bytes + 1, 0, key_bytes)
-    head = np.zeros(len(c.anchor), np.uint64)
-    for j in range(min(8, key_bytes)):
-        head = head << np.uint64(8) | data[c.anchor + j].astype(np.uint64)
-    return c, (head ^ np.uint64(1 << 63)).view(np.int64)  # the sign bit turned: signed order is byte order
+    head = data[c.anchor].astype(np.uint64) << np.uint64(8) | data[c.anchor + 1].astype(np.uint64)
+    key = head << np.uint64(48) | c.key >> np.uint64(16)
+    return c, (key ^ np.uint64(1 << 63)).view(np.int64)  # the sign bit turned: signed order is byte order
 
 
 def _read(width: int, key_bytes: int):
@@ -68,59 +70,128 @@ def _read(width: int, key_bytes: int):
                     recent[t] = None
                 while len(recent) > RECENT:
                     recent.pop(next(iter(recent)))
-                c, head = sampled_suffixes(data[np.repeat(use, n)], np.r_[0, np.cumsum(np.where(use, n, 0))], width, key_bytes)
-                yield pa.RecordBatch.from_pydict({
-                    "head": pa.array(head), "anchor": pa.array(c.key.view(np.int64)), "content": pa.array(c.content.view(np.int64)),
-                    "text_id": ids.take(pa.array(c.doc)), "start": pa.array(c.start.astype(np.int32)), "count": pa.array(c.count.astype(np.int32))})
+                c, key = sampled_suffixes(data[np.repeat(use, n)], np.r_[0, np.cumsum(np.where(use, n, 0))], width, key_bytes)
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(key), "content": pa.array(c.content.view(np.int64)), "text_id": ids.take(pa.array(c.doc)),
+                                                  "start": pa.array(c.start.astype(np.int32)), "count": pa.array(c.count.astype(np.int32))})
 
     return run
 
 
+def _columns(batch: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+    return {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (anchor, content, text_id, start) to one row per content: ``again`` if it is at two places, ``differ`` if its
+    anchor has another content. Holds back one content, which the next batch may go on with."""
+    held, told = None, None  # the last content, and the anchor of the last row given out
+
+    def give(x, differ):
+        return pa.RecordBatch.from_pydict({**{c: pa.array(x[c]) for c in ENTRY}, "differ": pa.array(differ)})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _columns(batch, ENTRY)
+        if held is not None:
+            x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
+        new_anchor = np.r_[True, x["anchor"][1:] != x["anchor"][:-1]]
+        new = new_anchor | np.r_[True, x["content"][1:] != x["content"][:-1]]
+        moved = np.r_[False, (x["text_id"][1:] != x["text_id"][:-1]) | (x["start"][1:] != x["start"][:-1])] & ~new
+        first = np.flatnonzero(new)
+        again = np.logical_or.reduceat(x["again"] | moved, first)
+        one = {c: v[first] for c, v in x.items()} | {"again": again}
+        run = np.cumsum(new_anchor[first]) - 1
+        differ = (np.bincount(run) > 1)[run] | (one["anchor"] == told if told is not None else False)
+        held = {c: v[-1:] for c, v in one.items()}
+        if len(first) > 1:
+            yield give({c: v[:-1] for c, v in one.items()}, differ[:-1])
+            told = one["anchor"][-2]
+    if held is not None:
+        yield give(held, np.array([bool(told is not None and held["anchor"][0] == told)]))
+
+
 class SuffixFamily:
-    """Levels of suffix arrays over all batches added so far, and what their scans have found."""
+    """Levels of suffix arrays over all batches added so far."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []  # (batches, array), largest first
-        self.again: list[DataFrame] = []  # contents that occur at two places
-        self.differ: list[DataFrame] = []  # anchors with two contents
 
     @staticmethod
-    def array(rows: DataFrame) -> DataFrame:
-        """A stored array in suffix order: one row per content, with an occurrence, and whether there is another."""
+    def scan(rows: DataFrame) -> DataFrame:
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = rows.groupBy(*SUFFIX, "content").agg(F.min("at").alias("at"), F.max("last").alias("last"))
-        return stored(each.repartitionByRange(n, *SUFFIX, "content").sortWithinPartitions(*SUFFIX, "content"))
-
-    @staticmethod
-    def anchors(array: DataFrame) -> DataFrame:
-        return array.groupBy(*SUFFIX).agg(F.min("content").alias("low"), F.max("content").alias("high"))
+        ordered = rows.select(*ENTRY).repartition(n, "anchor").sortWithinPartitions("anchor", "content", "text_id", "start")
+        return stored(ordered.mapInArrow(_scan, "anchor long, content long, text_id long, start int, count int, again boolean, differ boolean"))
 
     def add(self, entries: DataFrame) -> None:
-        """``entries``: head, anchor, content, text_id, start, count of the texts of a new batch."""
-        new = self.array(entries.withColumn("at", F.struct("text_id", "start", "count")).withColumn("last", F.col("at")))
-        self.again.append(new.filter("at <> last").select(*SUFFIX, "content"))
-        own = self.anchors(new)
-        self.differ.append(own.filter("low < high").select(*SUFFIX))
-        for _, level in self.levels:
-            self.again.append(new.select(*SUFFIX, "content").join(level.select(*SUFFIX, "content"), [*SUFFIX, "content"]))
-            old = self.anchors(level).select(*SUFFIX, F.col("low").alias("old_low"), F.col("high").alias("old_high"))
-            self.differ.append(own.join(old, SUFFIX).filter("least(low, old_low) < greatest(high, old_high)").select(*SUFFIX))
-        size, level = 1, new
+        """``entries``: anchor, content, text_id, start, count of the texts of a new batch."""
+        size, level = 1, self.scan(entries.withColumn("again", F.lit(False)))
         while self.levels and self.levels[-1][0] == size:
-            _, old = self.levels.pop()
-            level = self.array(old.union(level))
+            level = self.scan(self.levels.pop()[1].union(level))
             size *= 2
         self.levels.append((size, level))
 
-    def contents(self) -> DataFrame:
-        """All contents with one occurrence each."""
-        return reduce(DataFrame.union, [x for _, x in self.levels]).groupBy(*SUFFIX, "content").agg(F.min("at").alias("at"))
+    def whole(self) -> DataFrame:
+        """What a scan over all levels says: one row per content."""
+        if len(self.levels) == 1:
+            return self.levels[0][1]
+        return self.scan(reduce(DataFrame.union, [x for _, x in self.levels]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For texts with ``asked`` contexts: a row for every context with its bytes."""
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            data, off, _ = utf8(batch.column(batch.schema.get_field_index("text")))
+            asked = batch.column(batch.schema.get_field_index("asked"))
+            row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+            flat = asked.flatten()
+            field = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size")}
+            begin = off[:-1][row] + field["start"]
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_pydict({"anchor": flat.field("key"), "content": flat.field("content"),
+                                              "bytes": pa.array([raw[a: a + n] for a, n in zip(begin.tolist(), field["size"].tolist())], pa.binary())})
+
+
+def _runs(places: np.ndarray) -> list[dict]:
+    cut = np.flatnonzero(np.diff(places) != 1) + 1
+    return [{"start": int(p[0]), "count": len(p)} for p in np.split(places, cut)]
+
+
+def _compare(width: int):
+    """Contexts in order of anchor to the windows that another context of the anchor has, too: (anchor, content, spans)."""
+
+    def groups(anchor: np.ndarray, content: np.ndarray, column: pa.Array) -> pa.RecordBatch:
+        data, off, _ = utf8(column)
+        n = np.maximum(0, np.diff(off) - width + 1)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        window = Hashes(byte_hashes(data)).of(off[:-1][row] + place, width) + mix(anchor.view(np.uint64))[row]
+        order = np.argsort(window)
+        same = window[order][1:] == window[order][:-1]
+        twice = np.zeros(len(window), bool)
+        twice[order] = np.r_[same, False] | np.r_[False, same]
+        hit = np.flatnonzero(twice)
+        rows, at = np.unique(row[hit], return_index=True)
+        spans = [_runs(p) for p in np.split(place[hit], at[1:])] if len(rows) else []
+        return pa.RecordBatch.from_pydict({"anchor": pa.array(anchor[rows]), "content": pa.array(content[rows]),
+                                           "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())])))})
 
-    def repeated(self) -> DataFrame:
-        return reduce(DataFrame.union, self.again).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            anchor = table.column("anchor").to_numpy()
+            last = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last anchor may go on
+            if last:
+                yield groups(anchor[:last], table.column("content").to_numpy()[:last], table.column("bytes").slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield groups(held.column("anchor").to_numpy(), held.column("content").to_numpy(), held.column("bytes"))
 
-    def ambiguous(self) -> DataFrame:
-        return reduce(DataFrame.union, self.differ).distinct()
+    return run
 
 
 def _rewrite(width: int):
@@ -141,42 +212,49 @@ def _rewrite(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, key_bytes: int = KEY_BYTES, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, key_bytes: int = KEY_BYTES, batches: int = BATCHES, few: int = FEW) -> DataFrame:
     """text_id and spans (start, count of windows that also start elsewhere, by other texts or this one) of distinct texts.
 
     ``docs``: text_id, text. Batches are dealt by text_id; an index that lives on would add each delivery as it comes.
     """
-    found = stored(docs.mapInArrow(_read(width, key_bytes), "head long, anchor long, content long, text_id long, start int, count int"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(docs.mapInArrow(_read(width, key_bytes), "anchor long, content long, text_id long, start int, count int"))
     family = SuffixFamily()
     for k in range(batches):
         family.add(found.filter(F.pmod(F.xxhash64("text_id"), F.lit(batches)) == k))
-    again = durable(family.repeated())
-    asked = (family.contents().join(family.ambiguous(), SUFFIX)
-             .groupBy(F.col("at.text_id").alias("text_id"))
-             .agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "content", F.col("at.start").alias("start"), F.col("at.count").alias("count"))).alias("asked")))
-    asked = durable(asked)
-    texts = only(docs, asked.select("text_id"), ["text_id"]).join(asked, "text_id").select("text", "asked")
-    seen = stored(texts.mapInArrow(windows_of(_units, "text", width, []), "key long, content long, place int, window long"))
+    every = family.whole()
+    open_ = every.filter("differ")
+    counts = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+
+    def texts_of(which: DataFrame) -> DataFrame:
+        asked = durable(which.groupBy("text_id").agg(F.collect_list(F.struct(
+            F.col("anchor").alias("key"), "content", "start", "count", (F.col("count") + width - 1).alias("size"))).alias("asked")))
+        return only(docs, asked.select("text_id"), ["text_id"]).join(asked, "text_id").select("text", "asked")
+
+    small = texts_of(open_.join(counts.filter(F.col("n") <= few), "anchor", "left_semi")).mapInArrow(_slices, "anchor long, content long, bytes binary")
+    parts = small.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(width), f"anchor long, content long, spans {SPANS}")
     # Windows of one context differ, so a window with two contents is at two places.
+    seen = stored(texts_of(open_.join(counts.filter(F.col("n") > few), "anchor", "left_semi")).mapInArrow(
+        windows_of(_units, "text", width, []), "key long, content long, place int, window long"))
     twice = seen.groupBy("key", "window").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("key", "window")
-    places = (seen.join(twice, ["key", "window"]).select(F.col("key").alias("anchor"), "content", "place").distinct()
-              .groupBy("anchor", "content").agg(F.array_sort(F.collect_list("place")).alias("places")))
+    more = (seen.join(twice, ["key", "window"]).groupBy(F.col("key").alias("anchor"), "content")
+            .agg(F.collect_set(F.struct(F.col("place").alias("start"), F.lit(1).alias("count"))).cast(SPANS).alias("spans")))
     # Stored, so that what follows is one plain join and Spark can split the contexts of a common passage.
-    marks = stored(again.select("anchor", "content", F.lit(None).cast("array<int>").alias("places")).unionByName(places))
-    hits = found.join(marks, ["anchor", "content"])
-    whole = F.array(F.struct(F.col("start"), F.col("count")))
-    some = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("count")))
-    return (hits.select("text_id", F.explode(F.when(F.col("places").isNull(), whole).otherwise(some)).alias("x"))
+    whole = every.filter("again").select("anchor", "content", F.lit(None).cast(SPANS).alias("spans"))
+    marks = stored(whole.unionByName(parts).unionByName(more))
+    own = F.array(F.struct(F.col("start"), F.col("count")))
+    some = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), x["count"].alias("count")))
+    return (found.join(marks, ["anchor", "content"]).select("text_id", F.explode(F.when(F.col("spans").isNull(), own).otherwise(some)).alias("x"))
             .groupBy("text_id").agg(F.collect_set("x").alias("spans")))
 
 
-def dedup_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, key_bytes: int = KEY_BYTES, batches: int = BATCHES) -> DataFrame:
+def dedup_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, key_bytes: int = KEY_BYTES, batches: int = BATCHES, few: int = FEW) -> DataFrame:
     """key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every row."""
     arrow_batches(documents.sparkSession)
     docs = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
     per_doc = stored(docs.select("key", "text_id", F.octet_length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     copies = per_doc.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"))
-    spans = repeated_spans(docs.select("text_id", "text"), width, key_bytes, batches)
+    spans = repeated_spans(docs.select("text_id", "text"), width, key_bytes, batches, few)
     spans = durable(spans.join(copies.filter("copies = 1"), "text_id", "left_semi"))
     some = only(docs.select("text_id", "text"), spans.select("text_id"), ["text_id"]).join(spans, "text_id")
     new = some.mapInArrow(_rewrite(width), "text_id long, n_removed long, n_spans long, new_sha string")

@@ -251,19 +251,26 @@ def brute_bytes(rows, width=400):
     return Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_suffix_family(odd, odd_rows, none, batches):
-    assert counted(suffixes.dedup_bytes(odd, batches=batches).collect()) == brute_bytes([(r[0], r[1]) for r in odd_rows])
+@pytest.mark.parametrize("batches, few", [(1, 4096), (3, 2)])
+def test_suffix_family(odd, odd_rows, none, batches, few):
+    assert counted(suffixes.dedup_bytes(odd, batches=batches, few=few).collect()) == brute_bytes([(r[0], r[1]) for r in odd_rows])
     assert suffixes.dedup_bytes(none, batches=batches).count() == 0
 
 
 def test_levels_are_of_different_sizes(odd):
     docs = odd.select(F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.mapInArrow(suffixes._read(400, 128), "head long, anchor long, content long, text_id long, start int, count int").cache()
+    found = docs.mapInArrow(suffixes._read(400, 128), "anchor long, content long, text_id long, start int, count int").cache()
     family = suffixes.SuffixFamily()
     for k in range(5):
         family.add(found.filter(F.pmod("text_id", F.lit(5)) == k))
     assert [n for n, _ in family.levels] == [4, 1]
+    rows = found.distinct().collect()
+    places, contents = defaultdict(set), defaultdict(set)
+    for r in rows:
+        places[r.anchor, r.content].add((r.text_id, r.start))
+        contents[r.anchor].add(r.content)
+    got = {(r.anchor, r.content): (r.again, r.differ) for r in family.whole().collect()}
+    assert got == {k: (len(v) > 1, len(contents[k[0]]) > 1) for k, v in places.items()} and any(a for a, _ in got.values()) and any(d for _, d in got.values())
 
 
 def test_sliding_min():
