@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,28 +17,37 @@ PERIOD_IN_ANSWER = r"\d{4}\s*[Qq]\s*[1-4]"
 NUMERALS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, even where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def join_thousands(text: Column) -> Column:
     return F.regexp_replace(text, THOUSANDS, "")
 
 
 def canonical(number: Column) -> Column:
-    """Two decimals, then no trailing zeros: ``4.20`` and ``4.2`` are one value, ``7.00`` is ``7``."""
-    plain = F.round(number.cast("decimal(38,6)"), 2).cast("string")
-    return F.regexp_replace(plain, r"\.?0+$", "")
+    """Two decimals, then no trailing zeros: ``4.20`` and ``4.2`` are one value, ``7.00`` is ``7``.
+
+    A number with more digits than a decimal holds keeps all of them; only outer zeros go.
+    """
+    plain = F.round(number.try_cast("decimal(38,6)"), 2).cast("string")
+    bare = F.regexp_replace(number, r"^0+(\d)", "$1")
+    literal = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0+$", "")).otherwise(bare)
+    return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), literal)
 
 
 def canonical_numbers(text: Column) -> Column:
-    """Distinct numbers of a text in canonical form, sorted; longer than 30 digits is an id, not a value."""
+    """Distinct numbers of a text in canonical form, sorted."""
     found = F.regexp_extract_all(join_thousands(text), F.lit(NUMBER), F.lit(0))
-    values = F.filter(found, lambda m: F.length(m) <= 30)
-    return F.sort_array(F.array_distinct(F.transform(values, canonical)))
+    return F.sort_array(F.array_distinct(F.transform(found, canonical)))
 
 
 def numeral(text: Column) -> Column:
-    """Digits, a single numeral, or ``十x``; NULL when it is none of these."""
+    """Digits, a single numeral, or ``十x``; NULL when it is none of these or no int."""
     one = F.create_map(*[F.lit(x) for pair in NUMERALS.items() for x in pair])
     return (
-        F.when(text.rlike(r"^\d+$"), text.cast("int"))
+        F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
         .when(F.length(text) == 1, F.element_at(one, text))
         .when((F.length(text) == 2) & text.startswith("十"), F.lit(10) + F.element_at(one, F.substring(text, 2, 1)))
     )

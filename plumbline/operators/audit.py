@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import ORDINAL, canonical_numbers
+from plumbline.functions.numbers import ORDINAL, canonical_numbers, let
 from plumbline.functions.periods import CHUNK_ID
 from plumbline.operators.evaluate import MONEY
 from plumbline.operators.extract import CITED, cited_ids
@@ -36,14 +36,15 @@ def stated_numbers(answer: Column) -> Column:
 
 def invented_numbers(answer: Column, source_text: Column) -> Column:
     """Stated numbers that the sources neither hold nor give as a difference of two numbers."""
-    have = canonical_numbers(source_text)
-    nums = F.transform(have, lambda x: x.cast(MONEY))
+    def derived(m, nums):
+        d = m.try_cast(MONEY)  # a number too long for money is no difference of two
+        return F.coalesce((d > 0) & F.arrays_overlap(nums, F.transform(nums, lambda a: (a - d).try_cast(MONEY))), F.lit(False))
 
-    def derived(m):
-        d = m.cast(MONEY)
-        return (d > 0) & F.arrays_overlap(nums, F.transform(nums, lambda a: (a - d).cast(MONEY)))
+    def missing(have):
+        nums = F.filter(F.transform(have, lambda x: x.try_cast(MONEY)), lambda x: x.isNotNull())
+        return let(nums, lambda known: F.filter(F.array_except(stated_numbers(answer), have), lambda m: ~derived(m, known)))
 
-    return F.filter(F.array_except(stated_numbers(answer), have), lambda m: ~derived(m))
+    return let(canonical_numbers(source_text), missing)
 
 
 def invented_citations(answer: Column, sources: Column) -> Column:

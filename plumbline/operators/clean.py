@@ -16,7 +16,6 @@ FOOTERS = (
     r"^\s*\d+\s*$",
     r"^\s*[页第]\s*$",
     r"(?i)Copyright|All rights reserved",
-    r"(?i)^\s*Source\s*[:：]\s*\S+\s*$",
 )
 LIST_START = r"(?:[（(]\s*\d+\s*[)）]|[⚫◆●•·]|[-–—]\s|\d+\s*[.、])"
 GLYPHS = {"\uf06c": "●", "\uf075": "◆"}
@@ -32,6 +31,7 @@ BLANK, DATA, TEXT, PAIRED = "空白页", "数据页", "叙述页", "数据页·
 
 
 def is_footer(line: Column, extra: tuple[str, ...] = ()) -> Column:
+    """``extra`` has the patterns of one publisher, such as its own source line."""
     out = F.lit(False)
     for p in (*FOOTERS, *extra):
         out = out | line.rlike(p)
@@ -109,8 +109,7 @@ def build_chunks(pages: DataFrame, name: str = FULL_NAME, short_name: str = SHOR
         "pairs", F.when(F.col("kind") == DATA, repair_score_table(raw, short_name)))
     text = (
         F.when(F.col("pairs").isNotNull(), strip_footers(F.col("pairs"), extra))
-        .when(F.col("kind") == DATA, strip_footers(raw, extra))
-        .otherwise(merge_wraps(raw, extra))
+        .otherwise(merge_wraps(raw, extra))  # an unpaired data page, too
     )
     out = staged.select(
         page_id(F.col("period"), F.col("page_no")).alias("chunk_id"), "period", "page_no",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.numbers import let
+
 
 def both_ways(a: DataFrame, b: DataFrame, left: str = "only_left", right: str = "only_right") -> DataFrame:
     """Multiset difference in both directions with a ``side`` column."""
@@ -47,14 +49,14 @@ def explain_differences(rows: DataFrame, missing: str, have: str) -> DataFrame:
     when the whole set is shifted down by ``d``, one hash intersection per missing number.
     """
     money = "decimal(38,2)"
-    nums = F.array_sort(F.array_distinct(F.transform(F.col(have), lambda x: x.cast(money))))
+    nums = F.array_sort(F.array_distinct(F.filter(F.transform(F.col(have), lambda x: x.try_cast(money)), lambda x: x.isNotNull())))
 
-    def pair(m):
-        d = m.cast(money)
-        low = F.array_intersect(nums, F.transform(nums, lambda a: (a - d).cast(money)))
+    def pair(m, nums):
+        d = m.try_cast(money)  # a number too long for money is no difference of two
+        low = F.array_intersect(nums, F.transform(nums, lambda a: (a - d).try_cast(money)))
         return F.struct(m.alias("number"), F.when(d > 0, F.get(low, F.lit(0))).alias("low"))
 
-    ones = rows.withColumn("_d", F.transform(F.col(missing), pair))
+    ones = rows.withColumn("_d", let(nums, lambda known: F.transform(F.col(missing), lambda m: pair(m, known))))
     plain = lambda x: F.regexp_replace(x.cast("string"), r"\.?0+$", "")
     return ones.withColumn(
         "derived",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import answer_numbers, canonical_numbers
+from plumbline.functions.numbers import answer_numbers, canonical_numbers, let
 
 MONEY = "decimal(38,2)"
 
@@ -29,13 +29,13 @@ def sub_items(answer: Column) -> Column:
 
 def covered_by(want: Column, have: Column) -> Column:
     """Every wanted number is among the given ones or is a difference of two of them."""
-    nums = F.transform(have, lambda x: x.cast(MONEY))
+    nums = F.filter(F.transform(have, lambda x: x.try_cast(MONEY)), lambda x: x.isNotNull())
 
-    def derived(m):
-        d = m.cast(MONEY)
-        return (d > 0) & F.arrays_overlap(nums, F.transform(nums, lambda a: (a - d).cast(MONEY)))
+    def derived(m, nums):
+        d = m.try_cast(MONEY)  # a number too long for money is no difference of two
+        return F.coalesce((d > 0) & F.arrays_overlap(nums, F.transform(nums, lambda a: (a - d).try_cast(MONEY))), F.lit(False))
 
-    return F.forall(F.array_except(want, have), derived)
+    return let(nums, lambda known: F.forall(F.array_except(want, have), lambda m: derived(m, known)))
 
 
 def judge(run: DataFrame) -> DataFrame:
@@ -152,15 +152,16 @@ def drift(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
 def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFrame, meta: DataFrame) -> DataFrame:
     """The numbers each citation clause points at: (question_id, clause_no, numbers), NULL numbers when nothing is there.
 
-    Clauses name a table and its keys; ``字段=排名`` asks for the rank and ``取前=N`` for the first N scores.
+    Clauses name a table and its keys; ``字段=排名`` asks for the rank and ``取前=N`` for the first N scores; an N that is
+    no number finds nothing.
     """
     f = lambda k: F.col("fields")[k]
     c = clauses.filter("error is null").select(
         "question_id", "clause_no", f("表").alias("tbl"), f("期次").alias("period"), f("机场").alias("entity"), f("指标").alias("metric"),
-        f("字段").alias("field"), f("取前").cast("int").alias("n"))
+        f("字段").alias("field"), f("取前").alias("first"), f("取前").try_cast("int").alias("n"))
     text = lambda x: F.array(canonical_numbers(x.cast("string"))[0])
     key = ["question_id", "clause_no"]
-    one = c.filter("tbl = '综合得分' and n is null").join(ranked.drop("source"), ["period", "entity"]).select(
+    one = c.filter("tbl = '综合得分' and first is null").join(ranked.drop("source"), ["period", "entity"]).select(
         *key, F.when(F.col("field") == "排名", text(F.col("row_no"))).otherwise(text(F.col("score"))).alias("numbers"))
     top = c.filter("tbl = '综合得分' and n is not null").drop("entity").join(ranked, "period").filter("row_no <= n").groupBy(*key).agg(
         F.flatten(F.collect_list(text(F.col("score")))).alias("numbers"))  # at most n

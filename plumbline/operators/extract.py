@@ -45,20 +45,36 @@ def paired_lists(text: Column, name: str = SHORT_NAME) -> Column:
     names = F.filter(F.regexp_extract_all(squash(tail), F.lit(name), F.lit(0)), lambda n: ~n.isin(*NOT_A_NAME))
     return F.struct(
         names.alias("names"),
-        F.transform(F.regexp_extract_all(head, F.lit(SCORE), F.lit(0)), lambda s: s.cast("decimal(6,2)")).alias("scores"),
-        F.when(stated != "", stated.cast("decimal(6,2)")).alias("stated"),
+        F.transform(F.regexp_extract_all(head, F.lit(SCORE), F.lit(0)), lambda s: s.try_cast("decimal(6,2)")).alias("scores"),
+        F.when(stated != "", stated.try_cast("decimal(6,2)")).alias("stated"),
     )
 
 
 def extract_pairs(pages: DataFrame, name: str = SHORT_NAME) -> DataFrame:
-    """``pages(period, page_no, raw)`` to (period, entity, score, source, place); pages whose counts differ give no rows."""
+    """``pages(period, page_no, raw)`` to (period, entity, score, source, place); ``rejected_pages`` has the pages without rows."""
     lists = pages.select("period", "page_no", paired_lists(F.col("raw"), name).alias("p"))
-    good = lists.filter((F.size("p.names") == F.size("p.scores")) & (F.size("p.scores") > 0))
-    return good.select(
+    return lists.filter(_page_fault().isNull()).select(
         "period", page_id(F.col("period"), F.col("page_no")).alias("source"), F.posexplode(F.arrays_zip("p.names", "p.scores")).alias("place", "x")
     ).select("period", F.col("x.names").alias("entity"), F.col("x.scores").alias("score"), "source", (F.col("place") + 1).alias("place"))
 
 
+def _page_fault() -> Column:
+    """Why the lists ``p`` of a page can't be paired; NULL when they can."""
+    names, scores = F.coalesce(F.size("p.names"), F.lit(0)), F.coalesce(F.size("p.scores"), F.lit(0))  # a blank page has no lists
+    return (
+        F.when((scores == 0) & (names == 0), "no scores")
+        .when(names != scores, "counts differ")
+        .when(F.exists("p.scores", lambda s: s.isNull()), "score out of range")
+    )
+
+
+def rejected_pages(pages: DataFrame, name: str = SHORT_NAME) -> DataFrame:
+    """The pages that ``extract_pairs`` gives no rows for: (period, source, n_names, n_scores, reason)."""
+    lists = pages.select("period", "page_no", paired_lists(F.col("raw"), name).alias("p"))
+    return lists.withColumn("reason", _page_fault()).filter("reason is not null").select(
+        "period", page_id(F.col("period"), F.col("page_no")).alias("source"), F.size("p.names").alias("n_names"), F.size("p.scores").alias("n_scores"), "reason")
+
+
 def metric_of_title(titles: DataFrame, official: DataFrame) -> DataFrame:
     """The official metric that a page title ends with: longest wins, two of one length are ambiguous.
 
@@ -143,15 +159,16 @@ def tier_pages(pages: DataFrame, names: DataFrame, tier: str = TIER_NAME, averag
     rows = kept.join(heads.drop("raw"), "source")
     first = F.min(F.struct("source", "tier", "avg")).alias("r")
     return rows.groupBy("period", "entity").agg(first).select(
-        "period", "entity", F.col("r.tier").alias("tier"), F.col("r.avg").cast("decimal(6,2)").alias("tier_avg"), F.col("r.source").alias("source"))
+        "period", "entity", F.col("r.tier").alias("tier"), F.col("r.avg").try_cast("decimal(6,2)").alias("tier_avg"), F.col("r.source").alias("source"))
 
 
 def ranked_table(text: Column, name: str = SHORT_NAME) -> Column:
-    """struct(tier, pairs) of a tier score table, NULL when the page is none."""
+    """struct(tier, pairs, unpaired) of a tier score table, NULL when the page is none; ``unpaired`` are scores without a name and names without a score."""
     tier = F.regexp_extract(text, r"—\s*([^。]*?)\s*机场综合得分", 1)
     lists = paired_lists(text, name)
     pairs = F.zip_with(lists["scores"], lists["names"], lambda s, n: F.struct(s.alias("score"), n.alias("entity")))
-    return F.when(tier != "", F.struct(tier.alias("tier"), F.filter(pairs, lambda p: p["score"].isNotNull() & p["entity"].isNotNull()).alias("pairs")))
+    return F.when(tier != "", F.struct(tier.alias("tier"), F.filter(pairs, lambda p: p["score"].isNotNull() & p["entity"].isNotNull()).alias("pairs"),
+        F.filter(pairs, lambda p: p["score"].isNull() | p["entity"].isNull()).alias("unpaired")))
 
 
 def chunk_ids(text: Column) -> Column:
@@ -175,7 +192,7 @@ def parse_citations(asks: DataFrame) -> DataFrame:
     named = F.regexp_extract(half, REPORT_NAME, 1)
     page = F.regexp_extract(half, REPORT_NAME, 2)
     bare = ~half.rlike("[=:]")
-    number = F.when(page != "", page.cast("int"))
+    number = F.when(page != "", page.try_cast("int"))
     as_page = F.concat(F.lit("chunk="), page_id(named, number))
     base = asks.select(
         "question_id",

@@ -7,6 +7,7 @@ Every label carries a status, and an ambiguous one never turns into a value.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import NUMBER, RANK_NUMERAL, TOP_N, numeral  # noqa: F401
@@ -14,6 +15,7 @@ from plumbline.functions.periods import PERIOD_LOOSE, periods_in
 from plumbline.operators import ranking as R
 from plumbline.operators.combine import nearest_preceding
 from plumbline.operators.matching import longest_mentions, phrase_positions
+from plumbline.operators.topk import direction_aware
 
 # Word lists and patterns of the question language.
 NUMERIC = r"多少|几分|几期|第几|排名|名次|前\s*\d|最高|最低|得分|分数|样本量|家数"
@@ -24,7 +26,7 @@ POSITION = (
     "|最高|最低|最强|最弱|最好|最差|最大|最小|最多|最少|最后|垫底|倒数"
 )
 HEADLINE = ("综合得分", "综合评分", "综合分", "总分", "总评分", "总得分", "整体得分", "整体分")
-WHOLE = "综合得分|综合评分|综合分|总分|总评分|总得分|整体得分|整体分"
+WHOLE = "|".join(HEADLINE)
 VAGUE = "(?<![一-鿿])得分|的得分|是多少分|多少分|分数"
 VAGUE_ASK = "表现|如何|怎么样|怎样|情况"
 RANK_WORDS = r"排名|名次|第几|第\s*\d+\s*名|前\s*\d+|最后|末位|垫底|倒数|最差|最弱|最好|最强"
@@ -52,6 +54,8 @@ UP_WORDS = "上升|上涨|变好|进步|提高|涨了|好了"
 MULTI_STEP = "[，,；;]|如果|要是|假如|顺便|以及|还有"
 PREFERENCE = "关注|在意|重点|喜欢|习惯|以后|别再|不用|不要|偏向|更想看"
 MEAN_WORDS = "平均|均值"
+WORST_WORDS = "最低|最差|垫底|最后"
+LISTED = 5  # a metric or the headline without an entity is answered by so many rows
 LIMIT = r"\d+万\s*[-~]\s*\d+万|\d+万级以上|\d+万级|[一-鿿]{2,6}(?:声明|简介)"
 NEAR_RATIO = 0.45
 
@@ -329,14 +333,17 @@ def pair_mentions(labelled: DataFrame, names: DataFrame) -> DataFrame:
 def nearest_names(words: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     """Up to ``k`` catalog names at least 45 % alike by edit distance. ``words(word)``.
 
-    The measure is ``1 - levenshtein / longer length``. The catalog travels as one row.
+    The measure is ``1 - levenshtein / longer length``, so only names of a length that it allows meet a word.
     """
-    catalog = names.select(F.col(names.columns[0]).alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("catalog"))
-    ratio = lambda w, n: 1 - F.levenshtein(w, n) / F.greatest(F.length(w), F.length(n))
-    scored = F.transform("catalog", lambda n: F.struct((-ratio(F.col("word"), n)).alias("r"), n.alias("name")))
-    near = F.slice(F.sort_array(F.filter(scored, lambda x: -x["r"] >= NEAR_RATIO)), 1, k)
-    return words.select("word").distinct().join(F.broadcast(catalog)).select(  # one row
-        "word", F.array_join(F.transform(near, lambda x: x["name"]), "/").alias("near"))
+    catalog = names.select(F.col(names.columns[0]).alias("name")).distinct().withColumn("n", F.length("name"))
+    asked = words.select("word").distinct().withColumn("w", F.length("word"))
+    lengths = F.sequence(F.ceil(F.col("w") * NEAR_RATIO).cast("int"), F.floor(F.col("w") / NEAR_RATIO).cast("int"))
+    ratio = 1 - F.levenshtein("word", "name") / F.greatest("w", "n")
+    alike = asked.withColumn("n", F.explode(lengths)).join(catalog, "n").withColumn("r", ratio).filter(F.col("r") >= NEAR_RATIO)
+    order = W.partitionBy("word").orderBy(F.desc("r"), "name")
+    first = alike.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    near = first.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("near"))  # at most k
+    return asked.join(near, "word", "left").select("word", F.coalesce(F.array_join(F.transform("near", lambda x: x["name"]), "/"), F.lit("")).alias("near"))
 
 
 def word_periods(words: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -424,20 +431,21 @@ def ranked_requirement(text: Column, tier_word: str = TIER_WORD) -> Column:
 
 
 def question_kind(labelled: DataFrame) -> Column:
-    """What is asked, by precedence: metadata, metric, all metrics, top n, tier mean, tier membership, tier list, headline."""
+    """What is asked, by precedence: metadata, metric (of entities, or its list), all metrics, top n, tier mean, tier membership, tier list, headline (or its list)."""
     text = F.col("text")
     component = F.col("metric").isNotNull() & ~F.col("metric").isin(*HEADLINE)
     one = F.size("entities") == 1
     return (
         F.when(F.contains(text, F.lit("样本量")), "metadata")
-        .when(component & ~text.rlike(WHOLE), "metric")
+        .when(component & ~text.rlike(WHOLE), F.when(F.size("entities") == 0, "metric_list").otherwise("metric"))
         .when(one & F.contains(text, F.lit("各项")), "all_metrics")
         .when(top_wanted(text).isNotNull() & (F.size("entities") == 0), "top_n")
         .when(F.col("tier").isNotNull() & text.rlike(MEAN_WORDS), "tier_mean")
         .when((F.size("entities") > 0) & F.contains(text, F.lit("档")), "tier_of")
         .when(F.col("tier").isNotNull(), "tier_list")
-        .when((F.size("entities") == 0) & text.rlike("最低|最差|垫底|最后"), "lowest")
+        .when((F.size("entities") == 0) & text.rlike(WORST_WORDS), "lowest")
         .when(F.size("entities") > 0, "headline")
+        .when(F.col("metric").isin(*HEADLINE) | text.rlike(WHOLE), "headline_list")
         .otherwise("cannot_tell")
     )
 
@@ -449,7 +457,7 @@ def answer_questions(routed: DataFrame, names: DataFrame, score: DataFrame, metr
     score tables, so the work does not depend on how many questions ask for the same thing.
     """
     asked = routed.filter("route = 'sql'").withColumn("kind", question_kind(routed))
-    asked = asked.select("question_id", "kind", "metric", "tier", "entities", top_wanted(F.col("text")).alias("n"), F.explode("targets").alias("period"))
+    asked = asked.select("question_id", "kind", "metric", "tier", "entities", top_wanted(F.col("text")).alias("n"), F.col("text").rlike(WORST_WORDS).alias("worst"), F.explode("targets").alias("period"))
     pairs = pair_mentions(routed.filter("route = 'sql'"), names)
     every = asked.withColumn("entity", F.explode("entities"))
     together = pairs.select("question_id").distinct()
@@ -469,6 +477,8 @@ def answer_questions(routed: DataFrame, names: DataFrame, score: DataFrame, metr
     parts = [
         lines(of("metadata", asked).join(meta, "period"), F.lit("sample_n"), c("sample_n"), none),
         lines(of("metric", each).join(metric_score, ["period", "metric", "entity"]), c("entity"), c("score"), c("source")),
+        lines(direction_aware(metric_score, of("metric_list", asked), LISTED), c("entity"), c("score"), c("source")),
+        lines(of("headline_list", asked).join(ranked.filter(c("row_no") <= LISTED), "period"), c("entity"), c("score"), c("source")),
         lines(of("all_metrics", each).drop("metric").join(metric_score, ["period", "entity"]), c("metric"), c("score"), c("source")),
         lines(of("top_n", asked).join(ranked, "period").filter("row_no <= n"), c("entity"), c("score"), c("source")),
         lines(of("tier_mean", asked).join(means, ["period", "tier"]), c("tier"), c("tier_mean"), none),

@@ -173,7 +173,7 @@ def source_label(source: Column) -> Column:
     period = F.regexp_extract(source, r"^(\d{4}Q\d)-P(\d+)$", 1)
     page = F.regexp_extract(source, r"^(\d{4}Q\d)-P(\d+)$", 2)
     return F.when(period == "", source).otherwise(
-        F.concat(period, F.lit(", page "), F.when(page != "", page.cast("int").cast("string")))
+        F.concat(period, F.lit(", page "), F.when(page != "", page.try_cast("int").cast("string")))
     )
 
 

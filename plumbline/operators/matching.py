@@ -1,9 +1,10 @@
 """Where do these phrases occur in those texts? One exact substring join for every caller.
 
 Each phrase is entered under an anchor, its first 16, 8, 4, 2 or 1 characters. Each text is
-unfolded into one window of 16 characters per position, the heads of the window meet the anchors by
-equality, and the rest of the phrase is compared in the same join. Nothing is ever paired without a
-shared anchor.
+unfolded into one window of 16 characters per position; the heads of the window, of those lengths
+that some phrase has, are first held against the marks of all anchors (a table of bounded size), and
+what is left meets the anchors by equality. The rest of the phrase is then compared. Nothing is ever
+paired without a shared anchor, and the plan is the same for any number of phrases.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
-
 WINDOW = 16
 ANCHORS = (16, 8, 4, 2, 1)
-FEW = 4096
+MARKS = 1 << 16
 
 
 def _anchor_length(needle: Column) -> Column:
@@ -35,45 +34,29 @@ def _windows(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1))
 
 
-def phrase_positions(
-    texts: DataFrame,
-    phrases: DataFrame,
-    fold_case: bool = True,
-    max_rows: int = BROADCAST_MAX_ROWS,
-    max_bytes: int = BROADCAST_MAX_BYTES,
-) -> DataFrame:
+def phrase_positions(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
     """Every occurrence as (text_id, phrase_id, pos, len); ``pos`` counts characters from 1.
 
-    ``texts(text_id, text)``; ``phrases(phrase_id, phrase)``. A phrase table within the bounds is
-    broadcast and the texts never move; a larger one is joined by a shuffle on the gram, and the
-    candidates then meet their text by id.
+    ``texts(text_id, text)`` with one row per id; ``phrases(phrase_id, phrase)``. Only positions whose mark is
+    that of an anchor go on, without their text; phrases longer than a window meet the text again by id.
     """
     fold = F.lower if fold_case else (lambda c: c)
     needles = phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0)
-    needles = needles.withColumn("w", _anchor_length(F.col("needle"))).withColumn("begin", F.substring("needle", 1, WINDOW))
-    n, n_bytes, shortest, lengths = needles.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)), F.min(F.length("begin")), F.collect_set("w")
-    ).first()
-    if n <= FEW:  # one probe per position; sharing a short head is harmless among few phrases
-        lengths = [shortest or WINDOW]
-        needles = needles.withColumn("w", F.lit(lengths[0]))
-    needles = needles.select("phrase_id", "needle", "begin", F.xxhash64(F.expr("substring(needle, 1, w)")).alias("head"))
-    heads = [F.xxhash64(F.substring("win", 1, w)) for w in sorted(lengths)]
+    needles = needles.withColumn("w", _anchor_length(F.col("needle"))).select(
+        "phrase_id", "needle", "w", F.substring("needle", 1, WINDOW).alias("begin"), F.xxhash64(F.expr("substring(needle, 1, w)")).alias("head"))
+    lengths = needles.agg(F.collect_set("w").alias("lengths"))  # one row, at most len(ANCHORS) values
+    marks = needles.select(F.pmod("head", F.lit(MARKS)).alias("mark")).distinct()  # at most MARKS rows
     hay = texts.select("text_id", fold(F.col("text")).alias("hay"))
-    # a short phrase is compared inside its window, a long one against the text once its first 16 characters agree
-    begins = F.startswith("win", "begin")
-    rest = (F.length("needle") <= WINDOW) | F.expr("substring(hay, p + 1, length(needle)) = needle")
-    out = ("text_id", "phrase_id", (F.col("p") + 1).alias("pos"), F.length("needle").alias("len"))
-    windows = hay.select("text_id", "hay", F.posexplode(_windows(F.col("hay"))).alias("p", "win"))
+    windows = hay.select("text_id", F.posexplode(_windows(F.col("hay"))).alias("p", "win")).join(F.broadcast(lengths))
     # at the end of a text the heads of several lengths are one
-    head = heads[0] if len(heads) == 1 else F.explode(F.array_distinct(F.array(*heads)))
-    if n <= max_rows and n_bytes <= max_bytes:
-        return windows.select("*", head.alias("head")).join(F.broadcast(needles), "head").filter(begins & rest).select(*out)
-    unfolded = windows.select("text_id", "p", "win", head.alias("head"))
-    candidates = unfolded.join(needles, "head").filter(begins)
-    short = candidates.filter(F.length("needle") <= WINDOW)
-    long = candidates.filter(F.length("needle") > WINDOW).join(hay, "text_id").filter(rest)
-    return short.select(*out).unionByName(long.select(*out))
+    heads = F.array_distinct(F.transform("lengths", lambda w: F.xxhash64(F.substring("win", F.lit(1), w))))
+    unfolded = windows.select("text_id", "p", "win", F.explode(heads).alias("head")).withColumn("mark", F.pmod("head", F.lit(MARKS)))
+    likely = unfolded.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    candidates = likely.join(needles, "head").filter(F.startswith("win", "begin"))
+    out = ("text_id", "phrase_id", (F.col("p") + 1).alias("pos"), F.length("needle").alias("len"))
+    # a long phrase is compared against the text once its first 16 characters agree
+    rest = (F.length("needle") <= WINDOW) | F.expr("substring(hay, p + 1, length(needle)) = needle")
+    return candidates.join(hay, "text_id").filter(rest).select(*out)
 
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:

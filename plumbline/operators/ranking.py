@@ -89,7 +89,7 @@ def tie_report(score: DataFrame, show: int = 2) -> DataFrame:
 
 
 def with_neighbours(score: DataFrame) -> DataFrame:
-    """Previous and next *observed* period of each entity, and the change from the previous one."""
+    """Previous and next *observed* period of each entity, the change from the previous one, and where that one stands."""
     w = W.partitionBy("entity").orderBy("period")
     return score.select(
         "*",
@@ -97,6 +97,7 @@ def with_neighbours(score: DataFrame) -> DataFrame:
         F.lag("score").over(w).alias("prev_score"),
         F.lead("period").over(w).alias("next_period"),
         (F.col("score") - F.lag("score").over(w)).alias("delta"),
+        *([F.lag("source").over(w).alias("prev_source")] if "source" in score.columns else []),
     )
 
 

@@ -23,7 +23,7 @@ def report_wide(score: DataFrame, metric_score: DataFrame, members: DataFrame) -
     inside = R.rank_table(placed, ["period", "tier"]).select(
         "period", "entity", F.col("row_no").alias("tier_row_no"), F.col("group_n").alias("tier_n"))
     tier_mean = placed.groupBy("period", "tier").agg(F.round(R.exact_mean(), 2).alias("tier_mean"))
-    moved = R.with_neighbours(score).select("period", "entity", "prev_period", "prev_score", "delta")
+    moved = R.with_neighbours(score).select("period", "entity", "prev_period", "prev_score", "prev_source", "delta")
     metrics = R.extremes(R.with_deviations(metric_score, members))
     return (
         placed.join(overall, ["period", "entity"]).join(inside, ["period", "entity"]).join(tier_mean, ["period", "tier"])
@@ -49,7 +49,7 @@ def report_records(score: DataFrame, metric_score: DataFrame, members: DataFrame
         fact(F.col("entity_n"), none, "count of the period").alias("entity_n"),
         fact(F.col("tier_row_no"), none, "row number in the tier").alias("tier_rank"),
         fact(F.col("tier_mean"), none, "mean of the tier").alias("tier_mean"),
-        fact(F.col("prev_score"), F.when(F.col("prev_score").isNotNull(), F.concat(F.col("prev_period"), F.substring("source", 7, 99))), "table").alias("prev_score"),
+        fact(F.col("prev_score"), F.col("prev_source"), "table").alias("prev_score"),
         fact(F.col("delta"), none, "score - previous score").alias("delta"),
         "strongest", "weakest", "metrics",
     )

@@ -6,7 +6,6 @@ Results are always ``(query_id, id, rank, ...)``. Ties are broken by id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -115,88 +114,89 @@ def term_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search_terms(chunks: DataFrame, queries: DataFrame, k: int = 5, mode: str = "best") -> DataFrame:
-    """Search each term alone, keep ``k`` per term, then the best (or summed) score per chunk, then ``k``."""
+    """Search each term alone, then the best score per chunk among the first ``k`` of each term (or the sum over all terms), then ``k``."""
     terms = split_terms(queries)
     distinct = terms.select(F.col("term").alias("phrase_id"), F.col("term").alias("phrase")).distinct()
-    per_term = best_first(phrase_scores(chunks, distinct), "phrase_id", "bm25", k)
+    scores = phrase_scores(chunks, distinct)
+    per_term = best_first(scores, "phrase_id", "bm25", k).drop("rank") if mode == "best" else scores  # a sum needs every term's whole list
     wanted = terms.select("query_id", F.col("term").alias("phrase_id")).distinct()
-    merged = per_term.drop("rank").join(wanted, "phrase_id").groupBy("query_id", "id").agg(
+    merged = per_term.join(wanted, "phrase_id").groupBy("query_id", "id").agg(
         (F.max if mode == "best" else F.sum)("bm25").alias("bm25")
     )
     return best_first(merged, "query_id", "bm25", k).select("query_id", "id", "rank", "bm25")
 
 
-def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query vectors in blocks of about ``rows``: what one task holds is bounded, the number of blocks is not."""
-    n = queries.count()
-    blocks = max(1, math.ceil(n / rows))
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        pdf = part.orderBy("query_id").toPandas()
-        if len(pdf):
-            only = pdf["only"].to_numpy() if "only" in pdf else np.full(len(pdf), None)
-            yield pdf["query_id"].to_numpy(), np.vstack(pdf["embedding"].to_list()).astype(np.float64), only
+def _packed(rows: DataFrame, key: str, part: str, extra: list[str], per_part: int, least: int = 1) -> tuple[DataFrame, int]:
+    """One row per part of about ``per_part`` rows, dealt by hash: ids, the vectors as one run of doubles, and the extra columns as arrays."""
+    parts = max(least, math.ceil(rows.count() / per_part))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"{part} int", f"{key}s array<bigint>", f"{part}_vectors binary", *[f"{c} array<{kinds[c]}>" for c in extra]])
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.vstack(pdf["embedding"].to_list()).astype(np.float64)
+        return pd.DataFrame({part: pdf[part][:1], f"{key}s": [pdf[key].to_list()], f"{part}_vectors": [v.tobytes()], **{c: [pdf[c].astype(object).where(pdf[c].notna(), None).to_list()] for c in extra}})
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+    dealt = rows.select(F.col(key).cast("bigint").alias(key), "embedding", *extra, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(part))
+    return dealt.groupBy(part).applyInPandas(pack, schema), parts
+
+
+def _meetings(queries: DataFrame, corpus: DataFrame, block_rows: int, shard_rows: int) -> DataFrame:
+    """A row for every block of queries with every shard of the corpus; nothing passes through the driver."""
+    blocks, _ = _packed(queries, "query_id", "block", [c for c in ("only", "asked") if c in queries.columns], block_rows)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    shards, n = _packed(corpus, "id", "shard", [c for c in ("grp",) if c in corpus.columns], shard_rows, cores)
+    return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("shard", "block").join(shards, "shard")
+
+
+def _vectors(row, part: str, ids) -> np.ndarray:
+    return np.frombuffer(row[f"{part}_vectors"], np.float64).reshape(len(ids), -1)
+
+
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, block_rows: int = 1024, shard_rows: int = 16384) -> DataFrame:
     """Exact cosine top-k of unit vectors: (query_id, id, rank, cosine).
 
-    ``queries(query_id, embedding[, only])``; ``corpus(id, embedding[, grp])``. Each Arrow batch of the
-    corpus is multiplied with a block of queries where it lies and gives up its own best ``k`` per
-    query, so the shuffle carries k rows per query and batch, never all pairs. ``only`` restricts a
-    query to one ``grp`` before the cut.
+    ``queries(query_id, embedding[, only])``; ``corpus(id, embedding[, grp])``. Each block of queries is multiplied
+    with each shard of the corpus and keeps its best ``k`` per query, so k rows per query and shard go on,
+    never all pairs. ``only`` restricts a query to one ``grp`` before the cut.
     """
-    grouped = "grp" in corpus.columns
-    out = None
-    for ids, q, only in _query_blocks(queries, block_rows):
-
-        def score(batches, ids=ids, q=q, only=only):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.vstack(pdf["embedding"].to_list()).astype(np.float64)
-                s = np.round(q @ v.T, 6)
-                if grouped:
-                    g = pdf["grp"].to_numpy()
-                    for i, want in enumerate(only):
+
+    def score(batches):
+        for batch in batches:
+            for _, row in batch.iterrows():
+                ids, cid = np.asarray(row["query_ids"]), np.asarray(row["ids"])
+                s = np.round(_vectors(row, "block", ids) @ _vectors(row, "shard", cid).T, 6)
+                if "grp" in row and "only" in row:
+                    g = np.asarray(row["grp"])
+                    for i, want in enumerate(row["only"]):
                         if want is not None:
                             s[i, g != want] = -np.inf
-                cid = pdf["id"].to_numpy()
                 order = np.lexsort((np.broadcast_to(cid, s.shape), -s), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(ids)), order.shape[1])
                 cols = order.ravel()
                 keep = np.isfinite(s[rows, cols])
                 yield pd.DataFrame({"query_id": ids[rows][keep], "id": cid[cols][keep], "cosine": s[rows, cols][keep]})
 
-        part = spread(corpus).mapInPandas(score, "query_id bigint, id bigint, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, rank int, cosine double")
-    return best_first(out, "query_id", "cosine", k).select("query_id", "id", "rank", "cosine")
+    found = _meetings(queries, corpus, block_rows, shard_rows).mapInPandas(score, "query_id bigint, id bigint, cosine double")
+    return best_first(found, "query_id", "cosine", k).select("query_id", "id", "rank", "cosine")
 
 
-def vector_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, block_rows: int = 4096) -> DataFrame:
+def vector_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, block_rows: int = 1024, shard_rows: int = 16384) -> DataFrame:
     """Exact ranks of chosen ids in the full cosine order: (query_id, id, rank), however deep they lie.
 
-    ``wanted(query_id, id, cosine)`` is a short list per query. Every batch counts how many of its rows
+    ``wanted(query_id, id, cosine)`` is a short list per query. Every shard counts how many of its rows
     fall before each wanted entry; only these counts are shuffled.
     """
-    out = None
-    for ids, q, _ in _query_blocks(queries, block_rows):
-        lists = wanted.groupBy("query_id").agg(F.collect_list(F.struct("cosine", "id")).alias("w"))
-        short = {r["query_id"]: sorted((-x["cosine"], x["id"]) for x in r["w"]) for r in lists.filter(
-            F.col("query_id").isin([int(i) for i in ids])).toLocalIterator()}
-
-        def count(batches, ids=ids, q=q, short=short):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.vstack(pdf["embedding"].to_list()).astype(np.float64)
-                s = -np.round(q @ v.T, 6)
-                cid = pdf["id"].to_numpy()
+    entry = F.struct((-F.col("cosine")).alias("minus"), F.col("id").cast("bigint").alias("id"))
+    lists = wanted.groupBy("query_id").agg(F.struct(F.array_sort(F.collect_list(entry)).alias("list")).alias("asked"))
+
+    def count(batches):
+        for batch in batches:
+            for _, row in batch.iterrows():
+                ids, cid = np.asarray(row["query_ids"]), np.asarray(row["ids"])
+                s = -np.round(_vectors(row, "block", ids) @ _vectors(row, "shard", cid).T, 6)
                 rows = []
                 for i, qid in enumerate(ids):
-                    asked = short.get(qid, [])
+                    asked = [(x["minus"], x["id"]) for x in row["asked"][i]["list"]]
                     edges = np.array([x[0] for x in asked])
                     slot = np.searchsorted(edges, s[i], "left")
                     # rows level with a wanted entry go by id
@@ -206,10 +206,7 @@ def vector_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, block
                     rows.extend((qid, x[1], int(ahead[j])) for j, x in enumerate(asked))
                 yield pd.DataFrame(rows, columns=["query_id", "id", "n"])
 
-        part = spread(corpus).mapInPandas(count, "query_id bigint, id bigint, n bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return wanted.select("query_id", "id", F.lit(1).cast("bigint").alias("rank")).limit(0)
+    out = _meetings(queries.join(lists, "query_id"), corpus, block_rows, shard_rows).mapInPandas(count, "query_id bigint, id bigint, n bigint")
     return out.groupBy("query_id", "id").agg((F.sum("n") + 1).alias("rank"))
 
 
@@ -308,17 +305,14 @@ def drop_periods(terms: Column) -> Column:
 
 
 def back_off(chunks: DataFrame, queries: DataFrame, rounds: int = 3, k: int = 5) -> DataFrame:
-    """Zero-hit fallback: drop the last word, at most ``rounds`` times, and keep the first attempt that hits.
+    """Zero-hit fallback: drop the last word, at most ``rounds`` times, and keep the first attempt that hits. What stays is unchanged.
 
     All attempts of all queries are searched in one pass over the corpus; ``attempt`` says which one answered.
     """
-    words = F.split(F.trim("phrase"), r"\s+")
+    said = F.trim("phrase")
+    shorter = F.array(said, *[F.regexp_replace(said, rf"(?:\s+\S+){{{r}}}$", "") for r in range(1, rounds + 1)])
     tries = queries.select(
-        "query_id",
-        F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(rounds), F.size(words) - 1)),
-            lambda r: F.array_join(F.slice(words, F.lit(1), F.size(words) - r), " "),
-        )).alias("attempt", "phrase"),
+        "query_id", F.posexplode(F.slice(shorter, F.lit(1), F.least(F.lit(rounds + 1), F.size(F.split(said, r"\s+"))))).alias("attempt", "phrase")
     ).filter(searchable(F.col("phrase")))
     keys = tries.select(F.concat_ws("|", "query_id", "attempt").alias("phrase_id"), "phrase", "query_id", "attempt")
     scores = phrase_scores(chunks, keys.select("phrase_id", "phrase")).join(

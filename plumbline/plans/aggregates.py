@@ -21,9 +21,10 @@ def sql_numbers(x: str) -> str:
     for _ in range(3):
         x = f"regexp_replace({x}, '(\\d),(\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g')"
     return (
-        f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({x}, '\\d+(?:\\.\\d+)?'), "
-        "lambda n: length(n) <= 30), lambda n: "
-        "regexp_replace(CAST(round(CAST(n AS DECIMAL(38,6)), 2) AS VARCHAR), '\\.?0+$', ''))))"
+        f"list_sort(list_distinct(list_transform(regexp_extract_all({x}, '\\d+(?:\\.\\d+)?'), lambda n: "
+        "coalesce(regexp_replace(CAST(round(TRY_CAST(n AS DECIMAL(38,6)), 2) AS VARCHAR), '\\.?0+$', ''), "
+        "CASE WHEN contains(n, '.') THEN regexp_replace(regexp_replace(n, '^0+(\\d)', '\\1'), '\\.?0+$', '') "
+        "ELSE regexp_replace(n, '^0+(\\d)', '\\1') END))))"
     )
 
 

@@ -9,6 +9,7 @@ from plumbline.operators import combine as C
 from plumbline.operators import matching as M
 from plumbline.functions.numbers import canonical_numbers
 from plumbline.plans.oracle import oracle
+from plumbline.operators.topk import top_n
 from plumbline.plans.registry import plan
 from plumbline.sources import views as V
 
@@ -62,8 +63,9 @@ def rankings(t):
     """One stated top three per order: the true list, short by its last name for every third key."""
     placed = V.score(t).join(V.members(t), "entity")
     k = F.col("question_id")
-    first = placed.groupBy("period", "tier").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity"))).alias("r"))  # a tier's members
-    names = F.transform(F.slice("r", 1, 3), lambda x: F.concat(x["entity"], F.lit("。")))
+    best = top_n(placed, 3, ["period", "tier"])
+    first = best.groupBy("period", "tier").agg(F.sort_array(F.collect_list(F.struct("row_no", "entity"))).alias("r"))  # three
+    names = F.transform("r", lambda x: F.concat(x["entity"], F.lit("。")))
     listed = F.array_join(F.when(k % 3 == 0, F.slice(names, 1, 2)).otherwise(names), "")
     q = V.question(t).select("question_id", F.col("p").alias("period"), F.col("t").alias("tier"))
     return q.join(first, ["period", "tier"]).select(k.alias("answer_id"), "period", "tier", listed.alias("answer")), placed

@@ -283,7 +283,7 @@ def set_version_numbers(t):
 
 
 REPORT = f"""SELECT r.period, r.entity, m.tier, r.score, r.row_no, r.entity_n, r.tie_n, x.tier_row_no, x.tier_n, x.mean_h / 100.0 AS tier_mean,
-    (r.h - x.mean_h) / 100.0 AS diff_tier, lag(r.period) OVER w AS prev_period, lag(r.score) OVER w AS prev_score, (r.h - lag(r.h) OVER w) / 100.0 AS delta,
+    (r.h - x.mean_h) / 100.0 AS diff_tier, lag(r.period) OVER w AS prev_period, lag(r.score) OVER w AS prev_score, lag(r.source) OVER w AS prev_source, (r.h - lag(r.h) OVER w) / 100.0 AS delta,
     e.strongest, e.weakest, e.n_above, e.n_below, r.source
     FROM ranked r JOIN members m USING (entity) JOIN (
       SELECT period, entity, row_number() OVER (PARTITION BY period, tier ORDER BY h DESC, entity) AS tier_row_no, count(*) OVER (PARTITION BY period, tier) AS tier_n,
@@ -300,12 +300,12 @@ def rpt_entity_report(t):
     """RPT-1: the report of every (period, entity), flattened."""
     return P.report_wide(V.score(t), V.metric_score(t), V.members(t)).select(
         "period", "entity", "tier", *dbl("score"), "row_no", "entity_n", "tie_n", "tier_row_no", "tier_n", *dbl("tier_mean", "diff_tier"),
-        "prev_period", *dbl("prev_score", "delta"), "strongest", "weakest", "n_above", "n_below", "source")
+        "prev_period", *dbl("prev_score"), "prev_source", *dbl("delta"), "strongest", "weakest", "n_above", "n_below", "source")
 
 
 APPENDIX = """SELECT period, entity, unnest(['score', 'rank', 'entity_n', 'tier_rank', 'tier_mean', 'prev_score', 'delta']) AS label,
       unnest([score, row_no, entity_n, tier_row_no, tier_mean, prev_score, delta]) AS value,
-      unnest([source, source, NULL, NULL, NULL, concat(prev_period, source[7:]), NULL]) AS src FROM rep UNION ALL
+      unnest([source, source, NULL, NULL, NULL, prev_source, NULL]) AS src FROM rep UNION ALL
     SELECT period, entity, metric, score, source FROM metric_score"""
 
 

@@ -216,8 +216,11 @@ def ret_drop_periods(t):
     return V.query(t).select("query_id", F.array_join(S.drop_periods(F.split(tagged, " ")), " ").alias("terms"))
 
 
-TRIES = """SELECT query_id, attempt, concat(query_id, '|', attempt) AS phrase_id, array_to_string(w[1:len(w) - attempt], ' ') AS phrase
-    FROM (SELECT query_id, string_split(phrase, ' ') AS w, unnest(range(0, least(3, len(string_split(phrase, ' ')) - 1) + 1)) AS attempt FROM query)"""
+TRIES = """SELECT query_id, attempt, concat(query_id, '|', attempt) AS phrase_id, phrase FROM (
+    SELECT query_id, unnest([0, 1, 2, 3]) AS attempt, len(string_split_regex(trim(phrase), '\\s+')) AS n,
+           unnest([trim(phrase), regexp_replace(trim(phrase), '(?:\\s+\\S+){1}$', ''), regexp_replace(trim(phrase), '(?:\\s+\\S+){2}$', ''),
+                   regexp_replace(trim(phrase), '(?:\\s+\\S+){3}$', '')]) AS phrase
+    FROM query) WHERE attempt < n"""
 
 
 @plan("ret_back_off", oracle("chunk query", """

@@ -19,7 +19,7 @@ from plumbline.sources import views as V
 LICENCE = (r"(?i)^\s*(?:Licensed under|Released under|This work is licensed)\b.*$",)
 NAME = r"NATION_\d+"
 FOOT = r"""(regexp_matches(x, '^\s*\d+\s*$') OR regexp_matches(x, '^\s*[页第]\s*$') OR regexp_matches(x, '(?i)Copyright|All rights reserved')
-    OR regexp_matches(x, '(?i)^\s*Source\s*[:：]\s*\S+\s*$') OR regexp_matches(x, '(?i)^\s*(?:Licensed under|Released under|This work is licensed)\b.*$'))"""
+    OR regexp_matches(x, '(?i)^\s*(?:Licensed under|Released under|This work is licensed)\b.*$'))"""
 LIST = r"^(?:[（(]\s*\d+\s*[)）]|[⚫◆●•·]|[-–—]\s|\d+\s*[.、])"
 
 
@@ -87,7 +87,7 @@ def cln_squash(t):
 
 
 CHUNKED = f"""SELECT concat(period, '-P', CASE WHEN doc_id < 10 THEN '0' ELSE '' END, doc_id) AS chunk_id, period, doc_id AS page_no, kind AS page_kind,
-    CASE WHEN kind = '数据页' THEN array_to_string({kept('text')}, chr(10)) ELSE {merged('text')} END AS text
+    {merged('text')} AS text
     FROM (SELECT *, {KIND} AS kind, concat(2020 + CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) // 4, 'Q', CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 4 + 1)
             AS period FROM documents) WHERE kind <> '空白页'"""
 

@@ -1,4 +1,4 @@
-"""Session defaults, durable cut points and size-checked broadcasts."""
+"""Session defaults and durable cut points."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when it is measured to be no larger than this.
-BROADCAST_MAX_ROWS = 200_000
-BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
 def local_session(cores: int | str = "*", app: str = "plumbline", memory: str = "8g") -> SparkSession:
@@ -53,23 +48,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(
-    df: DataFrame,
-    size_col: str | None = None,
-    max_rows: int = BROADCAST_MAX_ROWS,
-    max_bytes: int = BROADCAST_MAX_BYTES,
-) -> tuple[DataFrame, bool]:
-    """Measure ``df`` with one aggregate and hint a broadcast only when it is within the bounds.
-
-    Beyond the bounds the frame comes back unhinted, so Catalyst shuffles both sides and AQE may
-    split skewed partitions.
-    """
-    size = F.sum(F.octet_length(size_col)) if size_col else F.lit(0)
-    n, n_bytes = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    small = n <= max_rows and n_bytes <= max_bytes
-    return (F.broadcast(df) if small else df), small
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use the whole cluster for work that is heavy per row.
 

@@ -24,14 +24,25 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines."""
-    return spark.read.schema(CHUNK).json(path)
+def _parsed(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON texts ``value`` to (rows, texts that are no such object)."""
+    row = F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    read = lines.filter(F.trim("value") != "").withColumn("row", row)
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    return read.filter(~bad).select("row.*").drop("_bad"), read.filter(bad).select(F.col("value").alias("line"))
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """A run file that is one JSON array."""
-    return spark.read.schema(RUN).option("multiLine", True).json(path)
+def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines: (rows, rejected lines)."""
+    return _parsed(spark.read.text(path), CHUNK)
+
+
+def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Run files, each one JSON array: (rows, rejected items). One task reads a file, its items are then dealt out."""
+    whole = spark.read.text(path, wholetext=True)
+    items = whole.select(F.explode_outer(F.from_json("value", "ARRAY<STRING>")).alias("item"), "value")
+    lines = items.select(F.coalesce("item", "value").alias("value"))
+    return _parsed(lines.repartition(spark.sparkContext.defaultParallelism), RUN)
 
 
 def read_variants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -45,9 +56,12 @@ def read_variants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return rows, lines.filter(~good).select(F.col("value").alias("line"))
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question set without blank rows."""
-    return spark.read.schema(QUESTION).csv(path, header=True).filter(F.col("question_id").isNotNull() & (F.trim("question") != ""))
+def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Question set without blank rows: (questions, rows with an unreadable id or number)."""
+    read = spark.read.schema(f"{QUESTION}, _bad STRING").option("columnNameOfCorruptRecord", "_bad").csv(path, header=True)
+    said = read.filter((F.trim("question") != "") | F.col("_bad").isNotNull())
+    bad = F.col("question_id").isNull() | F.col("_bad").isNotNull()
+    return said.filter(~bad).drop("_bad"), said.filter(bad).select(F.coalesce("_bad", "question").alias("line"))
 
 
 def read_pages(spark: SparkSession, root: str, glob: str = "*", period: str = r"(\d{4}Q\d)") -> DataFrame:

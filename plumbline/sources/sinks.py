@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators.report import as_json, source_appendix
 
@@ -18,15 +19,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def load_table(df: DataFrame, path: str, partition_by: str = "period") -> None:
-    """Full rebuild of a table as Parquet, one folder per period."""
-    df.repartition(partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+def load_table(df: DataFrame, path: str, partition_by: str = "period", tasks: int = 16) -> None:
+    """Full rebuild of a table as Parquet, one folder per period; up to ``tasks`` tasks write the files of one period."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(tasks))
+    df.repartition(F.col(partition_by), spread).write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def write_run(results: DataFrame, path: str, tag: str) -> None:
     """Replace one tagged run and leave the others as they are."""
-    from pyspark.sql import functions as F
-
     results.withColumn("run_tag", F.lit(tag)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_tag").parquet(path)
 
 

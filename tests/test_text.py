@@ -20,8 +20,10 @@ def one(spark, text, expr):
 
 def test_wraps_footers_and_lists(spark):
     raw = "第一行\n续行\n（1）项目\n 12 \n页\n• 点\nCopyright X\nSource: Y\n末"
-    assert one(spark, raw, C.merge_wraps(F.col("text"))) == "第一行续行\n（1）项目\n• 点末"
-    assert one(spark, raw, C.strip_footers(F.col("text"))) == "第一行\n续行\n（1）项目\n• 点\n末"
+    own = (r"^Source: Y$",)  # a source line is a footer only where the publisher is named
+    assert one(spark, raw, C.merge_wraps(F.col("text"), own)) == "第一行续行\n（1）项目\n• 点末"
+    assert one(spark, raw, C.strip_footers(F.col("text"), own)) == "第一行\n续行\n（1）项目\n• 点\n末"
+    assert "Source: Y" in one(spark, raw, C.strip_footers(F.col("text")))
 
 
 def test_vertical_names_and_two_layouts(spark):
@@ -58,21 +60,19 @@ def test_duplicate_citation_key_is_an_error(spark):
     assert got == [(1, "repeated key", None), (2, None, {"表": "a", "期次": "b"}), (2, None, {"chunk": "2024Q2-P05"}), (3, None, {"chunk": "2024Q2-P05"}), (4, "empty", None)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"max_rows": 1}])
-def test_phrases_against_brute_force(spark, bounds):
+def test_phrases_against_brute_force(spark):
     rnd = random.Random(5)
     texts = [(i, "".join(rnd.choice("ab 中ß") for _ in range(rnd.randint(0, 90)))) for i in range(60)]
     texts.append((99, "x" * 40 + "a long phrase of many characters" + "x"))
-    words = sorted({t[j : j + n] for _, t in texts for j, n in ((0, 1), (3, 2), (5, 3), (2, 5), (1, 17), (4, 30)) if t[j : j + n]})
-    want = sorted((i, w, p + 1) for i, t in texts for w in words for p in range(len(t)) if t.startswith(w, p))
-    for limit in (M.FEW, 0):
-        saved, M.FEW = M.FEW, limit
-        try:
-            hits = M.phrase_positions(spark.createDataFrame(texts, "text_id int, text string"),
-                                      spark.createDataFrame([(w, w) for w in words], "phrase_id string, phrase string"), fold_case=False, **bounds)
-            assert sorted((r.text_id, r.phrase_id, r.pos) for r in hits.collect()) == want
-        finally:
-            M.FEW = saved
+    texts = [(i, t + "|a hot phrase that is everywhere|") for i, t in texts] + [(500, ""), (501, None)]
+    words = sorted({t[j : j + n] for _, t in texts if t for j, n in ((0, 1), (3, 2), (5, 3), (2, 5), (1, 17), (4, 30), (2, 40)) if t[j : j + n]} | {"a hot phrase that is everywhere"})
+    want = sorted((i, w, p + 1) for i, t in texts if t for w in words for p in range(len(t)) if t.startswith(w, p))
+    for chosen in (words, [w for w in words if len(w) > 16], [w for w in words if len(w) == 1], []):
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+        hits = M.phrase_positions(spark.createDataFrame(texts, "text_id int, text string"),
+                                  spark.createDataFrame([(w, w) for w in chosen], "phrase_id string, phrase string"), fold_case=False)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before  # no job while the plan is built
+        assert sorted((r.text_id, r.phrase_id, r.pos) for r in hits.collect()) == [x for x in want if x[1] in set(chosen)]
 
 
 def test_one_space_is_the_same_version(spark):
