@@ -24,8 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words to a shingle, similarity 0.8 or more."""
-    return jaccard.one_per_component(docs, width=5, percent=80).select(*COLUMNS)
+    """One document of each group of near duplicates: five words to a shingle, similarity 0.85 or more."""
+    return jaccard.one_per_component(docs, width=5, percent=85).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

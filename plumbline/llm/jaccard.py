@@ -33,6 +33,7 @@ from plumbline.llm.components import connected
 WIDTH = 4
 PERCENT = 85
 BAND = 1.25  # sizes of one band share a number of slices
+SLACK = 0.12  # slices beyond the largest difference, as a share of it
 COMMON = 64  # a signature of more sets is common
 DEALS = 6  # hashes to deal by before a burdened set keeps whatever signatures it has
 BLOCK = 2048
@@ -85,12 +86,19 @@ def bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def least_shingles(percent: int) -> int:
+    """How many shingles a slice must have to count: two, if the slack then covers the slices with fewer in most sets, else one."""
+    mean = 1 / ((100 - percent) / percent * (1 + SLACK) * BAND)  # shingles to a slice of the smallest sets of a band
+    return 2 if math.exp(-mean) * (1 + mean) * (1 + SLACK) <= SLACK else 1
+
+
 def signatures(s: np.ndarray, at: np.ndarray, percent: int = PERCENT):
     """(set index, system, signature, slack left) of every slice with two or more shingles, for every system a set takes part in.
 
     A system is a band with its number of slices and a deal. A set takes part in its own band and in the lower one if a linked set may lie there.
     """
     ends = bands(percent)
+    least = least_shingles(percent)
     size = np.diff(at)
     band = np.searchsorted(ends, size, "right") - 1
     apart = (100 - percent) / percent  # largest symmetric difference over the smaller size
@@ -103,7 +111,7 @@ def signatures(s: np.ndarray, at: np.ndarray, percent: int = PERCENT):
         top = ends[np.maximum(b, 0) + 1] - 1  # largest smaller set of the band
         differ = np.floor(apart * top + 1e-9).astype(np.int64)
         may &= differ > 0  # sets this small are linked only if equal
-        slack = np.maximum(2, np.ceil(differ * 0.12).astype(np.int64))
+        slack = np.maximum(2, np.ceil(differ * SLACK).astype(np.int64))
         slices = differ + 1 + slack
         for deal in range(DEALS):
             which = np.flatnonzero(may)
@@ -125,7 +133,7 @@ def signatures(s: np.ndarray, at: np.ndarray, percent: int = PERCENT):
             owner = np.repeat(np.arange(len(which)), slices[which])
             place = np.arange(cells) - base[owner]
             system = (b[which] * DEALS + deal)[owner]
-            full = count >= 2
+            full = count >= least
             left = slack[which] - np.bincount(owner[~full], minlength=len(which))
             last = deal == DEALS - 1
             use = full | last  # the last deal uses every slice, so it loses nothing

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import SPACE_SEPARATED, arrow_batches, durable, mix, pieces, utf8, words
 
-POSITIVES = 4000
-UNLABELLED = 8000
+POSITIVES = 2500
+UNLABELLED = 5000
 HASHED = 1024
 SHAPES = 9
 FOLDS = 5

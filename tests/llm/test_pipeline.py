@@ -35,7 +35,7 @@ def test_stages(spark, sf, tmp_path):
             kept = {r.doc_id for r in quality.classify(docs, labels).filter("predicted = 1").collect()}
             assert set(ids) == kept and 0 < len(ids) < before
         elif i == 1:
-            want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+            want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 85)
             assert sorted(ids) == sorted(k for k, _, low in want if k == low)
         elif i == 2:
             hit = decontaminate.find_benchmark(docs, bench).filter("n_hit > 0").count()
