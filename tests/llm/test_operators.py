@@ -47,7 +47,7 @@ def test_virtual_slots(odd, odd_rows, none):
 
 
 def test_versions_of_the_map_move_few_slots(odd):
-    sized = sharding.sized_rows(odd, slots=64)
+    sized = sharding.sized_rows(odd.filter("length(text) < 3000"), slots=64)  # no row as heavy as a shard
     versions = sharding.build_map(sized, 4, 64)
     newest = versions.filter("version = 2")
     more = sharding.grown(newest, 4)
