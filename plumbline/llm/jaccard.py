@@ -6,7 +6,9 @@
    than ``slack`` whole slices, and sets that agree in one slice meet by the slice's signature. Slices of fewer than two shingles and
    signatures that very many sets have (a passage that is everywhere) say little; a set may ignore up to ``slack`` of them and still
    meets all its links. A set with more of them than that is dealt again with another hash, and keeps its common signatures.
-3. The sets of a component of signatures are stored in a prefix tree under one global order. One walk over the tree keeps the partial
+   Of what a set may ignore, the part that it doesn't need must be shared as well: a pair is a candidate only if it shares more signatures than
+   both can still spare. Signatures of more than ``PAIRED`` sets join their sets without that count.
+3. The sets of a component of candidates are stored in a prefix tree under one global order. One walk over the tree keeps the partial
    overlaps with all other sets, shares them below each node, and leaves a branch when the shingles that remain can't reach any set's bound.
    Components beyond ``BLOCK`` sets are dealt to pairs of blocks.
 4. Links become components by alternating stars; nothing is gathered but one block pair.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FOLD, SPACE_SEPARATED, arrow_batches, durable, mix, only, pieces, utf8, words
+from plumbline.llm.common import FOLD, SPACE_SEPARATED, arrow_batches, durable, mix, only, pieces, stored, utf8, words
 from plumbline.llm.components import connected
 
 WIDTH = 4
@@ -35,6 +37,8 @@ PERCENT = 85
 BAND = 1.25  # sizes of one band share a number of slices
 SLACK = 0.12  # slices beyond the largest difference, as a share of it
 COMMON = 64  # a signature of more sets is common
+PAIRED = 32  # signatures of up to so many sets are counted for each pair of them
+HELD_PAIRS = 300_000  # pairs a task counts before it gives them out
 DEALS = 6  # hashes to deal by before a burdened set keeps whatever signatures it has
 BLOCK = 2048
 RECENT = 50_000  # sets a task remembers, so that it sends the signatures of copies once
@@ -180,17 +184,39 @@ def _signatures_of(text: str, width: int, percent: int):
     return run
 
 
+def _pairs(x: dict[str, np.ndarray], edge: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows (larger set, smaller set, system, slack left of either) for every two sets of the signatures that begin at ``edge``; sets ascend in each."""
+    out = []
+    for n in np.unique(size).tolist():
+        i, j = np.triu_indices(n, 1)
+        first = edge[size == n][:, None]
+        high, low = (first + j).ravel(), (first + i).ravel()
+        out.append(np.stack([x["sid"][high], x["sid"][low], x["system"][high].astype(np.int64), x["left"][high].astype(np.int64), x["left"][low].astype(np.int64)], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition come ordered by (sig, sid). Of signatures with two or more sets, says (sid, leader, sig, common, system, left).
+    """Rows of a partition come ordered by (sig, sid). Of signatures with two or more sets, says (sid, leader, sig, system, left, other, n): a pair of
+    sets with what either can spare and the number of signatures counted here; or, without a number, a set with the first one of its
+    signature, and the signature if it is common.
 
     A run may be longer than a batch; only what is needed to call it common is held back.
     """
     held = {c: np.zeros(0, t) for c, t in (("sig", np.int64), ("sid", np.int64), ("system", np.int32), ("left", np.int32))}
     running = None  # (signature, leader) of a common run that goes on
+    pairs: list[np.ndarray] = []
+
+    def out(sid, leader, sig, system, left, other, n):
+        return pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "leader": pa.array(leader, pa.int64()), "sig": sig, "system": pa.array(system.astype(np.int32)),
+                                           "left": pa.array(left.astype(np.int32)), "other": other, "n": n})
 
-    def out(x, leader, common):
-        return pa.RecordBatch.from_pydict({"sid": pa.array(x["sid"]), "leader": pa.array(leader), "sig": pa.array(x["sig"]), "common": pa.array(common),
-                                           "system": pa.array(x["system"]), "left": pa.array(x["left"])})
+    def counted() -> pa.RecordBatch:
+        rows = np.concatenate(pairs)
+        pairs.clear()
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+        sid, leader, system, left, other = rows[first].T
+        return out(sid, leader, pa.nulls(len(first), pa.int64()), system, left, pa.array(other.astype(np.int32)), pa.array(np.diff(np.r_[first, len(rows)]).astype(np.int32)))
 
     def decide(x, end: bool):
         nonlocal running
@@ -211,31 +237,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif common[-1]:
             running = (x["sig"][-1], leader[-1])
         ready[keep:] = False
-        return out({c: v[ready] for c, v in x.items()}, leader[ready], common[ready]), {c: v[keep:] for c, v in x.items()}
+        few = (size > 1) & (size <= PAIRED) & ready[edge] & ~common[edge]
+        pairs.append(_pairs(x, edge[few], size[few]))
+        ready &= ~np.repeat(few, size)
+        n = int(ready.sum())
+        said = out(x["sid"][ready], leader[ready], pa.array(x["sig"][ready], mask=~common[ready]), x["system"][ready], x["left"][ready],
+                   pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())) if n else None
+        return said, {c: v[keep:] for c, v in x.items()}
 
     for batch in batches:
         x = {c: np.concatenate([held[c], batch.column(batch.schema.get_field_index(c)).to_numpy()]) for c in held}
         said, held = decide(x, False)
         if said is not None:
             yield said
+        if sum(map(len, pairs)) > HELD_PAIRS:
+            yield counted()
     said, _ = decide(held, True)
     if said is not None:
         yield said
+    if sum(map(len, pairs)):
+        yield counted()
 
 
 def candidate_edges(documents: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(a, b) set ids; every two linked sets are in one component of these edges."""
     rows = documents.select(F.col(text).alias("text")).mapInArrow(_signatures_of("text", width, percent), "sig long, sid long, system int, left int")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = durable(rows.repartition(n, "sig").sortWithinPartitions("sig", "sid").mapInArrow(
-        _meet, "sid long, leader long, sig long, common boolean, system int, left int"))
-    common = met.filter("common")
-    burdened = (common.groupBy("sid", "system").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("left"))
-                .filter("n > left").select("sid", "system"))
-    kept = common.join(burdened, ["sid", "system"], "left_semi").select("sig", "sid")
+    met = stored(rows.repartition(n, "sig").sortWithinPartitions("sig", "sid").mapInArrow(
+        _meet, "sid long, leader long, sig long, system int, left int, other int, n int"))
+    common = met.filter("sig is not null")
+    spent = durable(common.groupBy("sid", "system").agg(F.count(F.lit(1)).alias("spent"), F.min("left").alias("left")))
+    kept = common.join(spent.filter("spent > left").select("sid", "system"), ["sid", "system"], "left_semi").select("sig", "sid")
     first = kept.groupBy("sig").agg(F.min("sid").alias("leader"))
     heavy = kept.join(first, "sig").select("sid", "leader")
-    return met.filter("not common").select("sid", "leader").union(heavy).filter("sid <> leader").distinct().toDF("a", "b")
+    # Linked sets agree in more slices than the slack, so a set that ignores some of them shares more than what is left of it.
+    pairs = met.filter("n is not null").groupBy("sid", "leader", "system").agg(F.sum("n").alias("n"), F.min("left").alias("left"), F.min("other").alias("other"))
+    spent = spent.select("sid", "system", "spent")
+    pairs = (pairs.join(spent, ["sid", "system"], "left").filter("n > left - coalesce(spent, 0)").drop("spent")
+             .join(spent.withColumnRenamed("sid", "leader"), ["leader", "system"], "left").filter("n > other - coalesce(spent, 0)").select("sid", "leader"))
+    stars = met.filter("n is null and sig is null").select("sid", "leader")
+    return stars.union(pairs).union(heavy).filter("sid <> leader").distinct().toDF("a", "b")
 
 
 def _needed(n_x, n_y, percent: int):

@@ -1,5 +1,6 @@
 """The corpus operators against brute force on a small fixture of difficult rows."""
 
+import random
 import hashlib
 import math
 import re
@@ -341,6 +342,23 @@ def test_jaccard_components(odd, odd_rows, none, monkeypatch, block, common, per
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("paired", [2, 64])
+def test_shared_passages_make_no_candidates(spark, monkeypatch, paired):
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "HELD_PAIRS", 50)
+    rng = random.Random(8)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(150)
+    texts = [own(200) + passage + own(200) for _ in range(30)]
+    texts += [[w if rng.random() > 0.02 else "z" for w in t] for t in texts[:10]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    edges = {(r.a, r.b) for r in jaccard.candidate_edges(docs, "text", 5, 80).collect()}
+    if paired == 64:  # each near copy with its source, and nothing by the passage
+        assert len(edges) == 10
+    got = counted(jaccard.jaccard_components(docs, width=5, percent=80).collect())
+    assert got == brute_components([(i, " ".join(t)) for i, t in enumerate(texts)], 5, 80)
+
+
 def test_no_linked_pair_is_missed_by_signatures():
     rng = np.random.default_rng(6)
     for size in (6, 7, 13, 40, 111, 300):
