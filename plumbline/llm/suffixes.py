@@ -138,6 +138,19 @@ class SuffixFamily:
         return self.scan(reduce(DataFrame.union, [x for _, x in self.levels]))
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without the texts that this task has given out before."""
+    recent: dict[int, None] = {}
+    for batch in batches:
+        fresh = []
+        for t in batch.column(batch.schema.get_field_index("text_id")).to_pylist():
+            fresh.append(t not in recent)
+            recent[t] = None
+        while len(recent) > RECENT:
+            recent.pop(next(iter(recent)))
+        yield batch if all(fresh) else batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For texts with ``asked`` contexts: a row for every context with its bytes."""
     for whole in batches:
@@ -159,7 +172,7 @@ def _runs(places: np.ndarray) -> list[dict]:
 
 
 def _compare(width: int):
-    """Contexts in order of anchor to the windows that another context of the anchor has, too: (anchor, content, spans)."""
+    """Contexts in order of (anchor, content), of which one each is kept, to the windows that another context of the anchor has, too: (anchor, content, spans)."""
 
     def groups(anchor: np.ndarray, content: np.ndarray, column: pa.Array) -> pa.RecordBatch:
         data, off, _ = utf8(column)
@@ -183,7 +196,10 @@ def _compare(width: int):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            anchor = table.column("anchor").to_numpy()
+            anchor, content = table.column("anchor").to_numpy(), table.column("content").to_numpy()
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]
+            if not new.all():  # copies of a text from several tasks
+                table, anchor = table.filter(pa.array(new)), anchor[new]
             last = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last anchor may go on
             if last:
                 yield groups(anchor[:last], table.column("content").to_numpy()[:last], table.column("bytes").slice(0, last))
@@ -229,10 +245,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, key_bytes: int = KEY_BYT
     def texts_of(which: DataFrame) -> DataFrame:
         asked = durable(which.groupBy("text_id").agg(F.collect_list(F.struct(
             F.col("anchor").alias("key"), "content", "start", "count", (F.col("count") + width - 1).alias("size"))).alias("asked")))
-        return only(docs, asked.select("text_id"), ["text_id"]).join(asked, "text_id").select("text", "asked")
+        # Copies of a text stay with the task that reads them, and the few of several tasks fall out where contexts are compared.
+        once = only(docs, asked.select("text_id"), ["text_id"]).select("text_id", "text").mapInArrow(_once, "text_id long, text string")
+        return once.join(asked, "text_id").select("text", "asked")
 
     small = texts_of(open_.join(counts.filter(F.col("n") <= few), "anchor", "left_semi")).mapInArrow(_slices, "anchor long, content long, bytes binary")
-    parts = small.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(width), f"anchor long, content long, spans {SPANS}")
+    parts = small.repartition(n, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_compare(width), f"anchor long, content long, spans {SPANS}")
     # Windows of one context differ, so a window with two contents is at two places.
     seen = stored(texts_of(open_.join(counts.filter(F.col("n") > few), "anchor", "left_semi")).mapInArrow(
         windows_of(_units, "text", width, []), "key long, content long, place int, window long"))

@@ -1,19 +1,21 @@
 """The corpus operators against brute force on a small fixture of difficult rows."""
 
-import random
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard, mixing, quality, recompression, sharding, suffixes, urlfilter, vptree
 from plumbline.llm.components import connected
 from plumbline.llm.repeats import sliding_min
+from tests.llm.conftest import prose
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -258,6 +260,20 @@ def test_suffix_family(odd, odd_rows, none, batches, few):
     assert suffixes.dedup_bytes(none, batches=batches).count() == 0
 
 
+def test_copies_are_one_context(spark):
+    rng = random.Random(4)
+    hot = prose(rng, 300)
+    near = hot[:900] + "#" + hot[901:]
+    rows = [(i, hot) for i in range(60)] + [(60, near), (61, prose(rng, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert counted(suffixes.dedup_bytes(docs).collect()) == brute_bytes(rows)
+    batch = pa.RecordBatch.from_pydict({"text_id": pa.array([1, 1, 2, 1]), "text": pa.array(["a", "a", "b", "a"])})
+    assert [b.num_rows for b in suffixes._once(iter([batch, batch]))] == [2, 0]
+    a, b = prose(rng, 200)[:500].encode(), prose(rng, 200)[:500].encode()
+    one = lambda content, raw: pa.RecordBatch.from_pydict({"anchor": pa.array([7] * 50), "content": pa.array([content] * 50), "bytes": pa.array([raw] * 50, pa.binary())})
+    assert [b.num_rows for b in suffixes._compare(400)(iter([one(1, a), one(1, a), one(2, b)]))] == [0]  # a copy is no other content
+
+
 def test_levels_are_of_different_sizes(odd):
     docs = odd.select(F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = docs.mapInArrow(suffixes._read(400, 128), "anchor long, content long, text_id long, start int, count int").cache()
