@@ -10,7 +10,8 @@ Equal vectors of a shard are one tree entry with their k + 1 smallest ids, which
 without the query itself) can need. Vectors of different lengths do not meet.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as query nor as
-candidate; rows with a null id likewise; ids that repeat are separate vectors of one id, and a query leaves out all rows with its id; an empty table has no rows.
+candidate; rows with a null id likewise; repeated rows (same id, same vector) are one; different vectors of one id are separate candidates, and separate
+queries with k neighbours each; a query leaves out all rows with its id; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -58,6 +59,9 @@ class Tree:
         start = np.searchsorted(group[by], np.arange(len(seen) + 1))
         self.x = x[by[start[:-1]]].astype(np.float64)
         self.ids = [np.unique(ids[by[a: b]])[: k + 1] for a, b in zip(start[:-1], start[1:])]
+        # The id of an entry that has no other: such an entry is nothing to a query of that id.
+        self.one = np.array([len(i) == 1 for i in self.ids], bool)
+        self.first = np.array([i[0] for i in self.ids], np.int64)
         self.unit = self.x / np.sqrt((self.x * self.x).sum(axis=1))[:, None]
         self.perm = np.arange(len(self.x))
         self.nodes: list[tuple] = []
@@ -83,15 +87,16 @@ class Tree:
         self.nodes[me] = (first, last, vantage, inner, outer, bounds)
         return me
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Entries within reach of each unit vector of ``q``, with at least k + 1 different vectors or all of them."""
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Entries within reach of each unit vector of ``q``, with at least k + 1 different vectors of other ids than ``own``, or all of them."""
         n = len(q)
-        best = np.full((n, k + 1), np.inf)  # distances of the nearest k + 1 entries so far; one may be the query itself
+        best = np.full((n, k + 1), np.inf)  # distances of the nearest k + 1 entries of other ids so far
         found: list[list[np.ndarray]] = [[] for _ in range(n)]
 
         def leaf(first: int, last: int, who: np.ndarray) -> None:
             rows = self.perm[first:last]
             d = np.sqrt(np.maximum(0, 2 - 2 * q[who] @ self.unit[rows].T))
+            d[self.one[rows][None, :] & (self.first[rows][None, :] == own[who][:, None])] = np.inf
             both = np.sort(np.concatenate([best[who], d], axis=1), axis=1)
             best[who] = both[:, : k + 1]
             near = d <= best[who][:, -1:] + EPS
@@ -130,7 +135,7 @@ def _build(k: int):
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": pdf.block[:1], "dims": pdf.dims[:1], "ids": [pdf.id.to_numpy().tobytes()], "vectors": [b"".join(pdf.vector)]})
+    return pd.DataFrame({"block": pdf.block[:1], "dims": pdf.dims[:1], "ids": [pdf.id.to_numpy().tobytes()], "turns": [pdf.turn.to_numpy().tobytes()], "vectors": [b"".join(pdf.vector)]})
 
 
 def _search(k: int, factor: float):
@@ -138,10 +143,10 @@ def _search(k: int, factor: float):
         for batch in batches:
             for row in batch.to_pylist():
                 tree: Tree = pickle.loads(row["tree"])
-                ids = np.frombuffer(row["ids"], np.int64)
+                ids, turns = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["turns"], np.int64)
                 x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
                 unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                found, best = tree.search(unit, k, factor)
+                found, best = tree.search(unit, ids, k, factor)
                 out: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "turn": []}
                 for i, entries in enumerate(found):
                     entries = np.unique(entries)
@@ -149,27 +154,26 @@ def _search(k: int, factor: float):
                     score = cosines(tree.x[entries], np.broadcast_to(x[i], (len(entries), x.shape[1])))
                     pairs = [(-s, v) for e, s in zip(entries.tolist(), score.tolist()) for v in tree.ids[e].tolist() if v != ids[i]]
                     for s, v in sorted(pairs)[:k]:
-                        for c, value in zip(out, (int(ids[i]), v, -s, i)):
+                        for c, value in zip(out, (int(ids[i]), v, -s, int(turns[i]))):
                             out[c].append(value)
-                out.pop("turn")
-                yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())],
-                                                 names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64()),
+                                                  pa.array(out["turn"], pa.int64())], names=["query_id", "vec_id", "score", "turn"])
 
     return run
 
 
 def vectors_of(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, dims and the vector as bytes of doubles, of the rows that take part."""
+    """id, dims and the vector as bytes of doubles, of the rows that take part; repeated rows once."""
     rows = table.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda c: c.cast("double")).alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(1)
             n = v.value_lengths().to_numpy()
-            flat, end = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False)), np.cumsum(n)
+            flat, end = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False)) + 0.0, np.cumsum(n)  # no negative zeros
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "dims": pa.array(n.astype(np.int32)), "vector": pa.array([flat[e - c: e].tobytes() for e, c in zip(end, n)], pa.binary())})
 
-    return rows.mapInArrow(pack, "id long, dims int, vector binary")
+    return rows.mapInArrow(pack, "id long, dims int, vector binary").dropDuplicates(["id", "vector"])
 
 
 def build_index(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -186,11 +190,11 @@ def nearest(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     arrow_batches(queries.sparkSession, 4)  # rows are whole trees with query blocks
     packed = durable(vectors_of(queries, key, vector))
     blocks = max(1, math.ceil(packed.count() / block))
-    asked = (packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-             .groupBy("dims", "block").applyInPandas(_block, "block int, dims int, ids binary, vectors binary"))
+    asked = (packed.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")).withColumn("turn", F.xxhash64("vector"))
+             .groupBy("dims", "block").applyInPandas(_block, "block int, dims int, ids binary, turns binary, vectors binary"))
     # Every block meets the trees of its dims: shards x blocks rows, which is the work of a search of all shards.
     shards = index.select("dims", "shard")
     tasks = asked.join(shards, "dims").repartition(*["dims", "shard", "block"]).join(index, ["dims", "shard"])
-    found = tasks.select("tree", "ids", "vectors").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = tasks.select("tree", "ids", "turns", "vectors").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double, turn long")
+    order = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -321,6 +321,19 @@ def test_nearest(spark):
     assert vptree.nearest(vptree.build_index(table.limit(0)), table).count() == 0 and vptree.nearest(index, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 60])
+def test_nearest_of_repeated_ids(spark, shard_rows):
+    rng = np.random.default_rng(9)
+    vector = lambda: rng.normal(size=8).astype(np.float32).tolist()
+    rows = [(i, vector()) for i in range(1, 120)]
+    rows += [rows[49]] * 40 + [rows[3]] * 25  # repeated rows, of a query and of a candidate
+    near = np.array(rows[99][1], np.float32)
+    rows += [(100, (near + np.float32(1e-3 * j)).tolist()) for j in range(1, 13)]  # more vectors of a query's id than are asked for
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = vptree.nearest(vptree.build_index(table, shard_rows=shard_rows), table.filter("vec_id % 50 = 0"), factor=1.0, block=7).collect()
+    assert counted(got) == Counter(brute_nearest(rows, 5, lambda i: i % 50 == 0)) and len(got) == 5 * 14
+
+
 def test_recall_of_the_registered_factor(spark, sf):
     table = spark.read.parquet(f"{sf}/../sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
