@@ -5,7 +5,8 @@ network: a value becomes a pair (left, right) of Z_A x Z_B with A * B the exact
 in turn, modulo A or B. So every pseudonym is valid again, different values stay different, and equal values stay equal in all documents,
 however they are punctuated. Dates move within the 400 years from 1800 on. Mail addresses, which are no numbers, become keyed names.
 
-Defined results: a null text stays null; an empty text stays empty; a number that fails its check is no such number and stays; repeated
+Defined results: a null text stays null; an empty text stays empty; a number that fails its check is no such number and stays, except for the values
+inside it (runs of its groups of digits that are written as a kind and pass its check; longer runs first, then earlier ones; dates stay there, and cards with both spaces and hyphens); repeated
 rows get equal texts; an empty table has no rows. Input columns stay; ``text`` is replaced and ``found`` (an array of kind and place) is new
 (a column of that name is replaced).
 """
@@ -173,19 +174,52 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
             .when(kind == "account", account).otherwise(hit))
 
 
+def inner_values(hit: Column) -> Column:
+    """A piece of text that fails its check, as an array of (hit, kind): runs of its groups that are values themselves, and what is between."""
+    part = F.regexp_extract_all(hit, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), 0)
+    n = F.size(part)
+    group = lambda i: F.element_at(part, i).rlike("^[A-Za-z0-9]")
+    text = lambda i, j: F.array_join(F.slice(part, i, j - i + 1), "")
+    places = F.filter(F.sequence(F.lit(1), n), group)
+    runs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j >= i), lambda j: F.struct(
+        i.alias("i"), j.alias("j"), text(i, j).alias("hit")))))
+    runs = F.filter(runs, lambda r: F.length(r["hit"]) >= 7)
+    runs = F.filter(F.transform(F.filter(runs, lambda r: r["hit"].rlike(f"^(?:{ANY})$")), lambda r: F.struct(
+        (-F.length(digits(r["hit"]))).alias("rank"), r["i"].alias("i"), r["j"].alias("j"), r["hit"].alias("hit"), kind_of(r["hit"]).alias("kind"))), lambda r: r["kind"].isNotNull())
+    # Dates stay, and digits of dates in a row are no card: only runs with one kind of separator are.
+    runs = F.filter(runs, lambda r: (r["kind"] != "date") & ~((r["kind"] == "card") & r["hit"].rlike(" ") & r["hit"].rlike("-")))
+    value = "struct<i:int,j:int,hit:string,kind:string>"
+
+    def take(s: Column, r: Column) -> Column:
+        new = F.struct(r["i"].alias("i"), r["j"].alias("j"), r["hit"].alias("hit"), r["kind"].alias("kind")).cast(value)
+        return F.when(F.exists(s, lambda x: (x["i"] <= r["j"]) & (r["i"] <= x["j"])), s).otherwise(F.concat(s, F.array(new)))
+
+    taken = F.aggregate(F.array_sort(runs), F.array().cast(f"array<{value}>"), take)
+    inside = lambda i: F.exists(taken, lambda x: (x["i"] <= i) & (i <= x["j"]))
+    loose = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: ~inside(i)), lambda i: F.struct(
+        i.alias("i"), i.alias("j"), F.element_at(part, i).alias("hit"), F.lit(None).cast("string").alias("kind")).cast(value))
+    return F.transform(F.array_sort(F.concat(taken, loose)), lambda x: F.struct(x["hit"].alias("hit"), x["kind"].alias("kind")))
+
+
 def pseudonymised(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``documents`` with pseudonyms in ``text`` and ``found``: kind and place (from 1, in the new text) of each. ``key`` is the secret."""
     t = F.col(text)
     hits = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     marked = documents.withColumn("_hits", F.transform(hits, lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind"))))
-    marked = marked.withColumn("_new", F.transform("_hits", lambda h: F.struct(h["kind"].alias("kind"), F.coalesce(pseudonym(h["hit"], h["kind"], key), h["hit"]).alias("new"))))
+    # A hit is one piece, or several if it fails its check and has values inside; the last one is told apart.
+    whole = lambda h: F.array(F.struct(h["hit"].alias("hit"), h["kind"].alias("kind")))
+    marked = marked.withColumn("_hits", F.transform("_hits", lambda h: F.when(h["kind"].isNull(), inner_values(h["hit"])).otherwise(whole(h))))
+    marked = marked.withColumn("_hits", F.flatten(F.transform("_hits", lambda p: F.transform(p, lambda h, i: F.struct(
+        h["hit"].alias("hit"), h["kind"].alias("kind"), (i == F.size(p) - 1).alias("last"))))))
+    marked = marked.withColumn("_new", F.transform("_hits", lambda h: F.struct(
+        h["kind"].alias("kind"), F.coalesce(pseudonym(h["hit"], h["kind"], key), h["hit"]).alias("new"), h["last"].alias("last"))))
     # Pieces between hits and the new hits in turn: the pattern splits where it matched.
     between = F.split(t, ANY, -1)
     start = F.struct(F.element_at(between, 1).alias("out"), F.lit(2).alias("i"), F.array().cast("array<struct<kind:string,place:int>>").alias("found"))
 
     def put(s: Column, h: Column) -> Column:
         place = F.struct(h["kind"].alias("kind"), (F.length(s["out"]) + 1).alias("place"))
-        return F.struct(F.concat(s["out"], h["new"], F.element_at(between, s["i"])).alias("out"), (s["i"] + 1).alias("i"),
+        return F.struct(F.concat(s["out"], h["new"], F.when(h["last"], F.element_at(between, s["i"])).otherwise("")).alias("out"), (s["i"] + h["last"].cast("int")).alias("i"),
                         F.when(h["kind"].isNotNull(), F.concat(s["found"], F.array(place))).otherwise(s["found"]).alias("found"))
 
     none = F.struct(t.alias("out"), F.lit(0).alias("i"), F.array().cast("array<struct<kind:string,place:int>>").alias("found"))

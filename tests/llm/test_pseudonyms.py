@@ -150,6 +150,18 @@ def test_values_stay_valid_distinct_and_linked(spark):
     assert all(a == b and datetime.date.fromisoformat(a) for a, b in dates) and len({a for a, _ in dates}) == len(days)
 
 
+def test_values_inside_a_hit_that_fails(spark):
+    card = "4111 1111 1111 1111"
+    moved = brute(card)[1]
+    rows = [f"no 123 {card}", f"{card} 123 end", f"no 12 {card} 9, {card}", f"1234 123-45-6789 12 then {card}", "bad 4785 3805 9239 1138"]
+    assert all(luhn(re.sub(r"\D", "", x)) for x in (f"123 {card}", f"{card} 123", f"12 {card} 9"))  # these hits fail as a whole
+    got = {r.i: r for r in P.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), KEY).collect()}
+    social = brute("123-45-6789")[1]
+    want = [f"no 123 {moved}", f"{moved} 123 end", f"no 12 {moved} 9, {moved}", f"1234 {social} 12 then {moved}", rows[4]]
+    assert [got[i].text for i in range(5)] == want
+    assert [[(x.kind, x.place) for x in got[i].found] for i in (0, 3)] == [[("card", 8)], [("social", 6), ("card", 26)]]
+
+
 def test_small_network_is_a_permutation(spark):
     for a, b in ((7, 11), (1, 5), (10, 100)):
         out = [r.y for r in spark.range(a * b).select(P.feistel(F.col("id"), a, b, "t", KEY).alias("y")).collect()]
