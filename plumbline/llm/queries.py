@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, mixing, pseudonyms, quality, recompression, sharding, suffixes, urlfilter, vptree
+from plumbline.llm import decontaminate, jaccard, mixing, pseudonyms, quality, recompression, sentencepieces, sharding, suffixes, urlfilter, vptree
 from plumbline.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,18 @@ def _bytes(t: Tables) -> DataFrame:
 def _pseudonyms(t: Tables) -> DataFrame:
     out = pseudonyms.pseudonymised(t.documents.select("doc_id", "text"), pseudonyms.DEMO_KEY)
     return out.select("doc_id", "text", F.size("found").alias("n_found"), F.transform("found", lambda x: F.concat_ws("@", x["kind"], x["place"])).alias("found"))
+
+
+def piece_model() -> str:
+    """Path of the public model that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_merge_rounds")
+def _tokens(t: Tables) -> DataFrame:
+    model = piece_model()
+    both = sentencepieces.decoded(sentencepieces.encoded(t.documents, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
