@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, mixing, pseudonyms, quality, recompression, sentencepieces, sharding, suffixes, urlfilter, vptree
+from plumbline.llm import decontaminate, jaccard, lloyd, mixing, pseudonyms, quality, recompression, sentencepieces, sharding, suffixes, urlfilter, vptree, whitening
 from plumbline.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,13 @@ def _tokens(t: Tables) -> DataFrame:
     both = sentencepieces.decoded(sentencepieces.encoded(t.documents, model), model)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_member_lloyd")
+def _codes(t: Tables) -> DataFrame:
+    return lloyd.code_table(t.embeddings)
+
+
+@query("op12_secular_whitening")
+def _whitening(t: Tables) -> DataFrame:
+    return whitening.whitened(t.embeddings)
