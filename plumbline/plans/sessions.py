@@ -22,7 +22,33 @@ def turns(t):
         F.when(n % 4 == 0, F.array(F.lit("table"))).otherwise(none).alias("actions"))
 
 
-@plan("sta_carry")
+# The rule turn by turn: what a session holds after turn n comes from what it held after turn n - 1.
+WALK = """
+    WITH RECURSIVE t AS (
+      SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+             nullif(CASE WHEN length(text) % 3 = 0 THEN regexp_extract(text, '^([^\\s]+)', 1) END, '') AS e, nullif(CASE WHEN length(text) % 7 = 0 THEN role END, '') AS m,
+             CASE WHEN length(text) % 5 = 0 THEN '2024Q' || (length(text) % 4 + 1) END AS p, CASE WHEN length(text) % 4 = 0 THEN 'table' END AS a,
+             coalesce(length(text) % 17 = 0, false) AS ambiguous, coalesce(length(text) % 2 = 0, false) AS anaphoric, coalesce(length(text) % 13 = 0, false) AS free
+      FROM conversations
+    ), s AS (
+      SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS VARCHAR) AS period, false AS had,
+             CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS used_entity, CAST(NULL AS VARCHAR) AS used_metric, '' AS used_periods, false AS borrowed, false AS ask_back, '' AS inherited
+      FROM t
+      UNION ALL
+      SELECT session_id, n, turn, CASE WHEN skip THEN entity ELSE coalesce(e, entity) END, CASE WHEN skip THEN metric ELSE coalesce(m, metric) END,
+             CASE WHEN skip THEN period ELSE coalesce(p, period) END, CASE WHEN skip THEN had ELSE own OR lent OR dated END, CASE WHEN skip THEN action ELSE coalesce(a, action) END,
+             CASE WHEN NOT skip THEN coalesce(e, CASE WHEN lent AND NOT free THEN entity END) END, CASE WHEN NOT skip THEN coalesce(m, CASE WHEN lent AND NOT free THEN metric END) END,
+             CASE WHEN skip THEN '' ELSE coalesce(p, period, '') END, NOT skip AND NOT free AND (lent OR dated), skip,
+             CASE WHEN NOT skip AND a IS NULL AND (own OR ((lent OR dated) AND NOT free) OR anaphoric) THEN coalesce(action, '') ELSE '' END
+      FROM (SELECT *, back AND had AS lent, p IS NULL AND period IS NOT NULL AS dated, ambiguous OR (back AND NOT had) AS skip
+            FROM (SELECT t.*, s.entity, s.metric, s.period, s.had, s.action, t.e IS NOT NULL OR t.m IS NOT NULL AS own,
+                         NOT t.ambiguous AND t.e IS NULL AND t.m IS NULL AND t.anaphoric AND (s.entity IS NOT NULL OR s.metric IS NOT NULL) AS back
+                  FROM s JOIN t ON t.session_id = s.session_id AND t.n = s.n + 1))
+    )"""
+
+
+@plan("sta_carry", oracle("", WALK + """
+    SELECT session_id, turn, used_entity, used_metric, used_periods, entity AS remembered_entity, borrowed, ask_back, inherited FROM s WHERE n > 0"""))
 def sta_carry(t):
     """STA-1/2: entity, metric, periods and actions carried along each conversation."""
     return S.carry(turns(t)).select(
@@ -30,7 +56,10 @@ def sta_carry(t):
         "borrowed", "ask_back", F.array_join("inherited", "/").alias("inherited"))
 
 
-@plan("sta_final_states")
+@plan("sta_final_states", oracle("", WALK + """
+    SELECT session_id, CAST(to_json({'entity': entity, 'metric': metric, 'periods': CASE WHEN period IS NULL THEN CAST([] AS VARCHAR[]) ELSE [period] END, 'had': had,
+                                     'actions': CASE WHEN action IS NULL THEN CAST([] AS VARCHAR[]) ELSE [action] END, 'turn': turn}) AS VARCHAR) AS state
+    FROM s WHERE n > 0 QUALIFY n = max(n) OVER (PARTITION BY session_id)"""))
 def sta_final_states(t):
     """STA-3: exported state of every conversation."""
     return S.final_states(turns(t))
