@@ -1,27 +1,36 @@
-"""Where do these phrases occur in those texts? One exact substring join for every caller.
+"""Where do these phrases occur in those texts? One exact substring search for every caller.
 
-Each phrase is entered under an anchor, its first 16, 8, 4, 2 or 1 characters. Each text is
-unfolded into one window of 16 characters per position; the heads of the window, of those lengths
-that some phrase has, are first held against the marks of all anchors (a table of bounded size), and
-what is left meets the anchors by equality. The rest of the phrase is then compared. Nothing is ever
-paired without a shared anchor, and the plan is the same for any number of phrases.
+Every phrase enters an index under its rarest gram: of all its windows of ``GRAMS`` characters (the longest that fits) the one that is met
+least often in a sample of the texts. Texts stay where they are: a task computes the grams of a text, looks them up in the index, and
+holds each phrase found there against the text at the place that the gram's offset gives, first by a rolling hash, then character by character.
+Only occurrences leave the task; no text, position or gram is shuffled, whether a phrase is nowhere or in every text.
+
+The index travels to the tasks. It holds at most ``BLOCK_CHARS`` characters of phrases; more phrases are dealt to blocks by hash, with one
+pass over the texts each, so neither the driver nor a task ever holds more than one block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 16
-ANCHORS = (16, 8, 4, 2, 1)
-MARKS = 1 << 16
-
+from plumbline.session import durable
 
-def _anchor_length(needle: Column) -> Column:
-    out = F.when(F.length(needle) >= ANCHORS[0], ANCHORS[0])
-    for a in ANCHORS[1:]:
-        out = out.when(F.length(needle) >= a, a)
-    return out
+GRAMS = (16, 8, 5, 3, 2, 1)
+BLOCK_CHARS = 8_000_000
+SAMPLE_TEXTS = 2000  # texts that gram frequencies are read from; they decide what is looked up first, never what is found
+SAMPLE_CHARS = 2000  # of each
+FEW_CHARS = 20_000  # so few characters of phrases enter without a sample
+BUCKETS = 20  # bits of a gram that frequencies and the first test go by
+SLICE_CHARS = 1_000_000  # characters that are searched at once
+PAIRS = 2_000_000  # (place, phrase) that are compared at once
+_BASE = 0x9E3779B97F4A7C15
 
 
 def grams(text: Column, n: int) -> Column:
@@ -29,47 +38,196 @@ def grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def _windows(text: Column) -> Column:
-    """At each position the next 16 characters, fewer at the end of the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1))
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Rolling:
+    """Hashes of any ranges of a text from one running sum."""
+
+    def __init__(self, code: np.ndarray):
+        n = len(code) + 1
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(_spread(code.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=self.sums[1:])
+
+    def of(self, start: np.ndarray, length) -> np.ndarray:
+        return _spread((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hashes of all ranges of ``n`` characters."""
+        m = max(0, len(self.sums) - n)
+        return _spread((self.sums[n:] - self.sums[:m]) * self.down[:m])
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and where each begins (n + 1 values)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([0, *map(len, texts)])
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
+
+
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def gram_frequencies(texts: list[str]) -> dict[int, np.ndarray]:
+    """How often the grams of each length occur, by bucket."""
+    code, _ = _codes(texts)
+    rolling = Rolling(code)
+    return {n: np.bincount(_bucket(rolling.windows(n)), minlength=1 << BUCKETS) for n in GRAMS}
+
+
+@dataclass
+class PhraseIndex:
+    """One block of phrases: ids, characters and hashes, and by gram length the sorted grams with the phrases that enter under them."""
+
+    ids: pa.Array
+    code: np.ndarray
+    begin: np.ndarray
+    whole: np.ndarray
+    entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # length: (grams, phrases, offsets, marks)
+
+    @staticmethod
+    def build(ids: pa.Array, phrases: list[str], frequencies: dict[int, np.ndarray]) -> PhraseIndex:
+        code, begin = _codes(phrases)
+        rolling, length = Rolling(code), np.diff(begin)
+        entries, taken = {}, np.zeros(len(length), bool)
+        for n in GRAMS:
+            which = np.flatnonzero((length >= n) & ~taken)
+            taken[which] = True
+            if not len(which):
+                continue
+            many = length[which] - n + 1
+            place = _ranges(begin[which], many)
+            gram = rolling.of(place, n)
+            often = frequencies[n][_bucket(gram)]
+            edge = np.cumsum(many) - many
+            least = np.repeat(np.minimum.reduceat(often, edge), many)
+            first = np.minimum.reduceat(np.where(often == least, np.arange(len(gram)), len(gram)), edge)
+            own = gram[first]
+            order = np.argsort(own, kind="stable")
+            marks = np.zeros(1 << BUCKETS, bool)
+            marks[_bucket(own)] = True
+            entries[n] = own[order], which[order], (place[first] - begin[which])[order], marks
+        return PhraseIndex(ids, code, begin, rolling.of(begin[:-1], length), entries)
+
+    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, phrase, place from 0) of every occurrence, in no order. A long text alone is read in parts that overlap by a phrase."""
+        if len(texts) != 1 or len(texts[0]) <= 2 * SLICE_CHARS:
+            return self._search(texts)
+        out, more = [], int(np.diff(self.begin).max()) - 1
+        for a in range(0, len(texts[0]), SLICE_CHARS):
+            text, phrase, place = self._search([texts[0][a: a + SLICE_CHARS + more]])
+            own = place < SLICE_CHARS
+            out.append((text[own], phrase[own], place[own] + a))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code, off = _codes(texts)
+        rolling, length = Rolling(code), np.diff(self.begin)
+        out = []
+        for n, (own, phrase, offset, marks) in self.entries.items():
+            gram = rolling.windows(n)
+            at = np.flatnonzero(marks[_bucket(gram)])
+            low, high = np.searchsorted(own, gram[at], "left"), np.searchsorted(own, gram[at], "right")
+            there = high > low
+            at, low, many = at[there], low[there], (high - low)[there]
+            ends = np.cumsum(many)
+            first = 0
+            while first < len(at):  # so many at once that their pairs fit
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+                k = many[first:last]
+                entry = _ranges(low[first:last], k)
+                p, start = phrase[entry], np.repeat(at[first:last], k) - offset[entry]
+                first = last
+                inside = (start >= 0) & (start + length[p] <= len(code))
+                p, start = p[inside], start[inside]
+                same = rolling.of(start, length[p]) == self.whole[p]
+                p, start = p[same], start[same]
+                if not len(p):
+                    continue
+                text = np.searchsorted(off, start, "right") - 1
+                equal = code[_ranges(start, length[p])] == self.code[_ranges(self.begin[p], length[p])]
+                good = np.logical_and.reduceat(equal, np.cumsum(length[p]) - length[p]) & (start + length[p] <= off[text + 1])
+                out.append((text[good], p[good], (start - off[text])[good]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of a batch, about ``SLICE_CHARS`` characters at a time; null texts have none."""
+    ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_CHARS or i == len(texts) - 1:
+            yield ids.slice(first, i + 1 - first), texts[first: i + 1]
+            first, size = i + 1, 0
+
+
+def _scan(shared, counted: bool):
+    """Occurrences in the texts of a task, or their number and first place by text and phrase. ``shared``: the broadcast index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: PhraseIndex = shared.value
+        length = np.diff(index.begin)
+        for batch in batches:
+            for ids, texts in _slices(batch):
+                text, phrase, place = index.search(texts)
+                order = np.lexsort((place, phrase, text))
+                text, phrase, place = text[order], phrase[order], place[order]
+                if counted:
+                    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (phrase[1:] != phrase[:-1])]) if len(text) else text
+                    more = {"tf": pa.array(np.diff(np.r_[first, len(text)]), pa.int64()), "pos": pa.array((place[first] + 1).astype(np.int32))}
+                    text, phrase = text[first], phrase[first]
+                else:
+                    more = {"pos": pa.array((place + 1).astype(np.int32)), "len": pa.array(length[phrase].astype(np.int32))}
+                yield pa.RecordBatch.from_pydict({"text_id": ids.take(pa.array(text)), "phrase_id": index.ids.take(pa.array(phrase)), **more})
+
+    return run
+
+
+def _found(texts: DataFrame, phrases: DataFrame, fold_case: bool, counted: bool) -> DataFrame:
+    spark, fold = texts.sparkSession, F.lower if fold_case else (lambda c: c)
+    needles = durable(phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0))
+    hay = texts.select("text_id", fold(F.col("text")).alias("hay"))
+    schema = f"text_id {hay.schema['text_id'].dataType.simpleString()}, phrase_id {needles.schema['phrase_id'].dataType.simpleString()}"
+    schema += ", tf bigint, pos int" if counted else ", pos int, len int"
+    chars = needles.agg(F.sum(F.length("needle"))).first()[0]
+    if not chars:
+        return spark.createDataFrame([], schema)
+    seen = hay.select(F.substring("hay", 1, SAMPLE_CHARS).alias("hay")).filter("hay <> ''").limit(SAMPLE_TEXTS).collect() if chars > FEW_CHARS else []
+    frequencies = gram_frequencies([r.hay for r in seen])
+    blocks, parts = -(-chars // BLOCK_CHARS), []
+    for b in range(blocks):
+        block = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).toArrow()
+        if block.num_rows:
+            index = PhraseIndex.build(block.column("phrase_id").combine_chunks(), block.column("needle").to_pylist(), frequencies)
+            parts.append(hay.mapInArrow(_scan(spark.sparkContext.broadcast(index), counted), schema))
+    return reduce(DataFrame.union, parts)
 
 
 def phrase_positions(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
-    """Every occurrence as (text_id, phrase_id, pos, len); ``pos`` counts characters from 1.
+    """Every occurrence as (text_id, phrase_id, pos, len), overlaps included; ``pos`` counts characters from 1.
 
-    ``texts(text_id, text)`` with one row per id; ``phrases(phrase_id, phrase)``. Only positions whose mark is
-    that of an anchor go on, without their text; phrases longer than a window meet the text again by id.
+    ``texts(text_id, text)``; ``phrases(phrase_id, phrase)``. Null and empty texts and phrases have no occurrence.
     """
-    fold = F.lower if fold_case else (lambda c: c)
-    needles = phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0)
-    needles = needles.withColumn("w", _anchor_length(F.col("needle"))).select(
-        "phrase_id", "needle", "w", F.substring("needle", 1, WINDOW).alias("begin"), F.xxhash64(F.expr("substring(needle, 1, w)")).alias("head"))
-    lengths = needles.agg(F.collect_set("w").alias("lengths"))  # one row, at most len(ANCHORS) values
-    marks = needles.select(F.pmod("head", F.lit(MARKS)).alias("mark")).distinct()  # at most MARKS rows
-    hay = texts.select("text_id", fold(F.col("text")).alias("hay"))
-    windows = hay.select("text_id", F.posexplode(_windows(F.col("hay"))).alias("p", "win")).join(F.broadcast(lengths))
-    # at the end of a text the heads of several lengths are one
-    heads = F.array_distinct(F.transform("lengths", lambda w: F.xxhash64(F.substring("win", F.lit(1), w))))
-    unfolded = windows.select("text_id", "p", "win", F.explode(heads).alias("head")).withColumn("mark", F.pmod("head", F.lit(MARKS)))
-    likely = unfolded.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
-    candidates = likely.join(needles, "head").filter(F.startswith("win", "begin"))
-    out = ("text_id", "phrase_id", (F.col("p") + 1).alias("pos"), F.length("needle").alias("len"))
-    # a long phrase is compared against the text once its first 16 characters agree
-    rest = (F.length("needle") <= WINDOW) | F.expr("substring(hay, p + 1, length(needle)) = needle")
-    return candidates.join(hay, "text_id").filter(rest).select(*out)
+    return _found(texts, phrases, fold_case, False)
 
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
-    """(text_id, phrase_id, tf, pos): occurrences (overlaps count) and the first position.
+    """(text_id, phrase_id, tf, pos): occurrences (overlaps count) and the first position, counted where the text lies.
 
-    All occurrences in one text come from one task, so the partial count already leaves one row
-    per (text, phrase) for the shuffle.
+    ``texts`` has one row per id, and ``phrases`` too.
     """
-    return (
-        phrase_positions(texts, phrases, fold_case)
-        .groupBy("text_id", "phrase_id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    )
+    return _found(texts, phrases, fold_case, True)
 
 
 def longest_mentions(positions: DataFrame) -> DataFrame:
