@@ -14,7 +14,7 @@ from plumbline.functions.numbers import NUMBER, RANK_NUMERAL, TOP_N, numeral  #
 from plumbline.functions.periods import PERIOD_LOOSE, periods_in
 from plumbline.operators import ranking as R
 from plumbline.operators.combine import nearest_preceding
-from plumbline.operators.matching import longest_mentions, phrase_positions
+from plumbline.operators.matching import longest_mentions, phrase_counts, phrase_positions
 from plumbline.operators.topk import direction_aware
 
 # Word lists and patterns of the question language.
@@ -289,18 +289,27 @@ def is_generic(word: Column) -> Column:
     return word.rlike(GENERIC_HEAD) | word.rlike(GENERIC_ASK) | stem.rlike(GENERIC_CHARS)
 
 
-def refusals(labelled: DataFrame, known_words: list[str]) -> DataFrame:
+def known_words(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The asked words that contain a catalog word or lie in one: (word). ``asked(word)``, ``catalog(word)``."""
+    words, names = asked.select("word").distinct(), catalog.select("word").distinct()
+    as_text = lambda df: df.select(F.col("word").alias("text_id"), F.col("word").alias("text"))
+    as_phrase = lambda df: df.select(F.col("word").alias("phrase_id"), F.col("word").alias("phrase"))
+    holds = phrase_counts(as_text(words), as_phrase(names), fold_case=False).select(F.col("text_id").alias("word"))
+    held = phrase_counts(as_text(names), as_phrase(words), fold_case=False).select(F.col("phrase_id").alias("word"))
+    return holds.unionByName(held).distinct()
+
+
+def refusals(labelled: DataFrame, catalog: DataFrame) -> DataFrame:
     """The three gates: internal process, unknown metric, unknown entity. NULL reason = not refused.
 
-    ``known_words`` are the field and metric names that can be answered.
+    ``catalog(word)`` holds the field and metric names that can be answered.
     """
     text = F.col("text")
     stem, unit = F.regexp_extract(text, NAMED_METRIC, 1), F.regexp_extract(text, NAMED_METRIC, 2)
     asked = F.concat(stem, unit)
-    known = F.lit(False)
-    for w in known_words:
-        known = known | F.contains(asked, F.lit(w)) | F.contains(F.lit(w), asked)
-    unknown_metric = (stem != "") & ~known
+    known = known_words(labelled.filter(stem != "").select(asked.alias("word")), catalog).select(F.col("word").alias("_asked"), F.lit(True).alias("_known"))
+    labelled = labelled.withColumn("_asked", F.when(stem != "", asked)).join(known, "_asked", "left")
+    unknown_metric = (stem != "") & F.col("_known").isNull()
     names = F.filter(F.regexp_extract_all(text, F.lit(NAME_LIKE), F.lit(0)), lambda w: ~is_generic(w))
     unknown_entity = (F.size("entities") == 0) & (F.size(names) > 0)
     return labelled.select(
@@ -330,22 +339,66 @@ def pair_mentions(labelled: DataFrame, names: DataFrame) -> DataFrame:
     return near.select("question_id", F.col("name").alias("entity"), F.col("value").alias("period")).distinct()
 
 
+def _marks(strings: DataFrame, text: str) -> DataFrame:
+    """(text, mark): the characters of a string, the second, third, ... of a kind being marks of their own."""
+    at = F.sequence(F.lit(1), F.length(text))
+    head = lambda i: F.substring(F.col(text), F.lit(1), i)
+    char = lambda i: F.substring(F.col(text), i, F.lit(1))
+    mark = F.transform(at, lambda i: F.concat(char(i), (F.length(head(i)) - F.length(F.replace(head(i), char(i), F.lit("")))).cast("string")))
+    return strings.filter(F.length(text) > 0).select(text, F.explode(mark).alias("mark"))
+
+
+def _near_pairs(words: DataFrame, names: DataFrame, ratio: float) -> DataFrame:
+    """(word, name) pairs that may be ``ratio`` alike: none that is gets lost, and no two strings meet without a rare mark in common.
+
+    Strings within the ratio keep that share of the longer one's characters, so they share at least k = ceil(ratio * own length) marks. Marks are ordered from rare to
+    frequent in the catalog; each string enters under all but its last k - 1, and two that share k marks then share one of these.
+    """
+    frequency = _marks(names, "name").groupBy("mark").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(strings: DataFrame, text: str) -> DataFrame:
+        ranked = _marks(strings, text).join(frequency, "mark", "left").groupBy(text).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "mark"))).alias("m"))
+        spare = F.ceil(F.round(F.length(text) * F.lit(ratio), 9)).cast("int") - 1
+        return ranked.select(text, F.explode(F.slice("m", F.lit(1), F.size("m") - spare)).alias("x")).select(text, "x.mark")
+
+    shared = prefixes(words, "word").join(prefixes(names, "name"), "mark").select("word", "name").distinct()
+    shorter, longer = F.least(F.length("word"), F.length("name")), F.greatest(F.length("word"), F.length("name"))
+    return shared.filter(shorter >= longer * ratio - 1e-9)
+
+
 def nearest_names(words: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
-    """Up to ``k`` catalog names at least 45 % alike by edit distance. ``words(word)``.
+    """Up to ``k`` catalog names at least 45 % alike by edit distance. ``words(word)``; the first column of ``names`` is the name.
 
-    The measure is ``1 - levenshtein / longer length``, so only names of a length that it allows meet a word.
+    The measure is ``1 - levenshtein / longer length``; see :func:`_near_pairs` for which pairs are measured.
     """
-    catalog = names.select(F.col(names.columns[0]).alias("name")).distinct().withColumn("n", F.length("name"))
-    asked = words.select("word").distinct().withColumn("w", F.length("word"))
-    lengths = F.sequence(F.ceil(F.col("w") * NEAR_RATIO).cast("int"), F.floor(F.col("w") / NEAR_RATIO).cast("int"))
-    ratio = 1 - F.levenshtein("word", "name") / F.greatest("w", "n")
-    alike = asked.withColumn("n", F.explode(lengths)).join(catalog, "n").withColumn("r", ratio).filter(F.col("r") >= NEAR_RATIO)
+    catalog = names.select(F.col(names.columns[0]).alias("name")).filter("name is not null").distinct()
+    asked = words.select("word").distinct()
+    ratio = 1 - F.levenshtein("word", "name") / F.greatest(F.length("word"), F.length("name"))
+    alike = _near_pairs(asked, catalog, NEAR_RATIO).withColumn("r", ratio).filter(F.col("r") >= NEAR_RATIO)
     order = W.partitionBy("word").orderBy(F.desc("r"), "name")
     first = alike.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     near = first.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("near"))  # at most k
     return asked.join(near, "word", "left").select("word", F.coalesce(F.array_join(F.transform("near", lambda x: x["name"]), "/"), F.lit("")).alias("near"))
 
 
+def same_city(words: DataFrame, names: DataFrame, city: int = 2) -> DataFrame:
+    """(word, same): catalog names that hold the first ``city`` characters of the word, in order of name."""
+    catalog = names.select(F.col(names.columns[0]).alias("name")).filter("name is not null").distinct()
+    asked = words.select("word").distinct().filter(F.length("word") >= city).withColumn("city", F.substring("word", 1, city))
+    held = phrase_counts(catalog.select(F.col("name").alias("text_id"), F.col("name").alias("text")),
+                         asked.select(F.col("city").alias("phrase_id"), F.col("city").alias("phrase")).distinct(), fold_case=False)
+    lists = held.groupBy(F.col("phrase_id").alias("city")).agg(F.array_join(F.sort_array(F.collect_set("text_id")), "/").alias("same"))  # the names of one city
+    return asked.join(lists, "city").select("word", "same")
+
+
+def name_hints(words: DataFrame, names: DataFrame, city: int = 2, k: int = 3) -> DataFrame:
+    """What to say to an unknown name: (word, basis, names). Names of the same city, else the nearest names, else none."""
+    near = nearest_names(words, names, k)
+    both = near.join(same_city(words, names, city), "word", "left")
+    basis = F.when(F.col("same").isNotNull(), "same city").when(F.col("near") != "", "near").otherwise("none")
+    return both.select("word", basis.alias("basis"), F.coalesce("same", "near").alias("names"))
+
+
 def word_periods(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Where an unknown word does occur: (word, span, n_periods)."""
     texts = chunks.select(F.struct("chunk_id", "period").alias("text_id"), "text")

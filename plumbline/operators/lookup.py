@@ -10,9 +10,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.periods import CHUNK_ID
 
+VALUE_MARKS = 1 << 20
+
 
 def in_periods(wanted: Column, period: Column) -> Column:
     """IN-list predicate where an empty or NULL list means no filter."""
@@ -158,14 +161,37 @@ def choose_field(asks: DataFrame, ranked: DataFrame) -> DataFrame:
     return got.select("period", "entity", "field", value.alias("value"))
 
 
-def value_set(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every value of every column as distinct (table, field, value) strings."""
+def written(value: Column, kind: T.DataType) -> Column:
+    """A value as one string per cell or array element: numbers without trailing zeros (six decimals), times to the microsecond. An array of strings."""
+    if isinstance(kind, T.ArrayType):
+        return F.flatten(F.transform(value, lambda x: written(x, kind.elementType)))
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        plain = F.round(value.cast("double"), 6).cast("decimal(38,6)").cast("string")
+        return F.array(F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), value.cast("string")))  # nan and infinity keep their names
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.array(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.array(value.cast("string"))
+
+
+def _named(field: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+
+def value_set(tables: dict[str, DataFrame], wanted: DataFrame | None = None, form=lambda value: value) -> DataFrame:
+    """Every value of every column of every table as distinct (table, field, value) strings, whatever the schemas are.
+
+    ``form`` is the form in which values are given. ``wanted(value)`` restricts the set to values that may be among them, by marks of bounded size, before
+    anything is shuffled.
+    """
+    marks = None if wanted is None else F.broadcast(wanted.select(F.pmod(F.xxhash64("value"), F.lit(VALUE_MARKS)).alias("_mark")).distinct())
     out = None
     for name, df in tables.items():
-        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns])
-        part = df.select(F.lit(name).alias("table"), F.inline(pairs)).distinct()
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("value").isNotNull())
+        pairs = F.concat(*[F.coalesce(_named(f.name, written(F.col(f.name), f.dataType)), F.array().cast("array<struct<field:string,value:string>>")) for f in df.schema])
+        part = df.select(F.lit(name).alias("table"), F.inline(pairs)).withColumn("value", form(F.col("value"))).filter("value is not null")
+        if marks is not None:
+            part = part.withColumn("_mark", F.pmod(F.xxhash64("value"), F.lit(VALUE_MARKS))).join(marks, "_mark", "left_semi").drop("_mark")
+        out = part.distinct() if out is None else out.unionByName(part.distinct())
+    return out
 
 
 def source_label(source: Column) -> Column:

@@ -304,22 +304,37 @@ def drop_periods(terms: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(terms)
 
 
+def attempts(chunks: DataFrame, queries: DataFrame, rounds: int = 3) -> DataFrame:
+    """(query_id, attempt, phrase): what a query says, then without its rarest word, its two rarest, ...; at last half of its commonest word.
+
+    Words are rare by the number of chunks that hold them; of equally rare ones the later goes first. An attempt that repeats an earlier one is not made.
+    """
+    words = queries.select("query_id", F.posexplode(F.split(F.trim("phrase"), r"\s+")).alias("word_no", "word")).filter("word <> ''")
+    df = document_frequency(chunks, words.select(F.lower("word").alias("term")))
+    known = words.withColumn("term", F.lower("word")).join(df, "term")
+    listed = known.groupBy("query_id").agg(  # the words of one query
+        F.array_sort(F.collect_list(F.struct("df", (-F.col("word_no")).alias("back"), "word"))).alias("rare"),
+        F.min(F.struct((-F.col("df")).alias("d"), "word_no", "word"))["word"].alias("common"))
+    rest = lambda r: F.array_join(F.transform(F.array_sort(F.transform(F.slice("rare", F.lit(r + 1), F.size("rare")), lambda x: F.struct((-x["back"]).alias("no"), x["word"].alias("word")))), lambda x: x["word"]), " ")
+    half = F.when(F.length("common") > MIN_QUERY, F.expr(f"left(common, cast(greatest({MIN_QUERY}, ceil(length(common) / 2)) as int))"))
+    said = F.array(*[F.when(F.size("rare") > r, F.struct(F.lit(r).alias("attempt"), rest(r).alias("phrase"))) for r in range(rounds + 1)],
+                   F.when(half.isNotNull(), F.struct(F.lit(rounds + 1).alias("attempt"), half.alias("phrase"))))
+    every = listed.select("query_id", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x")).select("query_id", "x.attempt", "x.phrase")
+    return every.groupBy("query_id", "phrase").agg(F.min("attempt").alias("attempt"))
+
+
 def back_off(chunks: DataFrame, queries: DataFrame, rounds: int = 3, k: int = 5) -> DataFrame:
-    """Zero-hit fallback: drop the last word, at most ``rounds`` times, and keep the first attempt that hits. What stays is unchanged.
+    """Zero-hit fallback: the first of a query's :func:`attempts` that hits, with its hits; a query that never hits keeps one row.
 
-    All attempts of all queries are searched in one pass over the corpus; ``attempt`` says which one answered.
+    All attempts of all queries are searched in one pass over the corpus; ``attempt`` says which one answered. status: ok, backed_off, no_match.
     """
-    said = F.trim("phrase")
-    shorter = F.array(said, *[F.regexp_replace(said, rf"(?:\s+\S+){{{r}}}$", "") for r in range(1, rounds + 1)])
-    tries = queries.select(
-        "query_id", F.posexplode(F.slice(shorter, F.lit(1), F.least(F.lit(rounds + 1), F.size(F.split(said, r"\s+"))))).alias("attempt", "phrase")
-    ).filter(searchable(F.col("phrase")))
-    keys = tries.select(F.concat_ws("|", "query_id", "attempt").alias("phrase_id"), "phrase", "query_id", "attempt")
-    scores = phrase_scores(chunks, keys.select("phrase_id", "phrase")).join(
-        keys.select("phrase_id", "query_id", "attempt"), "phrase_id")
+    tries = attempts(chunks, queries, rounds).filter(searchable(F.col("phrase")))
+    keys = durable(tries.select(F.concat_ws("|", "query_id", "attempt").alias("phrase_id"), "phrase", "query_id", "attempt"))
+    scores = phrase_scores(chunks, keys.select("phrase_id", "phrase")).join(keys, "phrase_id")
     first = scores.groupBy("query_id").agg(F.min("attempt").alias("attempt"))
-    hits = scores.join(first, ["query_id", "attempt"])
-    return best_first(hits, "query_id", "bm25", k).select("query_id", "attempt", "id", "rank", "bm25")
+    ranked = best_first(scores.join(first, ["query_id", "attempt"]), "query_id", "bm25", k).select("query_id", "attempt", "phrase", "id", "rank", "bm25")
+    status = F.when(F.col("id").isNull(), "no_match").when(F.col("attempt") == 0, "ok").otherwise("backed_off")
+    return queries.select("query_id").join(ranked, "query_id", "left").withColumn("status", status)
 
 
 def query_status(queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.periods import CHUNK_ID
+from plumbline.operators.lookup import value_set
 
 MEAN_TOLERANCE = 0.005  # fixed values
 BOUND_TOLERANCE = 1e-9
@@ -223,14 +224,19 @@ def plan_violations(plans: DataFrame, tools: dict[str, set[str]], entities: Data
     ])
 
 
-def expected_values(expected: DataFrame, values: DataFrame) -> DataFrame:
-    """Expected numbers that occur nowhere in the tables; ``1,234`` and ``1234`` are one value.
+def plain_number(value: Column) -> Column:
+    """``1,234`` as ``1234``."""
+    return F.regexp_replace(value, r"(?<=\d),(?=\d{3}(?!\d))", "")
 
-    ``expected(case_id, value)``; ``values(value)``.
+
+def expected_values(expected: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Expected numbers that occur nowhere in the tables, in any column; ``1,234`` and ``1234`` are one value.
+
+    ``expected(case_id, value)``. Table values that no expected value can be are left out before the shuffle.
     """
-    plain = lambda c: F.regexp_replace(c, r"(?<=\d),(?=\d{3}(?!\d))", "")
-    have = values.select(plain(F.col("value")).alias("v")).distinct()
-    return expected.withColumn("v", plain(F.col("value"))).join(have, "v", "left_anti").select("case_id", "value")
+    asked = expected.withColumn("v", plain_number(F.col("value")))
+    have = value_set(tables, asked.select(F.col("v").alias("value")), plain_number).select(F.col("value").alias("v")).distinct()
+    return asked.join(have, "v", "left_anti").select("case_id", "value")
 
 
 def page_like(source: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import canonical_numbers
 from plumbline.functions.periods import PERIOD_TOKEN, period_ord
 from plumbline.operators.matching import grams
+from plumbline.session import durable
 
 # Fixed values
 PERIOD_MARK = "◇"
@@ -92,6 +93,49 @@ def version_notes(chunks: DataFrame, page: list[str]) -> DataFrame:
     ).filter("n_versions > 1")
 
 
+def page_versions(chunks: DataFrame, pages: DataFrame, page: list[str]) -> DataFrame:
+    """One row per version of the wanted pages: ``pages(*page, kind)`` and the key, representative, span, excerpt and numbers of each version.
+
+    Only chunks of a wanted page are normalised. ``n_versions`` is the number of versions of the row's page.
+    """
+    rows = chunks.withColumn("kind", kind_family(F.col("page_kind"))).join(pages.select(*page, "kind").distinct(), [*page, "kind"], "left_semi")
+    facts = rows.select(
+        *page, "kind", "chunk_id", "period", content_key(F.col("text")).alias("key"), F.substring("text", 1, EXCERPT).alias("excerpt"),
+        F.array_join(canonical_numbers(F.regexp_replace("text", PERIOD_TOKEN, "")), ",").alias("numbers"))
+    versions = facts.groupBy(*page, "kind", "key").agg(
+        F.min(F.struct("chunk_id", "excerpt", "numbers")).alias("rep"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+    counts = versions.groupBy(*page, "kind").agg(F.count(F.lit(1)).alias("n_versions"))
+    return versions.join(counts, [*page, "kind"]).select(
+        *page, "kind", "n_versions", F.col("rep.chunk_id").alias("rep_id"), "first_period", "last_period", F.col("rep.excerpt").alias("excerpt"), F.col("rep.numbers").alias("numbers"))
+
+
+def _open_pages(hits: DataFrame, chunks: DataFrame, queries: DataFrame, page: list[str]) -> DataFrame:
+    """(query_id, *page, kind): pages of the hits of queries that name no period; the best hit of a page says the kind."""
+    free = queries.filter(F.coalesce(F.size("periods") <= 0, F.lit(True))).select("query_id")
+    where = chunks.select(F.col("chunk_id").alias("id"), *page, kind_family(F.col("page_kind")).alias("kind"))
+    at = hits.join(free, "query_id", "left_semi").join(where, "id")
+    return at.groupBy("query_id", *page).agg(F.min(F.struct("rank", "kind"))["kind"].alias("kind"))
+
+
+def version_aware(hits: DataFrame, chunks: DataFrame, queries: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sources and notes of ranked hits; a query that names no period is told of every version of the pages it hit.
+
+    ``hits(query_id, id, rank)``; ``queries(query_id, periods)``, null or empty for none; ``page`` names the columns that say which chunks are one page over the periods.
+    Sources: (query_id, id, origin), the hits and, of pages with several versions, the representative of each. Notes: (query_id, *page, kind, n_versions,
+    first_period, last_period, excerpt, numbers_differ).
+    """
+    opened = durable(_open_pages(hits, chunks, queries, page))
+    versions = durable(page_versions(chunks, opened, page).filter("n_versions > 1"))
+    told = opened.join(versions, [*page, "kind"])
+    more = told.select("query_id", F.col("rep_id").alias("id"), F.lit("version").alias("origin"))
+    own = hits.select("query_id", "id", F.lit("hit").alias("origin"))
+    sources = own.unionByName(more).groupBy("query_id", "id").agg(F.min("origin").alias("origin"))
+    notes = told.groupBy("query_id", *page, "kind").agg(
+        F.count(F.lit(1)).alias("n_versions"), F.min("first_period").alias("first_period"), F.max("last_period").alias("last_period"),
+        F.min(F.struct("rep_id", "excerpt"))["excerpt"].alias("excerpt"), (F.countDistinct("numbers") > 1).alias("numbers_differ"))
+    return sources, notes
+
+
 def shingles(text: Column, n: int = SHINGLE) -> Column:
     """Distinct n-grams of the normalised text."""
     return F.array_distinct(grams(normalised(text), n))

@@ -11,10 +11,11 @@ from plumbline.operators import ranking as R
 from plumbline.operators import report as P
 from plumbline.operators import topk as K
 from plumbline.plans.aggregates import sql_numbers
-from plumbline.plans.oracle import half_up, oracle
+from plumbline.plans.oracle import every_value, half_up, oracle
 from plumbline.plans.ranking import DEV, dbl
 from plumbline.plans.registry import plan
 from plumbline.sources import views as V
+from plumbline.sources.tables import NAMES as TABLES
 
 ASKS = """SELECT o_orderkey AS ask_id, n_name AS entity, o_orderpriority AS metric,
     CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN '1990Q1'
@@ -160,15 +161,10 @@ def flt_field_catalog(t):
                            {"period", "entity", "metric", "tier", "source"}).drop("type")
 
 
-@plan("src_value_set", oracle("", """
-    SELECT DISTINCT * FROM (SELECT 'nation' AS "table", 'n_name' AS field, n_name AS value FROM nation UNION ALL
-      SELECT 'nation', 'n_nationkey', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL
-      SELECT 'nation', 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL
-      SELECT 'part', unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size']),
-             unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) FROM part)"""))
+@plan("src_value_set", oracle("", every_value()))
 def src_value_set(t):
-    """SRC-8: every value of every column."""
-    return L.value_set({"nation": t.nation, "part": t.part.drop("p_retailprice")})
+    """SRC-8: every value of every column of every table."""
+    return L.value_set({name: getattr(t, name) for name in TABLES})
 
 
 @plan("ext_source_label", oracle("metric_score", """

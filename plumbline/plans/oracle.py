@@ -113,3 +113,24 @@ def oracle(views: str, body: str, **extra: str) -> str:
 def half_up(num: str, den: str) -> str:
     """Integer quotient rounded half away from zero, as SQL text; ``den`` is positive."""
     return f"CAST(sign({num}) * ((2 * abs({num}) + ({den})) // (2 * ({den}))) AS BIGINT)"
+
+
+# The supplied tables: whole (w), fractional (f), time (t), text (s) and array (a) columns.
+COLUMNS = {
+    "region": "r_regionkey w, r_name s", "nation": "n_nationkey w, n_name s, n_regionkey w", "customer": "c_custkey w, c_name s, c_nationkey w, c_acctbal f, c_mktsegment s",
+    "supplier": "s_suppkey w, s_name s, s_nationkey w, s_acctbal f", "part": "p_partkey w, p_name s, p_brand s, p_type s, p_size w, p_retailprice f",
+    "orders": "o_orderkey w, o_custkey w, o_orderstatus s, o_totalprice f, o_orderdate t, o_orderpriority s",
+    "lineitem": "l_orderkey w, l_partkey w, l_suppkey w, l_linenumber w, l_quantity f, l_extendedprice f, l_discount f, l_tax f, l_returnflag s, l_linestatus s, l_shipdate t",
+    "events": "event_id w, ts t, user_id w, event_type s, value f, props s", "documents": "doc_id w, text s, lang s, source s, n_chars w",
+    "embeddings": "vec_id w, embedding a, label w", "pages": "page_id w, url s, html s", "benchmark": "item_id w, text s", "labels": "doc_id w, quality w, toxic w",
+    "conversations": "conv_id w, turn w, role s, text s",
+}
+
+
+def every_value(leave_out: tuple[str, ...] = ()) -> str:
+    """(table, field, value) of every cell as text."""
+    number = lambda c: f"regexp_replace(CAST(CAST(round(CAST({c} AS DOUBLE), 6) AS DECIMAL(38, 6)) AS VARCHAR), '\\.?0+$', '')"
+    text = {"w": lambda c: f"CAST({c} AS VARCHAR)", "s": lambda c: c, "f": number, "t": lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')", "a": lambda c: number(f"unnest({c})")}
+    cells = [f"""SELECT '{table}' AS "table", '{c}' AS field, {text[kind](c)} AS value FROM {table}"""
+             for table, columns in COLUMNS.items() if table not in leave_out for c, kind in (x.split() for x in columns.split(", "))]
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(cells) + ") WHERE value IS NOT NULL"

@@ -18,7 +18,7 @@ from plumbline.sources import views as V
 TAILS = (5, 6)
 TIER_WORD = "(AFRICA|AMERICA|ASIA|EUROPE|EAST)"
 YEAR = 2002
-KNOWN = ["综合得分", "样本量", "得分情况", "总分"]
+HEADLINES = ["综合得分", "样本量", "得分情况", "总分"]  # fixed values
 
 
 def labelled(t):
@@ -29,10 +29,16 @@ def labelled(t):
     return durable(L.label_questions(q, s, names, metrics, V.members(t), YEAR, TAILS, TIER_WORD))
 
 
+def answerable(t):
+    """Catalog of what can be asked for: the headline words and every metric of the data."""
+    headlines = t.spark.createDataFrame([(w,) for w in HEADLINES], "word string")
+    return headlines.unionByName(t.orders.select(F.col("o_orderpriority").alias("word")).distinct())
+
+
 def routed(t):
     known = V.score(t).select("period")
     out = L.route(labelled(t), known, known.filter("period >= '1998Q1'"))
-    return durable(L.apply_gates(out, L.refusals(out, KNOWN).filter("reason is not null")))  # every kind of answer reads it
+    return durable(L.apply_gates(out, L.refusals(out, answerable(t)).filter("reason is not null")))  # every kind of answer reads it
 
 
 LABELS = {
@@ -150,7 +156,7 @@ def lab_mixed_basis(t):
            CASE kind WHEN 21 THEN '光明国际机场' WHEN 22 THEN '靠桥率' END AS word FROM lab2"""))
 def lab_refusals(t):
     """LAB-11: the three refusal gates."""
-    return L.refusals(labelled(t), KNOWN)
+    return L.refusals(labelled(t), answerable(t))
 
 
 @plan("lab_nearest_names", oracle("", """
@@ -163,6 +169,19 @@ def lab_nearest_names(t):
     return L.nearest_names(words, t.nation.select("n_name"))
 
 
+@plan("lab_name_hints", oracle("", """
+    SELECT word, CASE WHEN same IS NOT NULL THEN 'same city' WHEN near <> '' THEN 'near' ELSE 'none' END AS basis, coalesce(same, near) AS names FROM (
+      SELECT word, string_agg(n, '/' ORDER BY n) FILTER (contains(n, word[1:4])) AS same,
+             coalesce(array_to_string(list_transform(list_sort(list({'r': -r, 'n': n}) FILTER (r >= 0.45))[1:3], lambda x: x.n), '/'), '') AS near
+      FROM (SELECT word, n, 1 - levenshtein(word, n) / greatest(length(word), length(n)) AS r
+            FROM (SELECT DISTINCT p_name AS word FROM part UNION SELECT DISTINCT replace(n_name, 'NATION_', 'NATIO-') FROM nation UNION SELECT DISTINCT r_name FROM region),
+                 (SELECT n_name AS n FROM nation UNION SELECT DISTINCT p_type FROM part)) GROUP BY 1)"""))
+def lab_name_hints(t):
+    """LAB-12: names of the same city, else near names, for every unknown name."""
+    words = t.part.select(F.col("p_name").alias("word")).union(t.nation.select(F.replace("n_name", F.lit("NATION_"), F.lit("NATIO-")))).union(t.region.select("r_name"))
+    return L.name_hints(words, t.nation.select("n_name").union(t.part.select("p_type")), 4)
+
+
 @plan("lab_word_periods", oracle("chunk", """
     SELECT word, concat(min(period), '~', max(period)) AS span, count(DISTINCT period) AS n_periods FROM (
       SELECT DISTINCT regexp_extract(text, '[A-Za-z]+', 0) AS word FROM benchmark) JOIN chunk ON contains(text, word) WHERE word <> '' GROUP BY 1"""))

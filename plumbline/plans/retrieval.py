@@ -10,6 +10,7 @@ from plumbline.operators import retrieval as S
 from plumbline.operators import versions as X
 from plumbline.plans.oracle import oracle
 from plumbline.plans.registry import plan
+from plumbline.plans.aggregates import sql_numbers
 from plumbline.session import durable
 from plumbline.sources import views as V
 
@@ -189,19 +190,43 @@ def ret_hybrid_shortfall(t):
     return S.shortfall(merged, keyword_list(t))
 
 
-VERSIONS = """SELECT chunk_id, period, page_kind, min(chunk_id) OVER (PARTITION BY page_kind, key) AS rep_id
-    FROM (SELECT *, md5(regexp_replace(regexp_replace(text, '\\d{4}Q\\d', '◇', 'g'), '\\s+', '', 'g')) AS key FROM chunk)"""
+PAGE = "n_chars // 40"  # a page here: documents of about one length
+VERSIONS = {
+    "opened": f"""SELECT query_id, {PAGE} AS page, arg_min(page_kind, rank) AS kind FROM hit JOIN chunk ON chunk_id = id WHERE query_id % 2 = 0 GROUP BY 1, 2""",
+    "versions": f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page, kind) AS n_versions FROM (
+        SELECT {PAGE} AS page, page_kind AS kind, md5(regexp_replace(regexp_replace(text, '\\d{{4}}Q\\d', '◇', 'g'), '\\s+', '', 'g')) AS key, min(chunk_id) AS rep_id,
+               min(period) AS a, max(period) AS b, first(text[1:70] ORDER BY chunk_id) AS excerpt,
+               first(array_to_string({sql_numbers("regexp_replace(text, '\\d{4}Q\\d', '', 'g')")}, ',') ORDER BY chunk_id) AS numbers
+        FROM chunk GROUP BY 1, 2, 3)) WHERE n_versions > 1""",
+}
+
+
+def asked(t):
+    """Queries of which every other one names a period."""
+    return V.query(t).withColumn("periods", F.when(F.col("query_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("2020Q1"))))
+
+
+def paged(t):
+    return V.chunk(t).withColumn("page", F.expr("n_chars div 40").cast("bigint"))
 
 
 @plan("ret_version_aware", oracle("chunk query", """
-    SELECT DISTINCT query_id, unnest([id, rep_id]) AS id, list_min([id, rep_id]) AS version FROM kw5 JOIN vs ON chunk_id = id""",
-    **{**TERMS, "kw5": KW5.format(k=5), "vs": VERSIONS}))
+    SELECT query_id, id, min(origin) AS origin FROM (
+      SELECT query_id, id, 'hit' AS origin FROM hit UNION ALL SELECT query_id, rep_id, 'version' FROM opened JOIN versions USING (page, kind)) GROUP BY 1, 2""",
+    **{**TERMS, "hit": KW5.format(k=5), **VERSIONS}))
 def ret_version_aware(t):
-    """RET-8: the representative of the version of every hit joins the sources."""
-    hits = keyword_list(t)
-    members = X.version_members(V.chunk(t)).select(F.col("chunk_id").alias("id"), "rep_id")
-    return hits.join(members, "id").select(
-        "query_id", F.explode(F.array_distinct(F.array("id", "rep_id"))).alias("id"), F.least("id", "rep_id").alias("version")).distinct()
+    """RET-8: a query without a period gets the representative of every version of the pages it hit."""
+    return X.version_aware(keyword_list(t), paged(t), asked(t), ["page"])[0]
+
+
+@plan("ret_version_notes", oracle("chunk query", """
+    SELECT query_id, page, kind, count(*) AS n_versions, min(a) AS first_period, max(b) AS last_period, first(excerpt ORDER BY rep_id) AS excerpt,
+           count(DISTINCT numbers) > 1 AS numbers_differ
+    FROM opened JOIN versions USING (page, kind) GROUP BY 1, 2, 3""",
+    **{**scored(PHRASES), "hit": "SELECT phrase_id AS query_id, id, row_number() OVER (PARTITION BY phrase_id ORDER BY bm25 DESC, id) AS rank FROM hits QUALIFY rank <= 5", **VERSIONS}))
+def ret_version_notes(t):
+    """RET-8, VER-3: what a reader is told about pages with several versions."""
+    return X.version_aware(S.search(V.chunk(t), V.query(t)), paged(t), asked(t), ["page"])[1]
 
 
 @plan("ret_drop_periods", oracle("query chunk", """
@@ -216,21 +241,28 @@ def ret_drop_periods(t):
     return V.query(t).select("query_id", F.array_join(S.drop_periods(F.split(tagged, " ")), " ").alias("terms"))
 
 
-TRIES = """SELECT query_id, attempt, concat(query_id, '|', attempt) AS phrase_id, phrase FROM (
-    SELECT query_id, unnest([0, 1, 2, 3]) AS attempt, len(string_split_regex(trim(phrase), '\\s+')) AS n,
-           unnest([trim(phrase), regexp_replace(trim(phrase), '(?:\\s+\\S+){1}$', ''), regexp_replace(trim(phrase), '(?:\\s+\\S+){2}$', ''),
-                   regexp_replace(trim(phrase), '(?:\\s+\\S+){3}$', '')]) AS phrase
-    FROM query) WHERE attempt < n"""
+WORDS = """SELECT query_id, i - 1 AS word_no, w[i] AS word, len(w) AS n FROM (
+    SELECT query_id, string_split_regex(trim(phrase), '\\s+') AS w, unnest(range(1, len(string_split_regex(trim(phrase), '\\s+')) + 1)) AS i FROM query)"""
+TRIES = {
+    "word": WORDS,
+    "worded": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df, word_no DESC) AS place,
+        row_number() OVER (PARTITION BY query_id ORDER BY df DESC, word_no) AS best
+        FROM word JOIN (SELECT lower(word) AS lw, count(chunk_id) AS df FROM (SELECT DISTINCT word FROM word) LEFT JOIN chunk ON contains(lower(text), lower(word)) GROUP BY 1) ON lw = lower(word)""",
+    "said": """SELECT query_id, attempt, string_agg(word, ' ' ORDER BY word_no) AS phrase FROM worded, (SELECT unnest([0, 1, 2, 3]) AS attempt)
+        WHERE place > attempt GROUP BY 1, 2 UNION ALL
+        SELECT query_id, 4, left(word, CAST(greatest(3, ceil(length(word) / 2)) AS INT)) FROM worded WHERE best = 1 AND length(word) > 3""",
+    "tries": "SELECT query_id, min(attempt) AS attempt, concat(query_id, '|', min(attempt)) AS phrase_id, phrase FROM said GROUP BY query_id, phrase",
+}
 
 
 @plan("ret_back_off", oracle("chunk query", """
-    SELECT query_id, attempt, id, rank, round(bm25, 6) AS bm25 FROM (
-      SELECT query_id, attempt, id, bm25, row_number() OVER (PARTITION BY query_id, attempt ORDER BY bm25 DESC, id) AS rank
-      FROM hits JOIN tries USING (phrase_id)
-      QUALIFY attempt = min(attempt) OVER (PARTITION BY query_id)) WHERE rank <= 5""",
-    **{"tries": TRIES, **scored("SELECT phrase_id, phrase FROM tries")}))
+    SELECT query_id, attempt, phrase, id, rank, bm25, CASE WHEN id IS NULL THEN 'no_match' WHEN attempt = 0 THEN 'ok' ELSE 'backed_off' END AS status FROM query q
+    LEFT JOIN (SELECT query_id, attempt, t.phrase AS said, id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id, attempt ORDER BY bm25 DESC, id) AS rank
+               FROM hits JOIN tries t USING (phrase_id) QUALIFY attempt = min(attempt) OVER (PARTITION BY query_id)) USING (query_id)
+    WHERE rank IS NULL OR rank <= 5""".replace("attempt, phrase, id", "attempt, said AS phrase, id", 1),
+    **{**TRIES, **scored("SELECT phrase_id, phrase FROM tries")}))
 def ret_back_off(t):
-    """RET-10: zero-hit queries lose their last word, up to three times."""
+    """RET-10: zero-hit queries lose their rarest words, then all but half a word; what never hits says so."""
     return S.back_off(V.chunk(t), V.query(t)).withColumn("bm25", F.round("bm25", 6))
 
 
