@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FOLD, SPACE_SEPARATED, arrow_batches, durable, mix, only, pieces, stored, utf8, words
+from plumbline.llm.common import FOLD, ID_LIST, SPACE_SEPARATED, arrow_batches, durable, mix, only, pieces, stored, utf8, words
 from plumbline.llm.components import connected
 
 WIDTH = 4
@@ -266,13 +266,17 @@ def candidate_edges(documents: DataFrame, text: str, width: int, percent: int) -
     met = stored(rows.repartition(n, "sig").sortWithinPartitions("sig", "sid").mapInArrow(
         _meet, "sid long, leader long, sig long, system int, left int, other int, n int"))
     common = met.filter("sig is not null")
-    spent = durable(common.groupBy("sid", "system").agg(F.count(F.lit(1)).alias("spent"), F.min("left").alias("left")))
-    kept = common.join(spent.filter("spent > left").select("sid", "system"), ["sid", "system"], "left_semi").select("sig", "sid")
-    first = kept.groupBy("sig").agg(F.min("sid").alias("leader"))
-    heavy = kept.join(first, "sig").select("sid", "leader")
+    often = durable(common.groupBy("sig").agg(F.count(F.lit(1)).alias("often")))
+    ranked = common.join(F.broadcast(often) if often.count() <= ID_LIST else often, "sig")
+    # A set drops the most frequent common signatures that it can spare. All sets have the same order, so of what two linked sets share the least
+    # frequent stays with both. The list is as long as the set has slices; most of it names the same few leaders.
+    listed = ranked.groupBy("sid", "system").agg(F.min("left").alias("left"), F.array_sort(F.collect_list(F.struct("often", "sig", "leader"))).alias("all"))
+    kept = F.slice("all", F.lit(1), F.greatest(F.size("all") - F.greatest("left", F.lit(0)), F.lit(0)))
+    listed = durable(listed.select("sid", "system", F.size("all").cast("long").alias("spent"), F.array_distinct(F.transform(kept, lambda x: x["leader"])).alias("leaders")))
+    heavy = listed.select("sid", F.explode("leaders").alias("leader"))
+    spent = listed.select("sid", "system", "spent")
     # Linked sets agree in more slices than the slack, so a set that ignores some of them shares more than what is left of it.
     pairs = met.filter("n is not null").groupBy("sid", "leader", "system").agg(F.sum("n").alias("n"), F.min("left").alias("left"), F.min("other").alias("other"))
-    spent = spent.select("sid", "system", "spent")
     pairs = (pairs.join(spent, ["sid", "system"], "left").filter("n > left - coalesce(spent, 0)").drop("spent")
              .join(spent.withColumnRenamed("sid", "leader"), ["leader", "system"], "left").filter("n > other - coalesce(spent, 0)").select("sid", "leader"))
     stars = met.filter("n is null and sig is null").select("sid", "leader")
