@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import answer_numbers, canonical_numbers, let
+from plumbline.functions.periods import PERIOD_TOKEN, period_ord
+from plumbline.operators.lookup import resolve_prefix
+from plumbline.operators.versions import content_key
+from plumbline.session import durable
 
 MONEY = "decimal(38,2)"
+# How a citation names all periods of a page, and the fields of a period.
+MANY_VERSIONS = "多版本"
+META_FIELDS = {"样本量": "sample_n", "机场数": "entity_n", "一级指标数": "l1_n", "二级指标数": "l2_n", "口径版本": "basis_version"}
 
 
 def _trimmed(parts: Column) -> Column:
@@ -149,27 +158,86 @@ def drift(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     )
 
 
-def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFrame, meta: DataFrame) -> DataFrame:
-    """The numbers each citation clause points at: (question_id, clause_no, numbers), NULL numbers when nothing is there.
-
-    Clauses name a table and its keys; ``字段=排名`` asks for the rank and ``取前=N`` for the first N scores; an N that is
-    no number finds nothing.
-    """
+def _cited(clauses: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Clauses by kind, with names made whole and what is wrong with the clause itself."""
     f = lambda k: F.col("fields")[k]
     c = clauses.filter("error is null").select(
-        "question_id", "clause_no", f("表").alias("tbl"), f("期次").alias("period"), f("机场").alias("entity"), f("指标").alias("metric"),
-        f("字段").alias("field"), f("取前").alias("first"), f("取前").try_cast("int").alias("n"))
-    text = lambda x: F.array(canonical_numbers(x.cast("string"))[0])
+        "question_id", "clause_no", f("表").alias("tbl"), f("期次").alias("period"), f("机场").alias("asked_entity"), f("指标").alias("asked_metric"),
+        F.filter(F.transform(F.split(F.coalesce(f("字段"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("wanted"), f("取前").alias("first"),
+        f("取前").try_cast("int").alias("n"), f("chunk").alias("chunk"), f("页码").alias("page"), f("分界").alias("cut"))
+    kind = (F.when(F.col("chunk") == MANY_VERSIONS, "versions").when(F.col("chunk").isNotNull(), "pages").when(F.col("tbl") == "meta", "meta")
+            .when((F.col("tbl") == "综合得分") & F.col("first").isNotNull(), "top").when(F.col("tbl") == "综合得分", "score")
+            .when((F.col("tbl") == "指标得分") & F.col("asked_entity").isNull(), "best").when(F.col("tbl") == "指标得分", "metric"))
+    c = c.withColumn("kind", kind)
+    for what, catalog in (("entity", entities), ("metric", metrics)):
+        whole = resolve_prefix(c.select(F.col(f"asked_{what}").alias("ask")).filter("ask is not null"), catalog.toDF("name").distinct())
+        c = c.join(whole.select(F.col("ask").alias(f"asked_{what}"), F.col("name").alias(what), F.col("status").alias(f"{what}_status")), f"asked_{what}", "left")
+    named = lambda what: F.when(F.col(f"asked_{what}").isNull(), f"no {what}").when(F.col(f"{what}_status") == "missing", f"unknown {what}").when(F.col(f"{what}_status") == "ambiguous", f"ambiguous {what}")
+    problem = (
+        F.when(F.col("kind").isNull(), F.when(F.col("tbl").isNull(), "no table").otherwise("unknown table"))
+        .when((F.col("kind") == "versions") & F.col("page").try_cast("int").isNull(), "no page")
+        .when((F.col("kind") == "versions") & F.col("cut").isNotNull() & ~F.col("cut").rlike(f"^{PERIOD_TOKEN}$"), "bad boundary")
+        .when((F.col("kind") == "meta") & (F.size(F.array_except("wanted", F.array(*[F.lit(x) for x in META_FIELDS]))) > 0), "unknown field")
+        .when((F.col("kind") == "top") & F.col("n").isNull(), "bad number")
+        .when(F.col("kind") == "score", named("entity"))
+        .when(F.col("kind") == "best", named("metric"))
+        .when(F.col("kind") == "metric", F.coalesce(named("metric"), named("entity"))))
+    note = F.concat_ws("; ", *[F.when(F.col(f"{w}_status") == "prefix", F.concat_ws(" = ", f"asked_{w}", w)) for w in ("entity", "metric")])
+    return c.withColumn("problem", problem).withColumn("note", note)
+
+
+def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFrame, meta: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """What each citation clause points at: (question_id, clause_no, numbers, names, problem, note); NULL numbers have a problem.
+
+    Every clause is of one kind and meets one relation:
+
+    * ``chunk=id,id``: pages, every one of which must be there; their numbers together.
+    * ``chunk=多版本;页码=7[;分界=2025Q1]``: one page in all periods; the note tells the number of versions, or of periods on both sides of the boundary.
+    * ``表=meta``: all fields of a period, or those named. ``表=综合得分``: the score of an entity, its rank (``字段=排名``), or the first N scores (``取前=N``).
+    * ``表=指标得分``: the value of an entity, or without one the best value, with every name that holds it.
+
+    A name may be a unique prefix, which the note says. ``chunks(chunk_id, period, page_no, text)``.
+    """
     key = ["question_id", "clause_no"]
-    one = c.filter("tbl = '综合得分' and first is null").join(ranked.drop("source"), ["period", "entity"]).select(
-        *key, F.when(F.col("field") == "排名", text(F.col("row_no"))).otherwise(text(F.col("score"))).alias("numbers"))
-    top = c.filter("tbl = '综合得分' and n is not null").drop("entity").join(ranked, "period").filter("row_no <= n").groupBy(*key).agg(
-        F.flatten(F.collect_list(text(F.col("score")))).alias("numbers"))  # at most n
-    part = c.filter("tbl = '指标得分'").join(metric_score, ["period", "metric", "entity"]).select(*key, text(F.col("score")).alias("numbers"))
-    whole = c.filter("tbl = 'meta'").join(meta, "period").select(
-        *key, F.concat(*[text(F.col(x)) for x in ("sample_n", "entity_n", "l1_n", "l2_n")]).alias("numbers"))
-    found = one.unionByName(top).unionByName(part).unionByName(whole)
-    return c.select(*key).join(found, key, "left")
+    c = durable(_cited(clauses, ranked.select("entity").union(metric_score.select("entity")), metric_score.select("metric")))
+    ok = c.filter("problem is null")
+    text = lambda x: F.array(canonical_numbers(x.cast("string"))[0])
+    none, quiet = F.lit(None).cast("string"), F.lit(None).cast("string")
+    parts = []
+
+    def add(rows: DataFrame, numbers: Column, names: Column = none, note: Column = quiet) -> None:
+        parts.append(rows.select(*key, numbers.alias("numbers"), names.alias("names"), note.alias("told")))
+
+    add(ok.filter("kind = 'score'").join(ranked.drop("source"), ["period", "entity"]), F.when(F.array_contains("wanted", "排名"), text(F.col("row_no"))).otherwise(text(F.col("score"))), F.col("entity"))
+    firsts = ok.filter("kind = 'top'").select(*key, "period", "n").join(ranked, "period").filter("row_no <= n").groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "entity", "score"))).alias("rows"))  # at most n
+    add(firsts, F.transform("rows", lambda r: text(r["score"])[0]), F.array_join(F.transform("rows", lambda r: r["entity"]), "/"))
+    add(ok.filter("kind = 'metric'").select(*key, "period", "metric", "entity").join(metric_score, ["period", "metric", "entity"]), text(F.col("score")), F.col("entity"))
+    best = ok.filter("kind = 'best'").select(*key, "period", "metric").join(metric_score, ["period", "metric"])
+    tops = metric_score.groupBy("period", "metric").agg(F.max("score").alias("score"))
+    held = best.join(tops, ["period", "metric", "score"]).groupBy(*key, "score").agg(F.array_join(F.sort_array(F.collect_list("entity")), "/").alias("names"))
+    add(held, text(F.col("score")), F.col("names"))
+    every = F.size("wanted") == 0
+    chosen = F.concat(*[F.when(every | F.array_contains("wanted", label), canonical_numbers(F.col(column).cast("string"))).otherwise(F.array().cast("array<string>")) for label, column in META_FIELDS.items()])
+    add(ok.filter("kind = 'meta'").select(*key, "period", "wanted").join(meta, "period"), F.array_distinct(chosen))
+    if chunks is not None:
+        ids = ok.filter("kind = 'pages'").select(*key, F.explode(F.filter(F.transform(F.split("chunk", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("chunk_id"))
+        pages = ids.join(chunks.select("chunk_id", "text"), "chunk_id", "left").groupBy(*key).agg(  # a citation's few pages
+            F.array_distinct(F.flatten(F.collect_list(canonical_numbers(F.col("text"))))).alias("numbers"), F.bool_or(F.col("text").isNull()).alias("lost"))
+        add(pages, F.when(~F.col("lost"), F.col("numbers")), none, F.when(F.col("lost"), "unknown page"))
+        asked = ok.filter("kind = 'versions'").select(*key, F.col("page").cast("int").alias("page_no"), "cut")
+        facts = chunks.join(asked.select("page_no").distinct(), "page_no", "left_semi").select(
+            "page_no", "period", content_key(F.col("text")).alias("version"), canonical_numbers(F.col("text")).alias("numbers"))
+        before = period_ord(F.col("period")) < period_ord(F.col("cut"))
+        sides = asked.join(facts, "page_no").groupBy(*key, "cut").agg(  # a page's periods
+            F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"), F.countDistinct("version").alias("versions"),
+            F.count_if(before).alias("before"), F.count_if(~before).alias("after"))
+        add(sides, F.col("numbers"), none, F.when(F.col("cut").isNull(), F.format_string("%d versions", "versions")).otherwise(F.format_string("%d before, %d after", "before", "after")))
+    found = reduce(DataFrame.unionByName, parts)
+    missing = F.when(F.col("numbers").isNull(), F.coalesce(F.when(F.col("kind") == "pages", F.lit("unknown page")).when(F.col("kind") == "versions", F.lit("unknown page")), F.lit("nothing found")))
+    return c.join(found, key, "left").select(
+        *key, "numbers", "names", F.coalesce("problem", missing).alias("problem"),
+        F.concat_ws("; ", F.when(F.col("note") != "", F.col("note")), F.when(F.col("numbers").isNotNull(), F.col("told"))).alias("note"))
 
 
 def verify_keys(questions: DataFrame, clauses: DataFrame, looked_up: DataFrame) -> DataFrame:

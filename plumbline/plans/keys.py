@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import evaluate as E
 from plumbline.operators import extract as X
 from plumbline.operators import ranking as R
+from plumbline.plans.aggregates import sql_numbers
 from plumbline.plans.oracle import oracle
 from plumbline.plans.registry import plan
 from plumbline.session import durable
@@ -50,6 +51,68 @@ def evl_verify_keys(t):
     return E.verify_keys(q, clauses, found)
 
 
+CITED = {
+    1: "chunk={source},{period}-P01", 2: "chunk={source},1990Q1-P01", 3: "chunk=多版本;页码={page}", 4: "chunk=多版本;页码={page};分界=1995Q1", 5: "chunk=多版本;页码={page};分界=1995",
+    6: "表=meta;期次={period};字段=样本量,机场数", 7: "表=meta;期次={period};字段=名次", 8: "表=综合得分;期次={period};机场={entity};字段=排名", 9: "表=综合得分;期次={period};机场=NAT",
+    10: "表=综合得分;期次={period};机场=Nowhere", 11: "表=综合得分;期次={period};取前=3", 12: "表=综合得分;期次={period};取前=x", 13: "表=指标得分;期次={period};指标=1-UR",
+    14: "表=指标得分;期次={period}", 15: "期次={period}", 16: "表=指标得分;期次={period};指标=1-URGENT;机场={entity}",
+}
+
+
+def _cited(kind: int, numbers: str = "NULL", names: str = "NULL", problem: str = "NULL", note: str = "''", rest: str = "") -> str:
+    return f"""SELECT concat(s.source, '#{kind}') AS question_id, array_to_string({numbers}, ',') AS numbers, {names} AS names, {problem} AS problem, {note} AS note
+        FROM pg s {rest}"""
+
+
+def _cited_sql() -> str:
+    score, merged = sql_numbers("printf('%.2f', s.score)"), "list_sort(list_distinct(list_concat(s.nums, o.nums)))"
+    best = "LEFT JOIN (SELECT period, list_sort(list(entity)) AS e, first(score) AS score FROM (SELECT *, max(h) OVER (PARTITION BY period) AS top FROM metric_score WHERE metric = '1-URGENT') WHERE h = top GROUP BY 1) m USING (period)"
+    every = "JOIN (SELECT page, list_sort(list_distinct(flatten(list(nums)))) AS nums, count(DISTINCT text) AS v, count(*) FILTER (period < '1995Q1') AS b, count(*) FILTER (period >= '1995Q1') AS a FROM pg GROUP BY 1) o USING (page)"
+    top = "JOIN (SELECT period, list(score ORDER BY row_no) AS x, string_agg(entity, '/' ORDER BY row_no) AS e FROM ranked WHERE row_no <= 3 GROUP BY 1) r USING (period)"
+    parts = [
+        _cited(1, f"CASE WHEN o.source IS NOT NULL THEN {merged} END", problem="CASE WHEN o.source IS NULL THEN 'unknown page' END", rest="LEFT JOIN pg o ON o.source = concat(s.period, '-P01')"),
+        _cited(2, problem="'unknown page'"), _cited(3, "o.nums", note="concat(v, ' versions')", rest=every), _cited(4, "o.nums", note="concat(b, ' before, ', a, ' after')", rest=every),
+        _cited(5, problem="'bad boundary'"),
+        _cited(6, "list_sort(list_distinct([CAST(sample_n AS VARCHAR), CAST(entity_n AS VARCHAR)]))", rest="JOIN period_meta_q USING (period)"),
+        _cited(7, problem="'unknown field'"), _cited(8, "[CAST(row_no AS VARCHAR)]", "s.entity", rest="JOIN ranked r ON r.period = s.period AND r.entity = s.entity"),
+        _cited(9, problem="'ambiguous entity'"), _cited(10, problem="'unknown entity'"),
+        _cited(11, "list_sort(list_distinct(list_transform(r.x, lambda y: " + sql_numbers("printf('%.2f', y)") + "[1])))", "r.e", rest=top),
+        _cited(12, problem="'bad number'"),
+        _cited(13, "CASE WHEN m.e IS NOT NULL THEN " + sql_numbers("printf('%.2f', m.score)") + " END", "array_to_string(m.e, '/')", "CASE WHEN m.e IS NULL THEN 'nothing found' END",
+               "'1-UR = 1-URGENT'", best),
+        _cited(14, problem="'no metric'"), _cited(15, problem="'no table'"),
+        _cited(16, "CASE WHEN m.score IS NOT NULL THEN " + sql_numbers("printf('%.2f', m.score)") + " END", "m.entity", "CASE WHEN m.score IS NULL THEN 'nothing found' END",
+               rest="LEFT JOIN (SELECT * FROM metric_score WHERE metric = '1-URGENT') m ON m.period = s.period AND m.entity = s.entity"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def score_pages(t):
+    """A page for every score: its id, quarter, number and text."""
+    s = V.score(t)
+    return s.select(F.col("source").alias("chunk_id"), "period", "entity", F.regexp_extract("source", r"P(\d+)$", 1).cast("int").alias("page_no"),
+                    F.concat_ws(" ", "entity", F.col("score").cast("string")).alias("text"))
+
+
+@plan("evl_citation_lookup", oracle("score ranked metric_score period_meta_q", _cited_sql(),
+                                    pg=f"SELECT source, period, entity, score, nk + 1 AS page, concat(entity, ' ', printf('%.2f', score)) AS text, {sql_numbers("concat(entity, ' ', printf('%.2f', score))")} AS nums FROM score"))
+def evl_citation_lookup(t):
+    """EVL-2: a citation of every kind, right and wrong, for every score of every period."""
+    pages = durable(score_pages(t))
+    cell = {"{source}": "chunk_id", "{period}": "period", "{entity}": "entity", "{page}": "page_no"}
+
+    def citation(text: str):
+        out = F.lit(text)
+        for mark, column in cell.items():
+            out = F.replace(out, F.lit(mark), F.col(column).cast("string"))
+        return out
+
+    every = F.array(*[F.struct(F.lit(str(k)).alias("kind"), citation(c).alias("citation")) for k, c in CITED.items()])
+    asks = pages.select("chunk_id", F.inline(every)).select(F.concat_ws("#", "chunk_id", "kind").alias("question_id"), "citation")
+    found = E.lookup_citations(X.parse_citations(asks), R.rank_table(V.score(t)), V.metric_score(t), V.period_meta_q(t), pages)
+    return found.select("question_id", F.array_join(F.array_sort(F.array_distinct("numbers")), ",").alias("numbers"), "names", "problem", "note")
+
+
 @plan("evl_challenge_set", oracle("chunk", """
     SELECT phrase, pages, category, CASE category WHEN 'real' THEN concat(phrase, '说的是什么') ELSE concat(reverse(phrase), 'qx说的是什么') END AS question,
            CASE category WHEN 'real' THEN expected_page END AS expected_page
