@@ -6,6 +6,8 @@ Every label carries a status, and an ambiguous one never turns into a value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from plumbline.functions.periods import PERIOD_LOOSE, periods_in
 from plumbline.operators import ranking as R
 from plumbline.operators.combine import nearest_preceding
 from plumbline.operators.matching import longest_mentions, phrase_counts, phrase_positions
-from plumbline.operators.topk import direction_aware
+from plumbline.operators.topk import top_n
+from plumbline.session import durable
 
 # Word lists and patterns of the question language.
 NUMERIC = r"多少|几分|几期|第几|排名|名次|前\s*\d|最高|最低|得分|分数|样本量|家数"
@@ -56,6 +59,10 @@ PREFERENCE = "关注|在意|重点|喜欢|习惯|以后|别再|不用|不要|偏
 MEAN_WORDS = "平均|均值"
 WORST_WORDS = "最低|最差|垫底|最后"
 LISTED = 5  # a metric or the headline without an entity is answered by so many rows
+META_WORDS = "样本量|样本数|机场数|多少家机场|几家机场"
+META_LINES = ("sample_n", "entity_n", "l1_n", "l2_n")  # a question about any of them is told all
+OF_ENTITIES = ("metric", "all_metrics", "tier_of", "headline")  # kinds that are answered for every entity named
+FACT_ROWS = 500_000  # so many facts travel to every task; more are joined by a shuffle
 LIMIT = r"\d+万\s*[-~]\s*\d+万|\d+万级以上|\d+万级|[一-鿿]{2,6}(?:声明|简介)"
 NEAR_RATIO = 0.45
 
@@ -489,7 +496,7 @@ def question_kind(labelled: DataFrame) -> Column:
     component = F.col("metric").isNotNull() & ~F.col("metric").isin(*HEADLINE)
     one = F.size("entities") == 1
     return (
-        F.when(F.contains(text, F.lit("样本量")), "metadata")
+        F.when(text.rlike(META_WORDS), "metadata")
         .when(component & ~text.rlike(WHOLE), F.when(F.size("entities") == 0, "metric_list").otherwise("metric"))
         .when(one & F.contains(text, F.lit("各项")), "all_metrics")
         .when(top_wanted(text).isNotNull() & (F.size("entities") == 0), "top_n")
@@ -503,47 +510,60 @@ def question_kind(labelled: DataFrame) -> Column:
     )
 
 
+def fact_table(score: DataFrame, metric_score: DataFrame, members: DataFrame, meta: DataFrame) -> DataFrame:
+    """Everything a question can be answered with, under one key: (kind, key, place, subject, value, source).
+
+    ``place`` orders the facts of a key where a question may ask for the first ones. The table is as long as its score tables, whatever the number of questions.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    ranked = R.rank_table(score)
+    placed = score.join(members, "entity")
+    means = placed.groupBy("period", "tier").agg(F.round(R.exact_mean(), 2).alias("tier_mean"))
+    low = score.groupBy("period").agg(F.min("score").alias("score"))
+    every = F.array(*[F.struct(F.lit(x).alias("field"), c(x).cast("double").alias("value")) for x in META_LINES if x in meta.columns])
+    parts = []
+
+    def facts(kind: str, df: DataFrame, key: list[Column], subject: Column, value: Column, source: Column, place: Column | None = None) -> None:
+        parts.append(df.select(F.lit(kind).alias("kind"), F.concat_ws("|", *key).alias("key"), (F.lit(0) if place is None else place).cast("int").alias("place"),
+                               subject.alias("subject"), value.cast("double").alias("value"), source.alias("source")))
+
+    facts("metadata", meta.select("period", F.inline(every)), [c("period")], c("field"), c("value"), none)
+    facts("metric", metric_score, [c("period"), c("metric"), c("entity")], c("entity"), c("score"), c("source"))
+    for worst in (False, True):
+        listed = top_n(metric_score, LISTED, ["period", "metric"], worst=worst)
+        facts("metric_list", listed, [c("period"), c("metric"), F.lit(str(worst).lower())], c("entity"), c("score"), c("source"))
+    facts("headline_list", ranked.filter(c("row_no") <= LISTED), [c("period")], c("entity"), c("score"), c("source"))
+    facts("all_metrics", metric_score, [c("period"), c("entity")], c("metric"), c("score"), c("source"))
+    facts("top_n", ranked, [c("period")], c("entity"), c("score"), c("source"), c("row_no"))
+    facts("tier_mean", means, [c("period"), c("tier")], c("tier"), c("tier_mean"), none)
+    facts("tier_of", placed, [c("period"), c("entity")], c("tier"), c("score"), c("source"))
+    facts("tier_list", placed, [c("period"), c("tier")], c("entity"), c("score"), c("source"))
+    facts("lowest", score.join(low, ["period", "score"]), [c("period")], c("entity"), c("score"), c("source"))
+    facts("headline", score, [c("period"), c("entity")], c("entity"), c("score"), c("source"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def answer_questions(routed: DataFrame, names: DataFrame, score: DataFrame, metric_score: DataFrame, members: DataFrame, meta: DataFrame) -> DataFrame:
     """Answer lines for all questions routed to the tables: (question_id, kind, period, subject, value, source).
 
-    One join pipeline per kind over the whole question table. Rankings and means are first made for the whole
-    score tables, so the work does not depend on how many questions ask for the same thing.
+    A question becomes keys of the fact table, one for each period (and entity, where its kind asks for one); one join answers them all.
     """
+    c = F.col
     asked = routed.filter("route = 'sql'").withColumn("kind", question_kind(routed))
     asked = asked.select("question_id", "kind", "metric", "tier", "entities", top_wanted(F.col("text")).alias("n"), F.col("text").rlike(WORST_WORDS).alias("worst"), F.explode("targets").alias("period"))
     pairs = pair_mentions(routed.filter("route = 'sql'"), names)
-    every = asked.withColumn("entity", F.explode("entities"))
-    together = pairs.select("question_id").distinct()
+    every = asked.filter(c("kind").isin(*OF_ENTITIES)).withColumn("entity", F.explode("entities"))
     # a paired question is asked about its pairs only, any other about every combination
-    each = every.join(together, "question_id", "left_anti").unionByName(every.join(pairs, ["question_id", "entity", "period"], "left_semi"))
-    c = F.col
-    ranked = R.rank_table(score)
-    placed = score.join(members, "entity")
-    means = placed.groupBy("period", "tier").agg(F.round(R.exact_mean(), 2).alias("tier_mean"))
-    low = score.groupBy("period").agg(F.min("score").alias("score"))
-
-    def lines(df: DataFrame, subject: Column, value: Column, source: Column) -> DataFrame:
-        return df.select("question_id", "kind", "period", subject.alias("subject"), value.cast("double").alias("value"), source.alias("source"))
-
-    none = F.lit(None).cast("string")
-    of = lambda kind, df: df.filter(c("kind") == kind)
-    parts = [
-        lines(of("metadata", asked).join(meta, "period"), F.lit("sample_n"), c("sample_n"), none),
-        lines(of("metric", each).join(metric_score, ["period", "metric", "entity"]), c("entity"), c("score"), c("source")),
-        lines(direction_aware(metric_score, of("metric_list", asked), LISTED), c("entity"), c("score"), c("source")),
-        lines(of("headline_list", asked).join(ranked.filter(c("row_no") <= LISTED), "period"), c("entity"), c("score"), c("source")),
-        lines(of("all_metrics", each).drop("metric").join(metric_score, ["period", "entity"]), c("metric"), c("score"), c("source")),
-        lines(of("top_n", asked).join(ranked, "period").filter("row_no <= n"), c("entity"), c("score"), c("source")),
-        lines(of("tier_mean", asked).join(means, ["period", "tier"]), c("tier"), c("tier_mean"), none),
-        lines(of("tier_of", each).drop("tier").join(placed, ["period", "entity"]), c("tier"), c("score"), c("source")),
-        lines(of("tier_list", asked).join(placed, ["period", "tier"]), c("entity"), c("score"), c("source")),
-        lines(of("lowest", asked).join(score.join(low, ["period", "score"]), "period"), c("entity"), c("score"), c("source")),
-        lines(of("headline", each).join(score, ["period", "entity"]), c("entity"), c("score"), c("source")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    marked = every.join(pairs.withColumn("_pair", F.lit(True)), ["question_id", "entity", "period"], "left").join(
+        pairs.select("question_id").distinct().withColumn("_paired", F.lit(True)), "question_id", "left")
+    each = marked.filter(c("_paired").isNull() | c("_pair")).drop("_pair", "_paired")
+    rest = asked.filter(~c("kind").isin(*OF_ENTITIES)).withColumn("entity", F.lit(None).cast("string"))
+    key = (F.when(c("kind") == "metric", F.concat_ws("|", "period", "metric", "entity")).when(c("kind") == "metric_list", F.concat_ws("|", "period", "metric", c("worst").cast("string")))
+           .when(c("kind").isin(*OF_ENTITIES), F.concat_ws("|", "period", "entity")).when(c("kind").isin("tier_mean", "tier_list"), F.concat_ws("|", "period", "tier")).otherwise(c("period")))
+    wanted = each.unionByName(rest).select("question_id", "kind", "period", "n", key.alias("key"))
+    facts = durable(fact_table(score, metric_score, members, meta))
+    facts = F.broadcast(facts) if facts.count() <= FACT_ROWS else facts
+    return wanted.join(facts, ["kind", "key"]).filter((c("kind") != "top_n") | (c("place") <= c("n"))).select("question_id", "kind", "period", "subject", "value", "source")
 
 
 def comparison_lines(answers: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ HEADLINES = ["综合得分", "样本量", "得分情况", "总分"]  # fixed val
 
 
 def labelled(t):
+    V.keep_cells(t)
     s = V.score(t).select("period", "entity")
     metrics = V.metric_score(t).select("metric").distinct()
     names = V.members(t).select("entity")
@@ -270,7 +271,8 @@ ANSWERS = {
     "each": """SELECT question_id, kind, m, unnest(targets) AS period, e AS entity FROM ok WHERE len(entities) = 1 UNION ALL
         SELECT question_id, kind, m, p, e FROM ok WHERE kind IN (16, 17) UNION ALL SELECT question_id, kind, m, p2, e2 FROM ok WHERE kind = 16 UNION ALL
         SELECT question_id, kind, m, p, e2 FROM ok WHERE kind = 17""",
-    "ans": """SELECT question_id, 'metadata' AS kind, p AS period, 'sample_n' AS subject, CAST(sample_n AS DOUBLE) AS value, NULL AS source FROM ok JOIN period_meta_q ON period = p WHERE kind = 4 UNION ALL
+    "ans": """SELECT question_id, 'metadata' AS kind, p AS period, unnest(['sample_n', 'entity_n', 'l1_n', 'l2_n']) AS subject, CAST(unnest([sample_n, entity_n, l1_n, l2_n]) AS DOUBLE) AS value, NULL AS source
+        FROM ok JOIN period_meta_q ON period = p WHERE kind = 4 UNION ALL
         SELECT question_id, 'metric', x.period, x.entity, score, source FROM each x JOIN metric_score s ON s.period = x.period AND s.entity = x.entity AND s.metric = m WHERE kind = 1 UNION ALL
         SELECT question_id, 'all_metrics', x.period, s.metric, score, source FROM each x JOIN metric_score s ON s.period = x.period AND s.entity = x.entity WHERE kind = 7 UNION ALL
         SELECT question_id, 'top_n', p, entity, score, source FROM ok JOIN ranked2 ON period = p AND row_no <= n WHERE kind = 2 UNION ALL
@@ -284,6 +286,7 @@ VIEWS = "question score metric_score members period_meta_q"
 
 
 def answers(t, out=None):
+    V.keep_cells(t)
     s, m = V.score(t), V.members(t)
     return L.answer_questions(routed(t) if out is None else out, m.select("entity"), s, V.metric_score(t), m, V.period_meta_q(t))
 

@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.periods import page_id, period_of
-from plumbline.session import spread
+from plumbline.session import durable, spread
 from plumbline.sources.tables import Tables
 
 SCORE_SCALE = 100_000
 
 
+def keep_cells(t: Tables) -> Tables:
+    """From now on the views of ``t`` read one stored copy of :func:`cells`; for plans that use several of them."""
+    if "kept_cells" not in t.__dict__:
+        t.kept_cells = durable(cells(t))
+    return t
+
+
 def cells(t: Tables) -> DataFrame:
     """(period, nation, metric) with the sum in cents and the row count: the base of both score tables."""
+    if "kept_cells" in t.__dict__:
+        return t.kept_cells
     facts = t.orders.select(
         "o_custkey",
         period_of(F.col("o_orderdate")).alias("period"),
