@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -137,15 +139,34 @@ def allocate(items: DataFrame, quotas: DataFrame, first_batch: int) -> DataFrame
     )
 
 
-def fingerprint(df: DataFrame, name: str, **params: str) -> DataFrame:
-    """One row that identifies an input: rows, an order-free content hash, and the parameters."""
+def code_version() -> str:
+    """A digest of the package's own source files, so results made by different code can be told apart."""
+    root = Path(__file__).resolve().parent.parent
+    digest = hashlib.sha256()
+    for path in sorted(root.rglob("*.py")):
+        digest.update(path.relative_to(root).as_posix().encode() + b"\0" + path.read_bytes() + b"\0")
+    return digest.hexdigest()[:16]
+
+
+def fingerprint(df: DataFrame, name: str, code: str, **params: str) -> DataFrame:
+    """One row that identifies an input and what was run on it: rows, content hash, code version and the parameters.
+
+    The content is the sum of the rows' hashes over columns in order of name, so it is the same for any order and partitioning of the rows, changes
+    with any cell, and fingerprints of parts add up (:func:`merged_fingerprints`).
+    """
     row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]).cast("binary"))
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(part).cast("string").alias("content")).select(
-        F.lit(name).alias("input"), "n_rows", "content", *[F.lit(v).alias(k) for k, v in sorted(params.items())]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("content")).select(
+        F.lit(name).alias("input"), "n_rows", "content", F.lit(code).alias("code"), *[F.lit(v).alias(k) for k, v in sorted(params.items())]
     )
 
 
+def merged_fingerprints(parts: DataFrame) -> DataFrame:
+    """The fingerprints of whole inputs from those of their parts."""
+    same = [c for c in parts.columns if c not in ("n_rows", "content")]
+    return parts.groupBy(*same).agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("content").cast("decimal(38,0)")).cast("string").alias("content")).select(*parts.columns)
+
+
 def drift(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Recorded claims against the same claims computed now. Both: (claim, value)."""
     pair = recorded.select("claim", F.col("value").alias("recorded")).join(

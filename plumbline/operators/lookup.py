@@ -149,16 +149,35 @@ def field_catalog(tables: dict[str, DataFrame], dimensions: set[str]) -> DataFra
     return fields.join(counts, ["table", "field"])
 
 
-def choose_field(asks: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One output per ask row: ``field`` is ``rank``, ``score``, ``source`` or ``entity_n``."""
-    got = asks.join(ranked, ["period", "entity"], "left")
-    value = (
-        F.when(F.col("field") == "rank", F.col("row_no").cast("string"))
-        .when((F.col("field") == "score") & F.col("score").isNotNull(), F.format_string("%.2f", F.col("score").cast("double")))
-        .when(F.col("field") == "source", F.col("source"))
-        .when(F.col("field") == "entity_n", F.col("group_n").cast("string"))
-    )
-    return got.select("period", "entity", "field", value.alias("value"))
+def field_values(ranked: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Every single value that can be asked for by name: (period, entity, field, value); the fields of a period have the entity ``''``."""
+    score = F.format_string("%.2f", F.col("score").cast("double"))
+    named = {"rank": F.col("row_no").cast("string"), "score": score, "source": F.col("source"), "entity_n": F.col("group_n").cast("string")}
+    pairs = lambda values: F.inline(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()]))
+    out = ranked.select("period", "entity", pairs(named))
+    if meta is None:
+        return out
+    return out.unionByName(meta.select("period", F.lit("").alias("entity"), pairs({c: F.col(c).cast("string") for c in meta.columns if c != "period"})))
+
+
+def choose_field(asks: DataFrame, ranked: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """One output per ask row ``(period, entity, field[, n])``, null where there is none.
+
+    ``field`` is ``rank``, ``score``, ``source`` or ``entity_n`` of an entity, a column of ``meta``, or ``top`` for the first ``n`` entities with their scores.
+    """
+    columns = [] if meta is None else [c for c in meta.columns if c not in ("period", "entity_n")]
+    of_period = F.col("field").isin(*columns) if columns else F.lit(False)
+    values = field_values(ranked, meta).withColumnRenamed("entity", "_of")
+    keyed = asks.withColumn("_of", F.when(of_period, "").otherwise(F.col("entity")))
+    got = keyed.join(values, ["period", "field", "_of"], "left").drop("_of")
+    if "n" not in asks.columns:
+        return got.select("period", "entity", "field", "value")
+    wanted = asks.filter("field = 'top'").select("period", "n").distinct()
+    line = F.concat_ws(" ", "entity", F.format_string("%.2f", F.col("score").cast("double")))
+    tops = ranked.join(wanted, "period").filter("row_no <= n").groupBy("period", "n").agg(  # n rows
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))), lambda x: x["line"]), ";").alias("_top"))
+    both = got.join(tops.withColumn("field", F.lit("top")), ["period", "n", "field"], "left")
+    return both.select("period", "entity", "field", "n", F.coalesce("value", "_top").alias("value"))
 
 
 def written(value: Column, kind: T.DataType) -> Column:

@@ -51,19 +51,22 @@ def score_levels(score: DataFrame, keys: list[str], ascending: bool = False) ->
     )
 
 
-def rank_table(score: DataFrame, keys: list[str] | None = None, huge_ties: bool = False) -> DataFrame:
+TIE_ROWS = 100_000  # a tie of more rows is numbered over range partitions
+
+
+def rank_table(score: DataFrame, keys: list[str] | None = None, tie_rows: int = TIE_ROWS) -> DataFrame:
     """Every row with ``row_no`` (score desc, entity asc), ``rnk``, ``dense_rnk``, ``tie_n`` and ``group_n``.
 
-    ``huge_ties`` numbers the rows inside a tie with :func:`numbered`, for data where one
-    score may be shared by more rows than a task should sort.
+    The size of every tie is known from the counts per score. Rows of a tie that one task should not sort are numbered by :func:`numbered`; both ways
+    give the same numbers.
     """
     keys = keys or ["period"]
-    levels = score_levels(score, keys)
+    levels = durable(score_levels(score, keys))
     placed = score.join(levels, [*keys, "score"])
-    if huge_ties:
-        placed = numbered(placed, [*keys, "score"], [F.col("entity")], "_in_tie")
-    else:
-        placed = placed.withColumn("_in_tie", F.row_number().over(W.partitionBy(*keys, "score").orderBy("entity")))
+    small, large = placed.filter(F.col("tie_n") <= tie_rows), placed.filter(F.col("tie_n") > tie_rows)
+    placed = small.withColumn("_in_tie", F.row_number().over(W.partitionBy(*keys, "score").orderBy("entity")))
+    if levels.filter(F.col("tie_n") > tie_rows).limit(1).count():
+        placed = placed.unionByName(numbered(large, [*keys, "score"], [F.col("entity")], "_in_tie"))
     return placed.withColumn("row_no", F.col("rnk") + F.col("_in_tie") - 1).drop("_in_tie")
 
 

@@ -402,17 +402,18 @@ def leg_disagreement(keyword: DataFrame, vector: DataFrame, queries: DataFrame,
     )
 
 
-def sweep(keyword: DataFrame, vector: DataFrame, expected: DataFrame, combos: list[tuple[float, float, int]], k: int = 5) -> DataFrame:
+def sweep(keyword: DataFrame, vector: DataFrame, expected: DataFrame, combos: list[tuple[float, float, int]], k: int = 5, askable: DataFrame | None = None) -> DataFrame:
     """Hits per weight/cut combination; queries that no combination answers are set aside.
 
-    The ranked lists are computed once by the caller; each combination only re-weights them.
+    The ranked lists are computed once by the caller; each combination only re-weights them. ``askable(query_id)`` are the queries that have an
+    answer, where ``expected`` holds only the listed ones.
     """
     found = None
     for w_kw, w_vec, cut in combos:
         top = fuse(keyword, vector, k, w_kw, w_vec, cut).join(expected, ["query_id", "id"], "left_semi")
         part = top.select("query_id").distinct().withColumn("combo", F.lit(f"{w_kw:g}:{w_vec:g}/{cut}"))
         found = part if found is None else found.unionByName(part)
-    askable = expected.select("query_id").distinct()
+    askable = expected.select("query_id").distinct() if askable is None else askable
     reachable = found.select("query_id").distinct()
     totals = askable.agg(F.count(F.lit(1)).alias("queries")).join(F.broadcast(reachable.agg(F.count(F.lit(1)).alias("reachable"))))
     names = keyword.sparkSession.createDataFrame([(f"{a:g}:{b:g}/{c}",) for a, b, c in combos], "combo string")

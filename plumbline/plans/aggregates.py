@@ -312,14 +312,18 @@ def evl_allocation(t):
     return E.allocate(items, quotas, 3)
 
 
-@plan("evl_fingerprint", oracle("", """
-    SELECT 'nation' AS input, count(*) AS n_rows, CAST(sum(CAST(concat('0x', md5(concat_ws(chr(31), n_name, n_nationkey,
+CODE = E.code_version()
+
+
+@plan("evl_fingerprint", oracle("", f"""
+    SELECT 'nation' AS input, '{CODE}' AS code, count(*) AS n_rows, CAST(sum(CAST(concat('0x', md5(concat_ws(chr(31), n_name, n_nationkey,
            n_regionkey))[1:12]) AS BIGINT)) AS VARCHAR) AS content, '5' AS k FROM nation UNION ALL
-    SELECT 'documents', count(*), CAST(sum(CAST(concat('0x', md5(concat_ws(chr(31), doc_id, lang, n_chars, source, text))[1:12])
+    SELECT 'documents', '{CODE}', count(*), CAST(sum(CAST(concat('0x', md5(concat_ws(chr(31), doc_id, lang, n_chars, source, text))[1:12])
            AS BIGINT)) AS VARCHAR), '5' FROM documents"""))
 def evl_fingerprint(t):
-    """EVL-15: content hashes of the inputs beside the parameters."""
-    return E.fingerprint(t.nation, "nation", k="5").unionByName(E.fingerprint(t.documents, "documents", k="5"))
+    """EVL-15: content hashes of the inputs, one made of two parts, beside the code version and the parameters."""
+    even = [E.fingerprint(t.documents.filter(F.col("doc_id") % 2 == k), "documents", CODE, k="5") for k in (0, 1)]
+    return E.fingerprint(t.nation, "nation", CODE, k="5").unionByName(E.merged_fingerprints(even[0].unionByName(even[1])))
 
 
 @plan("evl_drift", oracle("ranked", """

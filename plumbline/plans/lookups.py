@@ -131,16 +131,21 @@ def flt_catalogs(t):
                       period=V.score(t).select("period"), tier=V.members(t).select("tier"))
 
 
-@plan("flt_choose_field", oracle("ranked", """
-    SELECT a.period, a.entity, field, CASE field WHEN 'rank' THEN CAST(row_no AS VARCHAR) WHEN 'score' THEN printf('%.2f', score)
-           WHEN 'source' THEN source WHEN 'entity_n' THEN CAST(entity_n AS VARCHAR) END AS value
-    FROM (SELECT period, entity, ['rank', 'score', 'source', 'entity_n'][ask_id % 4 + 1] AS field FROM asks WHERE period IS NOT NULL) a
-    LEFT JOIN ranked r ON a.period = r.period AND a.entity = r.entity""", asks=ASKS))
+SELECTORS = ("rank", "score", "source", "entity_n", "top", "sample_n", "l1_n", "l2_n", "basis_version")
+
+
+@plan("flt_choose_field", oracle("ranked period_meta_q", f"""
+    SELECT a.period, a.entity, field, n, CASE field WHEN 'rank' THEN CAST(row_no AS VARCHAR) WHEN 'score' THEN printf('%.2f', score)
+           WHEN 'source' THEN source WHEN 'entity_n' THEN CAST(r.entity_n AS VARCHAR) WHEN 'top' THEN list_aggregate(lines[:n], 'string_agg', ';')
+           WHEN 'sample_n' THEN CAST(sample_n AS VARCHAR) WHEN 'l1_n' THEN CAST(l1_n AS VARCHAR) WHEN 'l2_n' THEN CAST(l2_n AS VARCHAR) WHEN 'basis_version' THEN basis_version END AS value
+    FROM (SELECT period, entity, {list(SELECTORS)}[ask_id % 9 + 1] AS field, CAST(ask_id // 9 % 4 + 1 AS INT) AS n FROM asks WHERE period IS NOT NULL) a
+    LEFT JOIN ranked r ON a.period = r.period AND a.entity = r.entity LEFT JOIN period_meta_q m ON m.period = a.period
+    LEFT JOIN (SELECT period, list(concat(entity, ' ', printf('%.2f', score)) ORDER BY row_no) AS lines FROM ranked GROUP BY 1) l ON l.period = a.period""", asks=ASKS))
 def flt_choose_field(t):
-    """FLT-12: one selected field per ask."""
-    fields = F.array(*[F.lit(x) for x in ("rank", "score", "source", "entity_n")])
-    wanted = asks(t).filter("period is not null").select("period", "entity", fields[(F.col("ask_id") % 4).cast("int")].alias("field"))
-    return L.choose_field(wanted, R.rank_table(V.score(t)))
+    """FLT-12: one selected field per ask: of an entity, of its period, or the first N."""
+    fields = F.array(*[F.lit(x) for x in SELECTORS])
+    wanted = asks(t).filter("period is not null").select("period", "entity", fields[(F.col("ask_id") % 9).cast("int")].alias("field"), F.expr("cast(ask_id div 9 % 4 + 1 as int)").alias("n"))
+    return L.choose_field(wanted, R.rank_table(V.score(t)), V.period_meta_q(t))
 
 
 def _fields(table: str, names: str, measures: str, per_entity: str) -> str:

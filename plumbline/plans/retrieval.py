@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import aggregate as A
@@ -278,11 +280,22 @@ def ret_query_status(t):
 EXPECTED = "SELECT item_id AS query_id, vec_id AS id FROM benchmark, embeddings WHERE vec_id <> item_id AND label = (SELECT label FROM embeddings e WHERE e.vec_id = item_id)"
 
 
-def expected(t):
-    """Ids that answer a query: the embeddings of the same label."""
-    own = t.embeddings.select(F.col("vec_id").alias("query_id"), "label").join(
-        t.benchmark.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
-    return own.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "label").filter("id <> query_id").select("query_id", "id")
+def labels(t):
+    """(query_id, label) of every query."""
+    return t.embeddings.select(F.col("vec_id").alias("query_id"), "label").join(t.benchmark.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+
+
+def expected(t, *lists):
+    """Of the listed ids of a query, those that answer it: embeddings of its label other than its own. A label's embeddings never meet its queries as pairs."""
+    listed = reduce(lambda a, b: a.unionByName(b), [x.select("query_id", "id") for x in lists]).distinct().filter("id <> query_id")
+    meant = listed.join(labels(t), "query_id").join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("own")), "id")
+    return meant.filter("label = own").select("query_id", "id")
+
+
+def askable(t):
+    """Queries that some embedding other than their own answers."""
+    sizes = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return labels(t).join(sizes, "label").filter("n > 1").select("query_id").distinct()
 
 
 COMBOS = [(1.0, 1.0, 0), (2.0, 1.0, 0), (1.0, 2.0, 0), (1.0, 1.0, 3), (1.0, 0.0, 0), (0.0, 1.0, 0)]
@@ -307,7 +320,8 @@ def _sweep_sql() -> dict[str, str]:
     **SHORT, **_sweep_sql()))
 def ret_sweep(t):
     """RET-11: every weight and cut over every query, unreachable queries set aside."""
-    return S.sweep(durable(keyword_list(t)), durable(vector_list(t)), expected(t), COMBOS, 3)
+    kw, vec = durable(keyword_list(t)), durable(vector_list(t))
+    return S.sweep(kw, vec, expected(t, kw, vec), COMBOS, 3, askable(t))
 
 
 STRATS = ["keyword", "fill", "intersect", "union"]
@@ -347,7 +361,8 @@ def set_merge_strategies(t):
           FROM merged GROUP BY 1, 2) GROUP BY 1""", **MERGED))
 def agg_list_sizes(t):
     """AGG-15: hits and list sizes per strategy."""
-    return A.list_sizes(merged_lists(t), expected(t), V.query(t))
+    merged = durable(merged_lists(t))
+    return A.list_sizes(merged, expected(t, merged), V.query(t))
 
 
 CELL = "max(CASE WHEN strategy = '{s}' THEN cell END)"
@@ -362,7 +377,8 @@ CELL = "max(CASE WHEN strategy = '{s}' THEN cell END)"
       GROUP BY 1) USING (query_id)""", **MERGED))
 def ret_outcome_matrix(t):
     """RET-12: hit, beyond, absent or empty per strategy, with the worst cell."""
-    return S.outcome_matrix(merged_lists(t), expected(t), V.query(t), STRATS, 3)
+    merged = durable(merged_lists(t))
+    return S.outcome_matrix(merged, expected(t, merged), V.query(t), STRATS, 3)
 
 
 DF = {**TERMS, "dfs": """SELECT query_id, term_no, term, coalesce(df, 0) AS df FROM term
@@ -411,7 +427,8 @@ def ret_merge_inputs(t):
     """RET-15: both ranked inputs side by side, wanted ids marked."""
     a = keyword_list(t).select("query_id", "id", F.col("rank").alias("kw_rank"))
     b = vector_list(t).select("query_id", "id", F.col("rank").alias("vec_rank"))
-    return a.join(b, ["query_id", "id"], "full_outer").join(expected(t).withColumn("w", F.lit(True)), ["query_id", "id"], "left").select(
+    both = durable(a.join(b, ["query_id", "id"], "full_outer"))
+    return both.join(expected(t, both).withColumn("w", F.lit(True)), ["query_id", "id"], "left").select(
         "query_id", "id", "kw_rank", "vec_rank", F.coalesce("w", F.lit(False)).alias("wanted"))
 
 
@@ -420,4 +437,5 @@ def ret_merge_inputs(t):
     FROM query LEFT JOIN vec5 USING (query_id) GROUP BY 1""", **SHORT, expect=EXPECTED))
 def top_wanted_rank(t):
     """TOP-8: rank of a wanted id; NULL when it is not listed."""
-    return S.wanted_rank(vector_list(t), expected(t), V.query(t))
+    found = durable(vector_list(t))
+    return S.wanted_rank(found, expected(t, found), V.query(t))

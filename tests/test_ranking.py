@@ -33,7 +33,7 @@ def test_split_numbering_equals_plain_numbering(spark):
         F.when(F.col("id") % 10 == 0, "p1").otherwise("p2").alias("period"), F.format_string("e%05d", "id").alias("entity"),
         F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(7).cast("decimal(6,2)").alias("score"))
     plain = R.rank_table(df).select("period", "entity", "row_no")
-    split = R.rank_table(df, huge_ties=True).select("period", "entity", "row_no")
+    split = R.rank_table(df, tie_rows=100).select("period", "entity", "row_no")
     assert plain.exceptAll(split).count() == 0 and split.count() == 5000
 
 
