@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import answer_numbers, canonical_numbers, let
 from plumbline.functions.periods import PERIOD_TOKEN, period_ord
 from plumbline.operators.lookup import resolve_prefix
+from plumbline.operators.matching import phrase_counts
 from plumbline.operators.versions import content_key
 from plumbline.session import durable
 
 MONEY = "decimal(38,2)"
 # How a citation names all periods of a page, and the fields of a period.
 MANY_VERSIONS = "多版本"
+# How a challenge asks for a phrase, and by how much a number is raised to one that no report has.
+ASKS = ("{period}的{phrase}是什么", "{period}里,{phrase}是多少", "{period}的{phrase}说的是什么", "{period}报告中{phrase}的内容是什么")
+RAISED = 700
 META_FIELDS = {"样本量": "sample_n", "机场数": "entity_n", "一级指标数": "l1_n", "二级指标数": "l2_n", "口径版本": "basis_version"}
 
 
@@ -286,18 +290,52 @@ def verify_keys(questions: DataFrame, clauses: DataFrame, looked_up: DataFrame)
         .otherwise("mismatch").alias("verdict"))
 
 
+def _absent(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Of ``phrases(phrase)`` those that no chunk holds, whatever the case."""
+    asked = phrases.select("phrase").distinct()
+    texts = chunks.select(F.col("chunk_id").alias("text_id"), "text")
+    seen = phrase_counts(texts, asked.select(F.col("phrase").alias("phrase_id"), "phrase")).select(F.col("phrase_id").alias("phrase"))
+    return asked.join(seen.distinct(), "phrase", "left_anti")
+
+
+def rare_phrases(chunks: DataFrame, pattern: str, max_pages: int = 3, shortest: int = 2, longest: int = 14) -> DataFrame:
+    """(phrase, pages, expected_page, period): phrases of the pattern that begin where a word begins and occur, anywhere in a text, on at most ``max_pages`` pages."""
+    bounded = f"(?:^|[^\\p{{L}}])({pattern})"
+    found = chunks.select("chunk_id", "period", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(bounded), F.lit(1)))).alias("phrase"))
+    fits = found.filter(F.length("phrase").between(shortest, longest) & ~F.startswith("phrase", F.lit("的")) & ~F.endswith("phrase", F.lit("的")))
+    first = durable(fits.groupBy("phrase").agg(F.min(F.struct("chunk_id", "period")).alias("at"), F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_pages))
+    texts = chunks.select(F.col("chunk_id").alias("text_id"), "text")
+    pages = phrase_counts(texts, first.select(F.col("phrase").alias("phrase_id"), "phrase"), fold_case=False).groupBy(F.col("phrase_id").alias("phrase")).agg(F.count(F.lit(1)).alias("pages"))
+    return first.join(pages.filter(F.col("pages") <= max_pages), "phrase").select("phrase", "pages", F.col("at.chunk_id").alias("expected_page"), F.col("at.period").alias("period"))
+
+
 def challenge_set(chunks: DataFrame, pattern: str, seed: str, n: int, max_pages: int = 3) -> DataFrame:
-    """A seeded challenge set: ``n`` distinctive phrases as real questions and a falsified counterpart for each.
+    """A seeded challenge set of ``n`` distinctive phrases: (phrase, category, asked, question, expected_page).
 
-    A phrase is distinctive when it occurs on at most ``max_pages`` pages. The sample is the first ``n`` in the order of a
-    seeded hash, so it does not depend on partitioning.
+    ``real``: the phrase itself, asked of its own period in a template that the seed picks. ``short``: its first half, at least four characters, where no other picked
+    phrase begins so. ``false``: a counterpart that is proven absent from every chunk; the first that is of: the number in it raised, its head with the tail of its
+    neighbour in the order of phrases, its letters reversed behind ``ZZ``. A phrase without an absent counterpart has none.
+    The sample is the first ``n`` in the order of a seeded hash, so the same seed gives the same set for any partitioning.
     """
-    seen = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("phrase"))
-    rare = seen.groupBy("phrase").agg(F.count(F.lit(1)).alias("pages"), F.min("chunk_id").alias("expected_page")).filter(F.col("pages") <= max_pages)
     order = F.md5(F.concat_ws("|", F.lit(seed), "phrase").cast("binary"))
-    picked = rare.orderBy(order, "phrase").limit(n)
-    fake = F.concat(F.reverse("phrase"), F.lit("qx"))
+    picked = durable(rare_phrases(chunks, pattern, max_pages).withColumn("o", order).orderBy("o", "phrase").limit(n))
+    beside = W.partitionBy(F.lit(0)).orderBy("phrase")  # the n phrases of the sample
+    half = F.greatest(F.lit(4), F.ceil(F.length("phrase") / 2).cast("int"))
+    staged = picked.withColumn("neighbour", F.coalesce(F.lead("phrase").over(beside), F.lag("phrase").over(beside), F.col("phrase"))).withColumn("half", F.expr("left(phrase, greatest(4, cast(ceil(length(phrase) / 2) as int)))"))
+    number = F.regexp_extract("phrase", r"(\d+)", 1)
+    raised = F.when(number != "", F.concat(F.regexp_extract("phrase", r"^(\D*)", 1), (number.try_cast("bigint") + RAISED).cast("string"), F.regexp_extract("phrase", r"^\D*\d+(.*)$", 1)))
+    crossed = F.concat("half", F.expr("substring(neighbour, cast(length(neighbour) / 2 as int) + 1)"))
+    made = F.filter(F.array(raised, crossed, F.concat(F.lit("ZZ"), F.reverse("phrase"))), lambda x: x.isNotNull())
+    options = staged.select("phrase", F.posexplode(made).alias("place", "counter"))
+    free = options.join(_absent(chunks, options.select(F.col("counter").alias("phrase"))).withColumnRenamed("phrase", "counter"), "counter")
+    false = free.groupBy("phrase").agg(F.min(F.struct("place", "counter"))["counter"].alias("counter"))
+    alone = staged.groupBy("half").agg(F.count(F.lit(1)).alias("k")).filter("k = 1").select("half", F.lit(True).alias("alone"))
+    template = F.array(*[F.lit(t) for t in ASKS])[(F.conv(F.substring("o", 1, 4), 16, 10).cast("int") % len(ASKS))]
+    page = F.col("expected_page").cast("bigint")
     kinds = F.array(
-        F.struct(F.lit("real").alias("category"), F.concat("phrase", F.lit("说的是什么")).alias("question"), F.col("expected_page").alias("expected_page")),
-        F.struct(F.lit("false").alias("category"), F.concat(fake, F.lit("说的是什么")).alias("question"), F.lit(None).cast("bigint").alias("expected_page")))
-    return picked.select("phrase", "pages", F.inline(kinds))
+        F.struct(F.lit("real").alias("category"), F.col("phrase").alias("asked"), page.alias("expected_page")),
+        F.when(F.col("alone") & (half < F.length("phrase")), F.struct(F.lit("short").alias("category"), F.col("half").alias("asked"), page.alias("expected_page"))),
+        F.when(F.col("counter").isNotNull(), F.struct(F.lit("false").alias("category"), F.col("counter").alias("asked"), F.lit(None).cast("bigint").alias("expected_page"))))
+    rows = staged.join(alone, "half", "left").join(false, "phrase", "left").select("phrase", "period", template.alias("template"), F.inline(F.filter(kinds, lambda x: x.isNotNull())))
+    question = F.replace(F.replace("template", F.lit("{period}"), F.col("period")), F.lit("{phrase}"), F.col("asked"))
+    return rows.select("phrase", "category", "asked", question.alias("question"), "expected_page")

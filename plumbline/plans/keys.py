@@ -113,12 +113,27 @@ def evl_citation_lookup(t):
     return found.select("question_id", F.array_join(F.array_sort(F.array_distinct("numbers")), ",").alias("numbers"), "names", "problem", "note")
 
 
+PATTERN = r"[A-Z][a-z]{4,}|\d{3,}"
+CHALLENGE = {
+    "found": f"SELECT DISTINCT chunk_id, period, unnest(regexp_extract_all(text, '(?:^|[^\\p{{L}}])({PATTERN})', 1)) AS phrase FROM chunk",
+    "firsts": "SELECT phrase, min(chunk_id) AS page, arg_min(period, chunk_id) AS period FROM found WHERE length(phrase) BETWEEN 2 AND 14 GROUP BY 1 HAVING count(*) <= 3",
+    "rare": "SELECT phrase, page, f.period, md5(concat('7|', phrase)) AS o FROM firsts f WHERE (SELECT count(*) FROM chunk c WHERE contains(c.text, f.phrase)) <= 3",
+    "picked": "SELECT * FROM rare ORDER BY o, phrase LIMIT 40",
+    "staged": f"""SELECT *, coalesce(lead(phrase) OVER w, lag(phrase) OVER w, phrase) AS nb, left(phrase, CAST(greatest(4, ceil(length(phrase) / 2)) AS INT)) AS half,
+        {list(E.ASKS)}[CAST(concat('0x', o[1:4]) AS INT) % 4 + 1] AS template FROM picked WINDOW w AS (ORDER BY phrase)""",
+    "options": r"""SELECT phrase, place, counter FROM (
+        SELECT phrase, 0 AS place, CASE WHEN regexp_matches(phrase, '\d') THEN concat(regexp_extract(phrase, '^(\D*)', 1), CAST(regexp_extract(phrase, '(\d+)', 1) AS BIGINT) + 700,
+               regexp_extract(phrase, '^\D*\d+(.*)$', 1)) END AS counter FROM staged UNION ALL
+        SELECT phrase, 1, concat(half, substring(nb, length(nb) // 2 + 1)) FROM staged UNION ALL SELECT phrase, 2, concat('ZZ', reverse(phrase)) FROM staged)
+        WHERE counter IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk WHERE contains(lower(text), lower(counter)))""",
+    "kinds": """SELECT phrase, period, template, 'real' AS category, phrase AS asked, page AS expected_page FROM staged UNION ALL
+        SELECT phrase, period, template, 'short', half, page FROM staged WHERE length(half) < length(phrase) AND half IN (SELECT half FROM staged GROUP BY 1 HAVING count(*) = 1) UNION ALL
+        SELECT phrase, period, template, 'false', counter, NULL FROM staged JOIN (SELECT phrase, arg_min(counter, place) AS counter FROM options GROUP BY 1) USING (phrase)""",
+}
+
+
 @plan("evl_challenge_set", oracle("chunk", """
-    SELECT phrase, pages, category, CASE category WHEN 'real' THEN concat(phrase, '说的是什么') ELSE concat(reverse(phrase), 'qx说的是什么') END AS question,
-           CASE category WHEN 'real' THEN expected_page END AS expected_page
-    FROM (SELECT phrase, count(*) AS pages, min(chunk_id) AS expected_page FROM (
-            SELECT DISTINCT chunk_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}ion')) AS phrase FROM chunk) GROUP BY 1 HAVING count(*) <= 3
-          ORDER BY md5(concat('7|', phrase)), phrase LIMIT 40), (SELECT unnest(['real', 'false']) AS category)"""))
+    SELECT phrase, category, asked, replace(replace(template, '{period}', period), '{phrase}', asked) AS question, expected_page FROM kinds""", **CHALLENGE))
 def evl_challenge_set(t):
-    """EVL-13: forty distinctive phrases by seeded hash, each with a falsified counterpart."""
-    return E.challenge_set(V.chunk(t), "[A-Z][a-z]{5,}ion", "7", 40)
+    """EVL-13: forty distinctive phrases by seeded hash, asked whole, shortened, and falsified into what no page says."""
+    return E.challenge_set(V.chunk(t), PATTERN, "7", 40)
