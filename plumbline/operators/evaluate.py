@@ -243,7 +243,7 @@ def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFr
     held = best.join(tops, ["period", "metric", "score"]).groupBy(*key, "score").agg(F.array_join(F.sort_array(F.collect_list("entity")), "/").alias("names"))
     add(held, text(F.col("score")), F.col("names"))
     every = F.size("wanted") == 0
-    chosen = F.concat(*[F.when(every | F.array_contains("wanted", label), canonical_numbers(F.col(column).cast("string"))).otherwise(F.array().cast("array<string>")) for label, column in META_FIELDS.items()])
+    chosen = F.concat(*[F.when(every | F.array_contains("wanted", label), canonical_numbers(F.col(column).cast("string"))).otherwise(F.array().cast("array<string>")) for label, column in META_FIELDS.items() if column in meta.columns])
     add(ok.filter("kind = 'meta'").select(*key, "period", "wanted").join(meta, "period"), F.array_distinct(chosen))
     if chunks is not None:
         ids = ok.filter("kind = 'pages'").select(*key, F.explode(F.filter(F.transform(F.split("chunk", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("chunk_id"))

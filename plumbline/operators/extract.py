@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.periods import CHUNK_ID, page_id
 from plumbline.operators.clean import SCORE, SHORT_NAME, join_vertical, split_at_average, squash
-from plumbline.operators.matching import longest_mentions, phrase_positions
+from plumbline.operators.matching import longest_mentions, phrase_occurrences
 
 # The shapes of statements, titles and citations.
 AVERAGE_STATED = r"平均\s*[：:,，]\s*(\d+\.\d+)"
@@ -154,7 +154,7 @@ def tier_pages(pages: DataFrame, names: DataFrame, tier: str = TIER_NAME, averag
         "source", "period", F.trim(F.regexp_extract("raw", tier, 1)).alias("tier"), F.regexp_extract("raw", average, 1).alias("avg"), "raw"
     ).filter("tier <> '' and avg <> ''")
     texts = heads.select(F.col("source").alias("text_id"), F.col("raw").alias("text"))
-    where = phrase_positions(texts, names.select(F.col("entity").alias("phrase_id"), F.col("entity").alias("phrase")).distinct(), fold_case=False)
+    where = phrase_occurrences(texts, names.select(F.col("entity").alias("phrase_id"), F.col("entity").alias("phrase")).distinct(), fold_case=False)
     kept = longest_mentions(where.withColumnRenamed("phrase_id", "entity")).select(F.col("text_id").alias("source"), "entity").distinct()
     rows = kept.join(heads.drop("raw"), "source")
     first = F.min(F.struct("source", "tier", "avg")).alias("r")

@@ -16,7 +16,7 @@ from plumbline.functions.numbers import NUMBER, RANK_NUMERAL, TOP_N, numeral  #
 from plumbline.functions.periods import PERIOD_LOOSE, periods_in
 from plumbline.operators import ranking as R
 from plumbline.operators.combine import nearest_preceding
-from plumbline.operators.matching import longest_mentions, phrase_counts, phrase_positions
+from plumbline.operators.matching import longest_mentions, phrase_counts, phrase_occurrences
 from plumbline.operators.topk import top_n
 from plumbline.session import durable
 
@@ -160,7 +160,7 @@ def period_plan(questions: DataFrame, periods: DataFrame, this_year: int, refere
 
 def _positions(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrases(phrase)`` in question texts: (question_id, phrase, pos, len)."""
-    hits = phrase_positions(
+    hits = phrase_occurrences(
         questions.select(F.col("question_id").alias("text_id"), "text"), phrases.select(F.col("phrase").alias("phrase_id"), "phrase").distinct(), fold_case=False)
     return hits.select(F.col("text_id").alias("question_id"), F.col("phrase_id").alias("phrase"), "pos", "len")
 
@@ -409,7 +409,7 @@ def name_hints(words: DataFrame, names: DataFrame, city: int = 2, k: int = 3) ->
 def word_periods(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Where an unknown word does occur: (word, span, n_periods)."""
     texts = chunks.select(F.struct("chunk_id", "period").alias("text_id"), "text")
-    hits = phrase_positions(texts, words.select(F.col("word").alias("phrase_id"), F.col("word").alias("phrase")).distinct(), fold_case=False)
+    hits = phrase_occurrences(texts, words.select(F.col("word").alias("phrase_id"), F.col("word").alias("phrase")).distinct(), fold_case=False)
     return hits.groupBy(F.col("phrase_id").alias("word")).agg(
         F.concat_ws("~", F.min("text_id.period"), F.max("text_id.period")).alias("span"), F.countDistinct("text_id.period").alias("n_periods"))
 

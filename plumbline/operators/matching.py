@@ -31,6 +31,10 @@ BUCKETS = 20  # bits of a gram that frequencies and the first test go by
 SLICE_CHARS = 1_000_000  # characters that are searched at once
 PAIRS = 2_000_000  # (place, phrase) that are compared at once
 _BASE = 0x9E3779B97F4A7C15
+# The form that is a plan alone
+WINDOW = 16
+ANCHORS = (16, 8, 4, 2, 1)
+MARKS = 1 << 16
 
 
 def grams(text: Column, n: int) -> Column:
@@ -214,7 +218,7 @@ def _found(texts: DataFrame, phrases: DataFrame, fold_case: bool, counted: bool)
     return reduce(DataFrame.union, parts)
 
 
-def phrase_positions(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
+def phrase_occurrences(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
     """Every occurrence as (text_id, phrase_id, pos, len), overlaps included; ``pos`` counts characters from 1.
 
     ``texts(text_id, text)``; ``phrases(phrase_id, phrase)``. Null and empty texts and phrases have no occurrence.
@@ -230,6 +234,43 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame, fold_case: bool = True)
     return _found(texts, phrases, fold_case, True)
 
 
+def _anchor_length(needle: Column) -> Column:
+    out = F.when(F.length(needle) >= ANCHORS[0], ANCHORS[0])
+    for a in ANCHORS[1:]:
+        out = out.when(F.length(needle) >= a, a)
+    return out
+
+
+def _windows(text: Column) -> Column:
+    """At each position the next 16 characters, fewer at the end of the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{WINDOW}}}))"), F.lit(1))
+
+
+def phrase_positions(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:
+    """:func:`phrase_occurrences` as a plan alone: no job runs before the result is asked for, and every position with an anchor's mark is shuffled.
+
+    ``texts(text_id, text)`` with one row per id; ``phrases(phrase_id, phrase)``. Only positions whose mark is
+    that of an anchor go on, without their text; phrases longer than a window meet the text again by id.
+    """
+    fold = F.lower if fold_case else (lambda c: c)
+    needles = phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0)
+    needles = needles.withColumn("w", _anchor_length(F.col("needle"))).select(
+        "phrase_id", "needle", "w", F.substring("needle", 1, WINDOW).alias("begin"), F.xxhash64(F.expr("substring(needle, 1, w)")).alias("head"))
+    lengths = needles.agg(F.collect_set("w").alias("lengths"))  # one row, at most len(ANCHORS) values
+    marks = needles.select(F.pmod("head", F.lit(MARKS)).alias("mark")).distinct()  # at most MARKS rows
+    hay = texts.select("text_id", fold(F.col("text")).alias("hay"))
+    windows = hay.select("text_id", F.posexplode(_windows(F.col("hay"))).alias("p", "win")).join(F.broadcast(lengths))
+    # at the end of a text the heads of several lengths are one
+    heads = F.array_distinct(F.transform("lengths", lambda w: F.xxhash64(F.substring("win", F.lit(1), w))))
+    unfolded = windows.select("text_id", "p", "win", F.explode(heads).alias("head")).withColumn("mark", F.pmod("head", F.lit(MARKS)))
+    likely = unfolded.join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    candidates = likely.join(needles, "head").filter(F.startswith("win", "begin"))
+    out = ("text_id", "phrase_id", (F.col("p") + 1).alias("pos"), F.length("needle").alias("len"))
+    # a long phrase is compared against the text once its first 16 characters agree
+    rest = (F.length("needle") <= WINDOW) | F.expr("substring(hay, p + 1, length(needle)) = needle")
+    return candidates.join(hay, "text_id").filter(rest).select(*out)
+
+
 def longest_mentions(positions: DataFrame) -> DataFrame:
     """Drop a mention that lies inside a longer mention of the same text.
 

@@ -108,7 +108,7 @@ def aud_diagnose(t):
 def holders(t):
     """(answer_id, chunk_id): documents that hold the opening of each benchmark item."""
     opening = t.benchmark.select(F.col("item_id").alias("phrase_id"), F.substring("text", 1, 30).alias("phrase"))
-    hits = M.phrase_positions(t.documents.select(F.col("doc_id").alias("text_id"), "text"), opening, fold_case=False)
+    hits = M.phrase_occurrences(t.documents.select(F.col("doc_id").alias("text_id"), "text"), opening, fold_case=False)
     return hits.select(F.col("phrase_id").alias("answer_id"), F.col("text_id").alias("chunk_id")).distinct()
 
 

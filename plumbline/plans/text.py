@@ -350,9 +350,9 @@ NORM = "regexp_replace(regexp_replace(text, '\\d{4}Q\\d', '◇', 'g'), '\\s+', '
         FROM benchmark b JOIN documents d ON contains(d.text, b.text[1:30])))"""))
 def ver_containment(t):
     """VER-6: share of a benchmark item's shingles that a document holding its opening contains."""
-    from plumbline.operators.matching import phrase_positions
+    from plumbline.operators.matching import phrase_occurrences
     opening = t.benchmark.select(F.col("item_id").alias("phrase_id"), F.substring("text", 1, 30).alias("phrase"))
-    pairs = phrase_positions(t.documents.select(F.col("doc_id").alias("text_id"), "text"), opening, fold_case=False).select(
+    pairs = phrase_occurrences(t.documents.select(F.col("doc_id").alias("text_id"), "text"), opening, fold_case=False).select(
         F.col("phrase_id").alias("item_id"), F.col("text_id").alias("doc_id")).distinct()
     a = t.benchmark.select("item_id", N.shingles(F.col("text")).alias("a"))
     b = t.documents.select("doc_id", N.shingles(F.col("text")).alias("b"))

@@ -224,9 +224,9 @@ def val_content_drift(t):
       ON e.query_id = h.query_id AND e.id = h.id GROUP BY 1""", **scored(PHRASES)))
 def val_known_answers(t):
     """VAL-22: a document known to hold the item must be among the first five."""
-    from plumbline.operators.matching import phrase_positions
+    from plumbline.operators.matching import phrase_occurrences
     texts = t.documents.select(F.col("doc_id").alias("text_id"), "text")
-    whole = phrase_positions(texts, t.benchmark.select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase")), fold_case=False)
+    whole = phrase_occurrences(texts, t.benchmark.select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase")), fold_case=False)
     known = whole.groupBy(F.col("phrase_id").alias("query_id")).agg(F.min("text_id").alias("id"))
     return K.known_answers(S.search(V.chunk(t), V.query(t)), known)
 

@@ -40,7 +40,7 @@ def test_positions_and_counts(spark, some, fold, blocks, monkeypatch):
     monkeypatch.setattr(M, "FEW_CHARS", M.FEW_CHARS if blocks == 1 else 0)
     a, b = spark.createDataFrame(texts, "text_id int, text string").repartition(3), spark.createDataFrame(phrases, "phrase_id string, phrase string")
     want = plain(texts, phrases, fold)
-    assert sorted(map(tuple, M.phrase_positions(a, b, fold).collect())) == want
+    assert sorted(map(tuple, M.phrase_occurrences(a, b, fold).collect())) == want
     counts = {}
     for t, p, pos, _ in want:
         n, first = counts.get((t, p), (0, pos))
@@ -63,9 +63,9 @@ def test_long_texts_are_read_in_parts(some, monkeypatch):
 def test_ids_of_any_type_and_nothing_to_find(spark, some):
     a = spark.createDataFrame([(1, "one two")], "k int, text string").select(F.struct("k", F.lit("x").alias("s")).alias("text_id"), "text")
     b = spark.createDataFrame([(["q"], "two")], "phrase_id array<string>, phrase string")
-    r = M.phrase_positions(a, b).first()
+    r = M.phrase_occurrences(a, b).first()
     assert (r.text_id.k, r.phrase_id, r.pos, r["len"]) == (1, ["q"], 5, 3)
-    assert M.phrase_positions(a, b.filter("false")).count() == 0 and M.phrase_counts(a.filter("false"), b).count() == 0
+    assert M.phrase_occurrences(a, b.filter("false")).count() == 0 and M.phrase_counts(a.filter("false"), b).count() == 0
 
 
 def test_rarest_gram(spark):
