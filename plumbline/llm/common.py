@@ -178,6 +178,14 @@ def hex_long(text_hash: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(text_hash, 1, digits), 16, 10).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have (names are told apart without case)."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it again: a cut of the lineage that takes less disk than rows."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hex_long
+from plumbline.llm.common import hex_long, unused
 
 ROUNDS = 8
 # The registered query has no secret; real use passes its own key.
@@ -202,26 +202,29 @@ def inner_values(hit: Column) -> Column:
 
 
 def pseudonymised(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``documents`` with pseudonyms in ``text`` and ``found``: kind and place (from 1, in the new text) of each. ``key`` is the secret."""
+    """``documents`` with pseudonyms in ``text`` and ``found``: kind and place (from 1, in the new text) of each. ``key`` is the secret.
+
+    A column ``found`` is replaced; all other columns stay, whatever their names.
+    """
     t = F.col(text)
-    hits = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    marked = documents.withColumn("_hits", F.transform(hits, lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind"))))
-    # A hit is one piece, or several if it fails its check and has values inside; the last one is told apart.
+    hits, new = unused(documents, "hits"), unused(documents, "new")
+    raw = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+    marked = documents.withColumn(hits, F.transform(raw, lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind"))))
+    # A hit is one piece, or several if it fails its check and has values inside.
     whole = lambda h: F.array(F.struct(h["hit"].alias("hit"), h["kind"].alias("kind")))
-    marked = marked.withColumn("_hits", F.transform("_hits", lambda h: F.when(h["kind"].isNull(), inner_values(h["hit"])).otherwise(whole(h))))
-    marked = marked.withColumn("_hits", F.flatten(F.transform("_hits", lambda p: F.transform(p, lambda h, i: F.struct(
-        h["hit"].alias("hit"), h["kind"].alias("kind"), (i == F.size(p) - 1).alias("last"))))))
-    marked = marked.withColumn("_new", F.transform("_hits", lambda h: F.struct(
-        h["kind"].alias("kind"), F.coalesce(pseudonym(h["hit"], h["kind"], key), h["hit"]).alias("new"), h["last"].alias("last"))))
-    # Pieces between hits and the new hits in turn: the pattern splits where it matched.
+    marked = marked.withColumn(hits, F.transform(hits, lambda h: F.when(h["kind"].isNull(), inner_values(h["hit"])).otherwise(whole(h))))
+    renamed = lambda h: F.struct(h["kind"].alias("kind"), F.coalesce(pseudonym(h["hit"], h["kind"], key), h["hit"]).alias("new"))
+    # What lies between hits and the new hits in turn: the pattern splits where it matched. One join makes the text.
     between = F.split(t, ANY, -1)
-    start = F.struct(F.element_at(between, 1).alias("out"), F.lit(2).alias("i"), F.array().cast("array<struct<kind:string,place:int>>").alias("found"))
-
-    def put(s: Column, h: Column) -> Column:
-        place = F.struct(h["kind"].alias("kind"), (F.length(s["out"]) + 1).alias("place"))
-        return F.struct(F.concat(s["out"], h["new"], F.when(h["last"], F.element_at(between, s["i"])).otherwise("")).alias("out"), (s["i"] + h["last"].cast("int")).alias("i"),
-                        F.when(h["kind"].isNotNull(), F.concat(s["found"], F.array(place))).otherwise(s["found"]).alias("found"))
-
-    none = F.struct(t.alias("out"), F.lit(0).alias("i"), F.array().cast("array<struct<kind:string,place:int>>").alias("found"))
-    done = F.when(F.size("_new") > 0, F.aggregate("_new", start, put)).otherwise(none)
-    return marked.withColumn("_done", done).withColumns({text: F.col("_done.out"), "found": F.col("_done.found")}).drop("_hits", "_new", "_done")
+    plain = lambda i: F.struct(F.lit(None).cast("string").alias("kind"), F.coalesce(F.element_at(between, i), F.lit("")).alias("new"))
+    marked = marked.withColumn(new, F.when(F.size(hits) > 0, F.concat(F.array(plain(F.lit(1))), F.flatten(F.transform(
+        hits, lambda p, i: F.concat(F.transform(p, renamed), F.array(plain(i + 2))))))))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,place:int>>").alias("found"))
+
+    def place(s: Column, x: Column) -> Column:
+        here = F.struct(x["kind"].alias("kind"), s["at"].alias("place"))
+        return F.struct((s["at"] + F.length(x["new"])).alias("at"), F.when(x["kind"].isNotNull(), F.concat(s["found"], F.array(here))).otherwise(s["found"]).alias("found"))
+
+    found = F.when(F.col(new).isNull(), start["found"]).otherwise(F.aggregate(new, start, place)["found"])
+    out = F.when(F.col(new).isNull(), t).otherwise(F.array_join(F.transform(new, lambda x: x["new"]), ""))
+    return marked.withColumns({"found": found, text: out}).drop(hits, new)

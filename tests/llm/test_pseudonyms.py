@@ -166,3 +166,21 @@ def test_small_network_is_a_permutation(spark):
     for a, b in ((7, 11), (1, 5), (10, 100)):
         out = [r.y for r in spark.range(a * b).select(P.feistel(F.col("id"), a, b, "t", KEY).alias("y")).collect()]
         assert sorted(out) == list(range(a * b)) and out == [feistel(x, a, b, "t") for x in range(a * b)]
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a 4111 1111 1111 1111 b", "x", 2, "y")], "doc_id long, text string, hits string, new int, _hits string")
+    out = P.pseudonymised(docs, P.DEMO_KEY)
+    r = out.first()
+    assert out.columns == ["doc_id", "text", "hits", "new", "_hits", "found"] and (r.hits, r.new, r._hits) == ("x", 2, "y")
+    assert [(x.kind, x.place) for x in r.found] == [("card", 3)] and r.text[:2] == "a " and r.text[-2:] == " b" and r.text[2:-2] != "4111 1111 1111 1111"
+
+
+def test_many_values_in_one_text(spark):
+    """The text is joined once, so a text full of values takes time in proportion."""
+    many = " | ".join(f"4111 1111 1111 1111 and {i}" for i in range(40))
+    docs = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    r = P.pseudonymised(docs, P.DEMO_KEY).first()
+    new = r.text[:19]
+    assert len(r.found) == 40 and r.text == " | ".join(f"{new} and {i}" for i in range(40))
+    assert all(r.text[x.place - 1:].startswith(new) for x in r.found)
