@@ -24,6 +24,7 @@ from plumbline.session import durable
 
 GRAMS = (16, 8, 5, 3, 2, 1)
 BLOCK_CHARS = 8_000_000
+FEW_PHRASES, SHORT = 5000, 1000  # so many phrases of so few characters are read at once
 SAMPLE_TEXTS = 2000  # texts that gram frequencies are read from; they decide what is looked up first, never what is found
 SAMPLE_CHARS = 2000  # of each
 FEW_CHARS = 20_000  # so few characters of phrases enter without a sample
@@ -200,22 +201,36 @@ def _scan(shared, counted: bool):
 
 def _found(texts: DataFrame, phrases: DataFrame, fold_case: bool, counted: bool) -> DataFrame:
     spark, fold = texts.sparkSession, F.lower if fold_case else (lambda c: c)
-    needles = durable(phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0))
+    needles = phrases.select("phrase_id", fold(F.col("phrase")).alias("needle")).filter(F.length("needle") > 0)
     hay = texts.select("text_id", fold(F.col("text")).alias("hay"))
     schema = f"text_id {hay.schema['text_id'].dataType.simpleString()}, phrase_id {needles.schema['phrase_id'].dataType.simpleString()}"
     schema += ", tf bigint, pos int" if counted else ", pos int, len int"
-    chars = needles.agg(F.sum(F.length("needle"))).first()[0]
-    if not chars:
-        return spark.createDataFrame([], schema)
-    seen = hay.select(F.substring("hay", 1, SAMPLE_CHARS).alias("hay")).filter("hay <> ''").limit(SAMPLE_TEXTS).collect() if chars > FEW_CHARS else []
-    frequencies = gram_frequencies([r.hay for r in seen])
-    blocks, parts = -(-chars // BLOCK_CHARS), []
+    blocks = _blocks(needles)
+    frequencies, parts = None, []
+    for block in blocks:
+        words = block.column("needle").to_pylist()
+        if frequencies is None:
+            many = sum(map(len, words)) > FEW_CHARS
+            seen = hay.select(F.substring("hay", 1, SAMPLE_CHARS).alias("hay")).filter("hay <> ''").limit(SAMPLE_TEXTS).collect() if many else []
+            frequencies = gram_frequencies([r.hay for r in seen])
+        index = PhraseIndex.build(block.column("phrase_id").combine_chunks(), words, frequencies)
+        parts.append(hay.mapInArrow(_scan(spark.sparkContext.broadcast(index), counted), schema))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _blocks(needles: DataFrame) -> Iterator[pa.Table]:
+    """The phrases, at most about ``BLOCK_CHARS`` characters at a time. Few and short ones come in one job."""
+    first = needles.withColumn("needle", F.when(F.length("needle") <= SHORT, F.col("needle"))).limit(FEW_PHRASES + 1).toArrow()
+    if first.num_rows <= FEW_PHRASES and not first.column("needle").null_count:
+        if first.num_rows:
+            yield first
+        return
+    kept = durable(needles)
+    blocks = -(-kept.agg(F.sum(F.length("needle"))).first()[0] // BLOCK_CHARS)
     for b in range(blocks):
-        block = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).toArrow()
+        block = kept.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).toArrow()
         if block.num_rows:
-            index = PhraseIndex.build(block.column("phrase_id").combine_chunks(), block.column("needle").to_pylist(), frequencies)
-            parts.append(hay.mapInArrow(_scan(spark.sparkContext.broadcast(index), counted), schema))
-    return reduce(DataFrame.union, parts)
+            yield block
 
 
 def phrase_occurrences(texts: DataFrame, phrases: DataFrame, fold_case: bool = True) -> DataFrame:

@@ -38,6 +38,7 @@ def test_positions_and_counts(spark, some, fold, blocks, monkeypatch):
     texts, phrases = some
     monkeypatch.setattr(M, "BLOCK_CHARS", M.BLOCK_CHARS if blocks == 1 else 60)
     monkeypatch.setattr(M, "FEW_CHARS", M.FEW_CHARS if blocks == 1 else 0)
+    monkeypatch.setattr(M, "FEW_PHRASES", M.FEW_PHRASES if blocks == 1 else 5)
     a, b = spark.createDataFrame(texts, "text_id int, text string").repartition(3), spark.createDataFrame(phrases, "phrase_id string, phrase string")
     want = plain(texts, phrases, fold)
     assert sorted(map(tuple, M.phrase_occurrences(a, b, fold).collect())) == want
