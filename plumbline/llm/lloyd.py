@@ -205,3 +205,30 @@ def code_table(table: DataFrame, key: str = "vec_id", vector: str = "embedding",
     hexes = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
     return (coded.join(F.broadcast(totals) if few else totals, F.col("label").eqNullSafe(F.col("_of")))
             .select(F.col("key").alias(key), hexes.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256")))
+
+
+def oracle_sql(rounds: int = ROUNDS) -> str:
+    """The same codes for DuckDB: whole numbers as doubles, in which all products and sums here are exact."""
+    distance = "list_dot_product(p.d, p.d) - 2 * list_dot_product(p.d, c.d) + list_dot_product(c.d, c.d)"
+    steps = [f"""k AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), w AS (SELECT max(len(x)) // {PARTS} AS w FROM k
+), p AS MATERIALIZED (SELECT rn, pos, x[pos * w + 1 : pos * w + w] AS d FROM k, w, (SELECT unnest(range({PARTS})) AS pos)
+), c0 AS MATERIALIZED (SELECT pos, rn - 1 AS e, d FROM p WHERE rn <= {ENTRIES}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT p.rn, p.pos, min({{'d': {distance}, 'e': c.e}}) AS m FROM p JOIN c{r} c ON c.pos = p.pos GROUP BY 1, 2
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.pos, c.e, coalesce(n.d, c.d) AS d FROM c{r} c LEFT JOIN (
+    SELECT pos, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS d FROM (
+      SELECT p.pos, a.m.e AS e, i, sum(p.d[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM a{r} a JOIN p ON p.rn = a.rn AND p.pos = a.pos, w, unnest(range(1, w.w + 1)) AS t(i) GROUP BY 1, 2, 3)
+    GROUP BY 1, 2) n ON n.pos = c.pos AND n.e = c.e
+)""")
+    last = rounds
+    return "WITH " + ", ".join(steps) + f""", h AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY pos, e, i)) AS sha FROM (SELECT pos, e, unnest(d) AS v, unnest(range(len(d))) AS i FROM c{last})
+), r AS (SELECT rn, string_agg(printf('%02x', m.e), '' ORDER BY pos) AS code, sum(m.d)::BIGINT AS error FROM a{last} GROUP BY 1
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM k JOIN r USING (rn), h"""

@@ -94,7 +94,7 @@ def _tokens(t: Tables) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@query("op11_member_lloyd")
+@query("op11_member_lloyd", lloyd.oracle_sql())
 def _codes(t: Tables) -> DataFrame:
     return lloyd.code_table(t.embeddings)
 
