@@ -8,6 +8,7 @@ from plumbline.operators import audit as A
 from plumbline.operators import combine as C
 from plumbline.operators import matching as M
 from plumbline.functions.numbers import canonical_numbers
+from plumbline.plans.aggregates import sql_numbers
 from plumbline.plans.oracle import oracle
 from plumbline.operators.topk import top_n
 from plumbline.plans.registry import plan
@@ -138,7 +139,11 @@ def aud_fault_detection(t):
     return A.detection_rates(answers(t))
 
 
-@plan("aud_silent_versions")
+@plan("aud_silent_versions", oracle("run", """
+    SELECT question_id AS answer_id, count(*) AS n_specific, bool_and(NOT regexp_matches(answer, '\\d{4}Q\\d')) AS silent FROM numbers JOIN specific USING (period, number) GROUP BY 1""",
+    numbers=f"SELECT question_id, period, category, answer, unnest({sql_numbers('answer')}) AS number FROM run",
+    specific="""SELECT period, number FROM (SELECT period, number, count(DISTINCT category) AS n FROM numbers GROUP BY 1, 2)
+        JOIN (SELECT period, count(DISTINCT category) AS k FROM numbers GROUP BY 1) USING (period) WHERE n < k"""))
 def aud_silent_versions(t):
     """AUD-13: experimental version-silence probe."""
     run = V.run(t)
