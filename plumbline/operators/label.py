@@ -409,7 +409,7 @@ def name_hints(words: DataFrame, names: DataFrame, city: int = 2, k: int = 3) ->
 def word_periods(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Where an unknown word does occur: (word, span, n_periods)."""
     texts = chunks.select(F.struct("chunk_id", "period").alias("text_id"), "text")
-    hits = phrase_occurrences(texts, words.select(F.col("word").alias("phrase_id"), F.col("word").alias("phrase")).distinct(), fold_case=False)
+    hits = phrase_counts(texts, words.select(F.col("word").alias("phrase_id"), F.col("word").alias("phrase")).distinct(), fold_case=False)
     return hits.groupBy(F.col("phrase_id").alias("word")).agg(
         F.concat_ws("~", F.min("text_id.period"), F.max("text_id.period")).alias("span"), F.countDistinct("text_id.period").alias("n_periods"))
 

@@ -185,10 +185,10 @@ def lab_name_hints(t):
 
 @plan("lab_word_periods", oracle("chunk", """
     SELECT word, concat(min(period), '~', max(period)) AS span, count(DISTINCT period) AS n_periods FROM (
-      SELECT DISTINCT regexp_extract(text, '[A-Za-z]+', 0) AS word FROM benchmark) JOIN chunk ON contains(text, word) WHERE word <> '' GROUP BY 1"""))
+      SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark) JOIN chunk ON contains(text, word) GROUP BY 1"""))
 def lab_word_periods(t):
     """LAB-12: the periods in which an unknown word does occur."""
-    words = t.benchmark.select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("word")).filter("word <> ''")
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     return L.word_periods(words, V.chunk(t))
 
 
