@@ -79,13 +79,17 @@ def metric_of_title(titles: DataFrame, official: DataFrame) -> DataFrame:
     """The official metric that a page title ends with: longest wins, two of one length are ambiguous.
 
     ``titles(page_id, candidate)``, ``official(metric)``. Candidates are unfolded into their suffixes, so the
-    official list is met by equality.
+    official list is met by equality; only suffixes as long as some official name go there. Both joins are shuffles, for no side is
+    sure to fit a broadcast: suffixes are many times the titles that sizes are estimated from.
     """
-    suffixes = titles.select("page_id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("candidate")), lambda k: F.substring(F.col("candidate"), k, F.length("candidate")))).alias("metric"))
-    hits = suffixes.join(official.select("metric").distinct(), "metric").groupBy("page_id").agg(
+    names = official.select("metric").distinct()
+    lengths = names.agg(F.collect_set(F.length("metric")).alias("lengths"))  # one row, at most as many values as the longest name has characters
+    every = F.transform(F.sequence(F.lit(1), F.length("candidate")), lambda k: F.substring(F.col("candidate"), k, F.length("candidate")))
+    suffixes = titles.join(F.broadcast(lengths)).select(
+        "page_id", F.explode(F.filter(every, lambda x: F.array_contains("lengths", F.length(x)))).alias("metric"))
+    hits = suffixes.join(names.hint("shuffle_merge"), "metric").groupBy("page_id").agg(
         F.max(F.struct(F.length("metric").alias("n"), "metric"))["metric"].alias("metric"))
-    return titles.join(hits, "page_id", "left").select(
+    return titles.join(hits.hint("shuffle_merge"), "page_id", "left").select(
         "page_id", "metric", F.when(F.col("metric").isNull(), "none").otherwise("ok").alias("status"))
 
 

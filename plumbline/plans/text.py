@@ -154,6 +154,8 @@ def ext_stated_average(t):
         "period", F.col("p.stated").cast("double").alias("stated"), F.size("p.scores").alias("n_scores"))
 
 
+# the sentence that opens a line; the repetition never gives back, since what follows a word of the list is no full stop inside it, so it needs no stack
+SENTENCE = r"(?:^|\n)([A-Z][a-z]+(?:[, ]+[a-z]+)*+)\."
 OFFICIAL = "SELECT DISTINCT string_split(p_name, ' ')[-1] AS metric FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0"
 
 
@@ -174,7 +176,7 @@ def ext_metric_of_title(t):
 def ext_official_lists(t):
     """EXT-5: name lists of a document (its line-opening sentences): one set or several, one order or several."""
     docs = t.documents.select(F.col("doc_id").alias("doc"), "text")
-    return X.official_lists(docs, r"(?:^|\n)([A-Z][a-z]+(?:[, ]+[a-z]+)*)\.", "[, ]")
+    return X.official_lists(docs, SENTENCE, "[, ]")
 
 
 @plan("ext_metric_coverage", oracle("score metric_score", """

@@ -95,3 +95,20 @@ def test_segments_are_attributed(spark):
     answers = spark.createDataFrame([(7, "the quick brown fox jumps\na wholly different page\nnothing like these at all", 1)], "answer_id int, answer string, expected long")
     given = spark.createDataFrame([(7, 1), (7, 2)], "answer_id int, chunk_id long")
     assert [r.kind for r in A.attribute_segments(answers, given, chunks).orderBy("segment_no").collect()] == ["expected", "other page", "ungrounded"]
+
+
+def test_titles_meet_official_names_without_a_broadcast_of_rows(spark):
+    titles = spark.createDataFrame([(1, "big red"), (2, "red"), (3, "blue"), (4, None), (4, "big red"), (None, "red")], "page_id long, candidate string")
+    official = spark.createDataFrame([("red",), ("big red",), ("red",), ("e",), (None,)], "metric string")
+    found = X.metric_of_title(titles, official)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, "big red", "ok"), (2, "red", "ok"), (3, "e", "ok"), (4, "big red", "ok"), (4, "big red", "ok"), (None, None, "none")], key=str)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # only the one row of lengths is sent
+
+
+def test_official_lists_of_any_length(spark):
+    from plumbline.plans.text import SENTENCE
+    long = "Aa" + ", bb" * 200_000
+    docs = spark.createDataFrame([(1, f"{long}.\nAa bb, cc.\nAa bb"), (2, "Aa, bb,. Cc.")], "doc int, text string")
+    rows = {r.doc: r for r in X.official_lists(docs, SENTENCE, "[, ]").collect()}
+    assert (rows[1].n_lists, rows[1].n_sets, rows[1].agrees) == (2, 2, False) and 2 not in rows
