@@ -147,30 +147,40 @@ def containment(part: Column, whole: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Jaccard of two shingle sets; equal empty sets are the same page."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Jaccard of two shingle sets (arrays of distinct shingles); equal empty sets are the same page."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, 1.0).otherwise(shared / union)
 
 
 def compare_pages(pairs: DataFrame, chunks: DataFrame, left: str, right: str, same: list[str]) -> DataFrame:
     """Similarity of given id pairs that share the ``same`` columns.
 
-    Texts are fetched only for ids in a pair; equal content keys need no shingles.
+    Pairs meet period, kind and content key only; equal keys need no text. Of the pairs of different contents one each fetches its two texts, which
+    are unfolded into shingles where both lie, so no shingle is shuffled.
     """
     ids = pairs.select(F.col(left).alias("chunk_id")).union(pairs.select(F.col(right))).distinct()
-    facts = chunks.join(ids, "chunk_id", "left_semi").select(
-        "chunk_id", "period", *same, content_key(F.col("text")).alias("key"), shingles(F.col("text")).alias("sh"))
-    a = facts.select(F.col("chunk_id").alias(left), F.col("period").alias("p1"), *[F.col(c).alias(f"{c}_1") for c in same],
-                     F.col("key").alias("k1"), F.col("sh").alias("s1"))
-    b = facts.select(F.col("chunk_id").alias(right), F.col("period").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in same],
-                     F.col("key").alias("k2"), F.col("sh").alias("s2"))
+    facts = durable(chunks.select("chunk_id", "period", *same, content_key(F.col("text")).alias("key")).join(ids, "chunk_id", "left_semi"))
+    a = facts.select(F.col("chunk_id").alias(left), F.col("period").alias("p1"), *[F.col(c).alias(f"{c}_1") for c in same], F.col("key").alias("k1"))
+    b = facts.select(F.col("chunk_id").alias(right), F.col("period").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in same], F.col("key").alias("k2"))
     both = pairs.join(a, left).join(b, right)
     for c in same:
         both = both.filter(F.col(f"{c}_1") == F.col(f"{c}_2"))
-    return both.select(
-        *pairs.columns, "p1", "p2",
-        F.when(F.col("k1") == F.col("k2"), 1.0).otherwise(similarity(F.col("s1"), F.col("s2"))).alias("similarity"),
-    )
+    both = durable(both.select(*pairs.columns, "p1", "p2", "k1", "k2"))
+    # a similarity belongs to two contents; the first pair of ids that holds them fetches the texts, so copies never meet one text
+    unlike = both.filter("k1 <> k2").groupBy("k1", "k2").agg(F.min(F.struct(F.col(left).alias("l"), F.col(right).alias("r"))).alias("at"))
+    unlike = durable(unlike.select("k1", "k2", F.col("at.l").alias("l"), F.col("at.r").alias("r")))
+    ends = unlike.select(F.col("l").alias("chunk_id"), F.col("k1").alias("key")).union(unlike.select("r", "k2")).distinct()
+    texts = chunks.select("chunk_id", "text").join(ends.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    if facts.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():  # an id with several rows: one text of each content
+        texts = texts.withColumn("key", content_key(F.col("text"))).join(ends, ["chunk_id", "key"], "left_semi").dropDuplicates(["chunk_id", "key"])
+        first, second = ([F.col("chunk_id").alias(i), F.col("key").alias(k), F.col("text").alias(x)] for i, k, x in (("l", "k1", "x1"), ("r", "k2", "x2")))
+        met = unlike.join(texts.select(*first), ["l", "k1"]).join(texts.select(*second), ["r", "k2"])
+    else:
+        met = unlike.join(texts.select(F.col("chunk_id").alias("l"), F.col("text").alias("x1")), "l").join(texts.select(F.col("chunk_id").alias("r"), F.col("text").alias("x2")), "r")
+    alike = met.select("k1", "k2", shingles(F.col("x1")).alias("s1"), shingles(F.col("x2")).alias("s2")).select("k1", "k2", similarity(F.col("s1"), F.col("s2")).alias("unlike"))
+    return both.join(alike, ["k1", "k2"], "left").select(
+        *pairs.columns, "p1", "p2", F.when(F.col("k1") == F.col("k2"), 1.0).otherwise(F.col("unlike")).alias("similarity"))
 
 
 def evidence(pairs: DataFrame, chunks: DataFrame, same: list[str]) -> DataFrame:

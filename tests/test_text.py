@@ -112,3 +112,18 @@ def test_official_lists_of_any_length(spark):
     docs = spark.createDataFrame([(1, f"{long}.\nAa bb, cc.\nAa bb"), (2, "Aa, bb,. Cc.")], "doc int, text string")
     rows = {r.doc: r for r in X.official_lists(docs, SENTENCE, "[, ]").collect()}
     assert (rows[1].n_lists, rows[1].n_sets, rows[1].agrees) == (2, 2, False) and 2 not in rows
+
+
+def test_pairs_fetch_texts_of_unlike_contents_only(spark):
+    rows = [(1, "2020Q1", "a", "the quick brown fox"), (2, "2020Q2", "a", "the quick brown  fox"), (3, "2020Q3", "a", "the quick brown cat"), (4, "2020Q4", "b", "the quick brown fox"),
+            (5, "2020Q1", "a", None), (6, "2020Q1", "a", "tiny"), (7, "2020Q2", "a", "wee"), (8, "2020Q1", "a", "the quick brown fox"), (8, "2020Q2", "a", "the quick brown cat")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, period string, page_kind string, text string")
+    pairs = spark.createDataFrame([(w, w, g) for w, g in ((1, 2), (1, 3), (1, 4), (1, 5), (6, 7), (8, 3), (2, 8), (1, 9))], "question_id long, want long, got long")
+    compared = V.compare_pages(pairs, chunks, "want", "got", ["page_kind"])
+    found = sorted((r.want, r.got, r.p1, r.p2, r.similarity is not None and round(r.similarity, 6)) for r in compared.collect())
+    near = round(6 / 12, 6)  # "thequickbrownfox" and "thequickbrowncat" share 6 of 12 shingles
+    assert found == [(1, 2, "2020Q1", "2020Q2", 1.0), (1, 3, "2020Q1", "2020Q3", near), (1, 5, "2020Q1", "2020Q1", False), (2, 8, "2020Q2", "2020Q1", 1.0),
+                     (2, 8, "2020Q2", "2020Q2", near), (6, 7, "2020Q1", "2020Q2", 1.0), (8, 3, "2020Q1", "2020Q3", near), (8, 3, "2020Q2", "2020Q3", 1.0)]
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    shuffled = [x for x in plan.splitlines() if "array<string>" in x]
+    assert "Exchange" in plan and not shuffled and not any("Exchange" in x and ("s1#" in x or "s2#" in x) for x in plan.splitlines())
