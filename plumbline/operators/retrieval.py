@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.periods import PERIOD_TOKEN
-from plumbline.operators.matching import grams, phrase_counts
+from plumbline.operators.matching import grams, phrase_counts, phrase_tops
 from plumbline.session import durable, spread
 
 # Fixed values
@@ -65,10 +65,12 @@ def phrase_scores(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     texts = chunks.select(F.col("chunk_id").alias("text_id"), "text")
     tf = durable(phrase_counts(spread(texts), phrases))  # read twice below; the corpus is unfolded once
-    df = tf.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("df"))
-    facts = chunks.select(
-        F.col("chunk_id").alias("text_id"), "period", F.greatest(F.col("n_chars") - 2, F.lit(0)).alias("dl")
-    )
+    return _scored(chunks, tf, tf.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("df")))
+
+
+def _scored(chunks: DataFrame, tf: DataFrame, df: DataFrame) -> DataFrame:
+    """BM25 of ``tf(text_id, phrase_id, tf)`` by the frequencies ``df(phrase_id, df)``."""
+    facts = chunks.select(F.col("chunk_id").alias("text_id"), "period", _length().alias("dl"))
     size = F.broadcast(corpus_size(chunks))  # one row
     scored = tf.join(facts, "text_id").join(df, "phrase_id").join(size)
     return scored.select(
@@ -79,6 +81,28 @@ def phrase_scores(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     )
 
 
+def _length() -> Column:
+    return F.greatest(F.col("n_chars") - 2, F.lit(0))
+
+
+def top_scores(chunks: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+    """Of :func:`phrase_scores` every row that may be among the first ``k`` of its phrase, by score and id.
+
+    Within a phrase the order needs no document frequency, so every task that searches texts hands on its own first ``k`` and its counts. Ids that
+    come in several rows, which a task cannot see, hand on all their hits.
+    """
+    texts = spread(chunks.select(F.col("chunk_id").alias("text_id"), "text", _length().cast("bigint").alias("dl")))
+    mean = corpus_size(chunks).first()["avgdl"] or 1.0  # without a text, or a letter in one, there is nothing to order
+    found = durable(phrase_tops(texts, phrases, k, K1, B, mean))
+    df = found.filter("df is not null").groupBy("phrase_id").agg(F.sum("df").alias("df"))
+    tf = found.filter("df is null").select("text_id", "phrase_id", "tf")
+    again = durable(chunks.groupBy(F.col("chunk_id").alias("text_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and text_id is not null").select("text_id"))
+    if again.limit(1).count():
+        more = phrase_counts(texts.join(again, "text_id", "left_semi"), phrases).select("text_id", "phrase_id", "tf")
+        tf = tf.join(again, "text_id", "left_anti").unionByName(more)
+    return _scored(chunks, tf, df)
+
+
 def best_first(scores: DataFrame, by: str, score: str, k: int | None) -> DataFrame:
     """Rank by score; with ``k`` every map task keeps only its own first ``k`` per group."""
     w = W.partitionBy(by).orderBy(F.desc(score), "id")
@@ -117,8 +141,8 @@ def search_terms(chunks: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     """Search each term alone, then the best score per chunk among the first ``k`` of each term (or the sum over all terms), then ``k``."""
     terms = split_terms(queries)
     distinct = terms.select(F.col("term").alias("phrase_id"), F.col("term").alias("phrase")).distinct()
-    scores = phrase_scores(chunks, distinct)
-    per_term = best_first(scores, "phrase_id", "bm25", k).drop("rank") if mode == "best" else scores  # a sum needs every term's whole list
+    # a sum needs every term's whole list
+    per_term = best_first(top_scores(chunks, distinct, k), "phrase_id", "bm25", k).drop("rank") if mode == "best" else phrase_scores(chunks, distinct)
     wanted = terms.select("query_id", F.col("term").alias("phrase_id")).distinct()
     merged = per_term.join(wanted, "phrase_id").groupBy("query_id", "id").agg(
         (F.max if mode == "best" else F.sum)("bm25").alias("bm25")

@@ -92,3 +92,22 @@ def test_a_million_phrases_and_one_that_is_everywhere(spark):
     assert counts.filter("phrase_id = 0").count() == 3000
     assert sorted((r.text_id, r.phrase_id) for r in found) == [(i, i * 333) for i in range(1, 3000)]
     assert time.time() - began < 240
+
+
+def test_term_lists_are_cut_where_the_texts_lie(spark):
+    from plumbline.operators import retrieval as S
+
+    rng = random.Random(5)
+    words = ["red", "green", "blue", "grey", "rose"]
+    rows = [(i, "2020Q1", t, len(t)) for i, t in enumerate(" ".join(rng.choices(words, weights=[9, 5, 3, 2, 1], k=rng.randint(1, 9))) for _ in range(400))]
+    rows += [(7, "2020Q1", "red red", 7), (7, "2020Q2", "red", 3), (None, "2020Q1", "red blue", 8), (900, "2020Q1", None, None), (901, "2020Q1", "rose", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, period string, text string, n_chars int").repartition(5)
+    queries = spark.createDataFrame([(1, "red rose"), (2, "blue"), (3, "e r"), (4, "grey green")], "query_id long, phrase string")
+    terms = S.split_terms(queries).select(F.col("term").alias("phrase_id"), F.col("term").alias("phrase")).distinct()
+    whole = S.best_first(S.phrase_scores(chunks, terms), "phrase_id", "bm25", 5)
+    cut = S.top_scores(chunks, terms, 5)
+    listed = lambda df: sorted(map(tuple, df.select("phrase_id", "rank", "id", "bm25").collect()))
+    assert listed(S.best_first(cut, "phrase_id", "bm25", 5)) == listed(whole)
+    assert cut.count() < S.phrase_scores(chunks, terms).count() / 3
+    none = chunks.filter("chunk_id < 0")
+    assert S.search_terms(none, queries).count() == 0
