@@ -23,6 +23,7 @@ MANY_VERSIONS = "多版本"
 # How a challenge asks for a phrase, and by how much a number is raised to one that no report has.
 ASKS = ("{period}的{phrase}是什么", "{period}里,{phrase}是多少", "{period}的{phrase}说的是什么", "{period}报告中{phrase}的内容是什么")
 RAISED = 700
+FACT_ROWS = 500_000  # so many facts travel to every task; more are joined by a shuffle
 META_FIELDS = {"样本量": "sample_n", "机场数": "entity_n", "一级指标数": "l1_n", "二级指标数": "l2_n", "口径版本": "basis_version"}
 
 
@@ -183,6 +184,12 @@ def drift(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     )
 
 
+def _light(facts: DataFrame) -> DataFrame:
+    """A table that many rows are joined with, computed once; a short one travels to the tasks, so that the rows stay where they are."""
+    kept = durable(facts)
+    return F.broadcast(kept) if kept.count() <= FACT_ROWS else kept
+
+
 def _cited(clauses: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataFrame:
     """Clauses by kind, with names made whole and what is wrong with the clause itself."""
     f = lambda k: F.col("fields")[k]
@@ -195,7 +202,7 @@ def _cited(clauses: DataFrame, entities: DataFrame, metrics: DataFrame) -> DataF
             .when((F.col("tbl") == "指标得分") & F.col("asked_entity").isNull(), "best").when(F.col("tbl") == "指标得分", "metric"))
     c = c.withColumn("kind", kind)
     for what, catalog in (("entity", entities), ("metric", metrics)):
-        whole = resolve_prefix(c.select(F.col(f"asked_{what}").alias("ask")).filter("ask is not null"), catalog.toDF("name").distinct())
+        whole = _light(resolve_prefix(c.select(F.col(f"asked_{what}").alias("ask")).filter("ask is not null"), catalog.toDF("name").distinct()))
         c = c.join(whole.select(F.col("ask").alias(f"asked_{what}"), F.col("name").alias(what), F.col("status").alias(f"{what}_status")), f"asked_{what}", "left")
     named = lambda what: F.when(F.col(f"asked_{what}").isNull(), f"no {what}").when(F.col(f"{what}_status") == "missing", f"unknown {what}").when(F.col(f"{what}_status") == "ambiguous", f"ambiguous {what}")
     problem = (
@@ -226,25 +233,31 @@ def lookup_citations(clauses: DataFrame, ranked: DataFrame, metric_score: DataFr
     key = ["question_id", "clause_no"]
     c = durable(_cited(clauses, ranked.select("entity").union(metric_score.select("entity")), metric_score.select("metric")))
     ok = c.filter("problem is null")
-    text = lambda x: F.array(canonical_numbers(x.cast("string"))[0])
+    text = lambda x: F.array(F.get(canonical_numbers(x.cast("string")), F.lit(0)))
     none, quiet = F.lit(None).cast("string"), F.lit(None).cast("string")
     parts = []
 
     def add(rows: DataFrame, numbers: Column, names: Column = none, note: Column = quiet) -> None:
         parts.append(rows.select(*key, numbers.alias("numbers"), names.alias("names"), note.alias("told")))
 
-    add(ok.filter("kind = 'score'").join(ranked.drop("source"), ["period", "entity"]), F.when(F.array_contains("wanted", "排名"), text(F.col("row_no"))).otherwise(text(F.col("score"))), F.col("entity"))
-    firsts = ok.filter("kind = 'top'").select(*key, "period", "n").join(ranked, "period").filter("row_no <= n").groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "entity", "score"))).alias("rows"))  # at most n
-    add(firsts, F.transform("rows", lambda r: text(r["score"])[0]), F.array_join(F.transform("rows", lambda r: r["entity"]), "/"))
-    add(ok.filter("kind = 'metric'").select(*key, "period", "metric", "entity").join(metric_score, ["period", "metric", "entity"]), text(F.col("score")), F.col("entity"))
+    # numbers are read once for every fact, not once for every clause that asks for it
+    facts = _light(ranked.select("period", "entity", "row_no", "score", text(F.col("score")).alias("_score"), text(F.col("row_no")).alias("_row_no")))
+    add(ok.filter("kind = 'score'").join(facts, ["period", "entity"]), F.when(F.array_contains("wanted", "排名"), F.col("_row_no")).otherwise(F.col("_score")), F.col("entity"))
+    tables = _light(facts.groupBy("period").agg(F.array_sort(F.collect_list(F.struct("row_no", "entity", "score", F.col("_score")[0].alias("number")))).alias("table")))  # a period's entities
+    firsts = ok.filter("kind = 'top'").select(*key, "period", "n").join(tables, "period").select(*key, F.filter("table", lambda r: r["row_no"] <= F.col("n")).alias("rows")).filter(F.size("rows") > 0)
+    firsts = firsts.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"))  # at most n
+    add(firsts, F.transform("rows", lambda r: r["number"]), F.array_join(F.transform("rows", lambda r: r["entity"]), "/"))
+    values = _light(metric_score.select("period", "metric", "entity", text(F.col("score")).alias("_score")))
+    add(ok.filter("kind = 'metric'").select(*key, "period", "metric", "entity").join(values, ["period", "metric", "entity"]), F.col("_score"), F.col("entity"))
     best = ok.filter("kind = 'best'").select(*key, "period", "metric").join(metric_score, ["period", "metric"])
     tops = metric_score.groupBy("period", "metric").agg(F.max("score").alias("score"))
     held = best.join(tops, ["period", "metric", "score"]).groupBy(*key, "score").agg(F.array_join(F.sort_array(F.collect_list("entity")), "/").alias("names"))
     add(held, text(F.col("score")), F.col("names"))
     every = F.size("wanted") == 0
-    chosen = F.concat(*[F.when(every | F.array_contains("wanted", label), canonical_numbers(F.col(column).cast("string"))).otherwise(F.array().cast("array<string>")) for label, column in META_FIELDS.items() if column in meta.columns])
-    add(ok.filter("kind = 'meta'").select(*key, "period", "wanted").join(meta, "period"), F.array_distinct(chosen))
+    fields = {label: column for label, column in META_FIELDS.items() if column in meta.columns}
+    listed = _light(meta.select("period", *[canonical_numbers(F.col(column).cast("string")).alias(column) for column in fields.values()]))
+    chosen = F.concat(*[F.when(every | F.array_contains("wanted", label), F.col(column)).otherwise(F.array().cast("array<string>")) for label, column in fields.items()])
+    add(ok.filter("kind = 'meta'").select(*key, "period", "wanted").join(listed, "period"), F.array_distinct(chosen))
     if chunks is not None:
         ids = ok.filter("kind = 'pages'").select(*key, F.explode(F.filter(F.transform(F.split("chunk", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("chunk_id"))
         pages = ids.join(chunks.select("chunk_id", "text"), "chunk_id", "left").groupBy(*key).agg(  # a citation's few pages

@@ -45,8 +45,9 @@ def keys(t):
     FROM (SELECT question_id AS k, p, e FROM question) JOIN score ON period = p AND entity = e JOIN period_meta_q m ON m.period = p"""))
 def evl_verify_keys(t):
     """EVL-1/2: answer keys against what their citations point at."""
+    V.keep_cells(t)
     q = durable(keys(t))
-    clauses = X.parse_citations(q.select("question_id", "citation"))
+    clauses = durable(X.parse_citations(q.select("question_id", "citation")))  # looked up, and asked for errors
     found = E.lookup_citations(clauses, R.rank_table(V.score(t)), V.metric_score(t), V.period_meta_q(t))
     return E.verify_keys(q, clauses, found)
 

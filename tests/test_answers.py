@@ -19,3 +19,21 @@ def test_lists_without_an_entity(spark):
         got.setdefault((r.question_id, r.kind), []).append((-r.value, r.subject))
     assert {k: [s for _, s in sorted(v)] for k, v in got.items()} == {
         (1, "metric_list"): ["e0", "e1", "e2", "e3", "e4"], (2, "metric_list"): ["e3", "e4", "e5", "e6", "e7"], (3, "headline_list"): ["e7", "e6", "e5", "e4", "e3"]}
+
+
+def test_citations_meet_short_tables_where_they_lie(spark):
+    from plumbline.operators import evaluate as E
+    from plumbline.operators import extract as X
+    from plumbline.session import durable
+
+    asks = [(1, "表=综合得分;期次=2024Q1;取前=2"), (2, "表=综合得分;期次=2024Q1;机场=B;字段=排名"), (3, "表=综合得分;期次=2024Q1;机场=A"), (4, "表=meta;期次=2024Q1"),
+            (5, "表=指标得分;期次=2024Q1;指标=m;机场=A"), (6, "表=综合得分;期次=2024Q1;取前=0"), (3, "表=综合得分;期次=2024Q1;机场=A")]
+    clauses = durable(X.parse_citations(spark.createDataFrame(asks, "question_id long, citation string")))
+    ranked = durable(spark.createDataFrame([("2024Q1", "A", 4.5, 1, "x"), ("2024Q1", "B", 4.0, 2, "y"), ("2024Q1", "C", 3.0, 3, "z")], "period string, entity string, score double, row_no int, source string"))
+    metric = durable(spark.createDataFrame([("2024Q1", "m", "A", 2.25)], "period string, metric string, entity string, score double"))
+    meta = durable(spark.createDataFrame([("2024Q1", 30, 3)], "period string, sample_n int, entity_n int"))
+    found = E.lookup_citations(clauses, ranked, metric, meta)
+    got = sorted((r.question_id, tuple(r.numbers or ()), r.names, r.problem) for r in found.collect())
+    assert got == sorted([(1, ("4.5", "4"), "A/B", None), (2, ("2",), "B", None), *[(3, ("4.5",), "A", None)] * 4, (4, ("30", "3"), None, None), (5, ("2.25",), "A", None),
+                          (6, (), None, "nothing found")], key=lambda x: x[0])
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 4
