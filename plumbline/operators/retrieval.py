@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.periods import PERIOD_TOKEN
-from plumbline.operators.matching import grams, phrase_counts, phrase_tops
+from plumbline.operators.matching import grams, phrase_best, phrase_counts, phrase_tops
 from plumbline.session import durable, spread
 
 # Fixed values
@@ -22,6 +22,7 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 RRF = 60
 MIN_QUERY = 3
+WANTED_ROWS = 500_000  # so many wanted ids travel to the scores; more meet them by a shuffle
 UNSAFE = r"[^\x{4e00}-\x{9fff}\p{L}\p{N}_]"
 
 
@@ -53,8 +54,11 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(tf: Column, df: Column, dl: Column, n_docs: Column, avgdl: Column) -> Column:
-    idf = F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return _idf(df, n_docs) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _idf(df: Column, n_docs: Column) -> Column:
+    return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
 def phrase_scores(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -130,11 +134,25 @@ def split_terms(queries: DataFrame, text: str = "phrase") -> DataFrame:
 
 
 def term_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, bm25): the best term of the query for each chunk it reaches (terms are alternatives)."""
+    """(query_id, id, bm25): the best term of the query for each chunk it reaches (terms are alternatives).
+
+    One pass counts which terms the chunks hold, a second one scores each chunk where its text lies. Ids that come in several rows, which a task cannot see, meet by id.
+    """
     terms = split_terms(queries)
-    scores = phrase_scores(chunks, terms.select(F.col("term").alias("phrase_id"), F.col("term").alias("phrase")).distinct())
-    wanted = terms.select("query_id", F.col("term").alias("phrase_id")).distinct()
-    return scores.join(wanted, "phrase_id").groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
+    wanted = durable(terms.select("query_id", F.col("term").alias("phrase_id")).distinct())
+    distinct = wanted.select("phrase_id", F.col("phrase_id").alias("phrase")).distinct()
+    texts = spread(chunks.select(F.col("chunk_id").alias("text_id"), "text", _length().cast("bigint").alias("dl")))
+    size = corpus_size(chunks)
+    mean = size.first()["avgdl"] or 1.0
+    df = durable(phrase_tops(texts, distinct, 1, K1, B, mean).filter("df is not null").groupBy("phrase_id").agg(F.sum("df").alias("df")))
+    weighed = df.join(F.broadcast(size)).select("phrase_id", _idf(F.col("df"), F.col("n_docs")).alias("weight"))
+    asked = wanted.join(weighed, "phrase_id").groupBy(F.col("phrase_id").alias("phrase"), "weight").agg(F.collect_list(F.struct("query_id")).alias("queries"))
+    again = durable(chunks.groupBy(F.col("chunk_id").alias("text_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and text_id is not null").select("text_id"))
+    if not again.limit(1).count():
+        return phrase_best(texts, asked, K1, B, mean)
+    tf = phrase_counts(texts.join(again, "text_id", "left_semi").select("text_id", "text"), distinct)
+    several = _scored(chunks, tf, df).join(wanted, "phrase_id").groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
+    return phrase_best(texts.join(again, "text_id", "left_anti"), asked, K1, B, mean).unionByName(several)
 
 
 def search_terms(chunks: DataFrame, queries: DataFrame, k: int = 5, mode: str = "best") -> DataFrame:
@@ -240,11 +258,12 @@ def score_ranks(scores: DataFrame, wanted: DataFrame, score: str) -> DataFrame:
     Every scored row is put into one slot between the wanted entries of its query; the slots are
     counted on the map side and summed along the short list.
     """
-    known = wanted.select("query_id", "id").join(scores.select("query_id", "id", score), ["query_id", "id"])
+    short = (lambda df: F.broadcast(df)) if wanted.count() <= WANTED_ROWS else (lambda df: df)  # noqa: E731  else the scores would be dealt out for it
+    known = scores.select("query_id", "id", score).join(short(wanted.select("query_id", "id")), ["query_id", "id"])
     entry = F.struct((-F.col(score)).alias("s"), F.col("id").alias("id"))
-    lists = known.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c"))
+    lists = durable(known.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("c")))  # read twice
     slot = F.expr(f"size(filter(c, x -> x.s < -{score} or (x.s = -{score} and x.id <= id)))")
-    slots = scores.join(lists, "query_id").groupBy("query_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    slots = scores.join(short(lists), "query_id").groupBy("query_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     along = W.partitionBy("query_id").orderBy("slot")
     sums = slots.select("query_id", "slot", F.sum("n").over(along).alias("upto"))
     places = lists.select("query_id", F.posexplode("c").alias("j", "x")).select("query_id", "j", F.col("x.id").alias("id"))

@@ -1,6 +1,9 @@
-"""Questions are labelled where their texts lie."""
+"""Questions are labelled, and terms scored, where their texts lie."""
+
+import math
 
 from plumbline.operators import label as L
+from plumbline.operators import retrieval as S
 
 NAMES = ("甲城北站", "乙城北站", "丙城南站", "丙城东站二", "城北", "大甲城北站口", "丁城西门")
 
@@ -40,3 +43,31 @@ def test_gates_bring_questions_without_a_metric_into_no_one_task(spark):
     out = spark.createDataFrame([(1, "甲的靠桥率是多少", []), (2, "甲", []), (3, "甲的得分", ["甲"]), (4, None, [])], "question_id long, text string, entities array<string>")
     got = {r.question_id: (r.reason, r.word) for r in L.refusals(out, spark.createDataFrame([("得分",)], "word string")).collect()}
     assert got == {1: ("unknown metric", "靠桥率"), 2: (None, None), 3: (None, None), 4: (None, None)}
+
+
+def test_terms_are_scored_where_the_texts_lie(spark):
+    texts = {1: "abc def abc", 2: "def def ghi", 3: "nothing here", 4: "abcabc x"}
+    rows = [(i, "2024Q1", len(x), x) for i, x in texts.items()]
+    asked = spark.createDataFrame([(10, "abc def"), (11, "DEF zzz"), (12, "zzz")], "query_id long, phrase string")
+
+    def expected(rows):
+        n, mean, out = len(rows), sum(max(r[2] - 2, 0) for r in rows) / len(rows), {}
+        for query, terms in ((10, ("abc", "def")), (11, ("def",))):
+            for term in terms:
+                df = sum(term in r[3] for r in rows)
+                for r in rows:
+                    if tf := r[3].count(term):
+                        idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+                        score = idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * max(r[2] - 2, 0) / mean))
+                        out[query, r[0]] = max(score, out.get((query, r[0]), 0))
+        return out
+
+    for some in (rows, [*rows, rows[0], rows[0]]):  # an id in several rows
+        chunks = spark.createDataFrame(some, "chunk_id long, period string, n_chars int, text string")
+        found = S.term_scores(chunks, asked)
+        got = {(r.query_id, r.id): r.bm25 for r in found.collect()}
+        want = expected(some)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+        assert found.count() == len(want)
+    plan = S.term_scores(spark.createDataFrame(rows, "chunk_id long, period string, n_chars int, text string"), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(query_id" not in plan
