@@ -8,10 +8,13 @@
    meets all its links. A set with more of them than that is dealt again with another hash, and keeps its common signatures.
    Of what a set may ignore, the part that it doesn't need must be shared as well: a pair is a candidate only if it shares more signatures than
    both can still spare. Signatures of more than ``PAIRED`` sets join their sets without that count.
-3. The sets of a component of candidates are stored in a prefix tree under one global order. One walk over the tree keeps the partial
+3. Components beyond ``BLOCK`` sets, which grow with the corpus by chains of pairs that are not linked, are split first. A sketch marks the cells
+   that a set's shingles fall into by hash. Each cell of one set that another hasn't holds a shingle that they don't share, so two sketches
+   bound the overlap from above, and sets whose bound misses the threshold are not linked. Sets of like sizes meet by their sketches alone.
+4. The sets of a component of candidates are stored in a prefix tree under one global order. One walk over the tree keeps the partial
    overlaps with all other sets, shares them below each node, and leaves a branch when the shingles that remain can't reach any set's bound.
-   Components beyond ``BLOCK`` sets are dealt to pairs of blocks.
-4. Links become components by alternating stars; nothing is gathered but one block pair.
+   Components that are still beyond ``BLOCK`` sets are dealt to pairs of blocks.
+5. Links become components by alternating stars; nothing is gathered but one block pair.
 
 Defined results: null and empty texts have no set, size 0, and are components of their own; fewer words than ``width`` are one
 shingle; repeated rows and equal texts are linked; a null key takes part in links, but the smallest key that is not null names the
@@ -41,6 +44,9 @@ PAIRED = 32  # signatures of up to so many sets are counted for each pair of the
 HELD_PAIRS = 300_000  # pairs a task counts before it gives them out
 DEALS = 6  # hashes to deal by before a burdened set keeps whatever signatures it has
 BLOCK = 2048
+CELLS = 4  # cells of a sketch for each shingle, at least
+SKETCHED = 4096  # sets of a block of sketches
+HELD_WORDS = 1_000_000  # words of sketches compared at once
 RECENT = 50_000  # sets a task remembers, so that it sends the signatures of copies once
 
 
@@ -373,6 +379,74 @@ def _group_links(percent: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of a power of two of cells, set if a shingle falls into it; in half as many cells, the halves are laid over each other."""
+    cells = max(64, 1 << math.ceil(math.log2(CELLS * max(1, len(s)))))
+    bit = np.zeros(cells, np.uint8)
+    bit[s & np.uint64(cells - 1)] = 1
+    return np.packbits(bit, bitorder="little").tobytes()
+
+
+def sketch_links(n: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """A label of each set, sizes ``n`` ascending: the same for sets that are linked, over any number of links, as far as sketches can tell."""
+    label = np.arange(len(n))
+    wide = np.array([len(x) // 8 for x in sketches])
+    for w in np.unique(wide).tolist():
+        first, last = np.searchsorted(wide, [w, w + 1])
+        far = np.searchsorted(n, n[first:last] * 100 // percent, "right")  # a larger set is linked to none of these
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, w), axis=0) for x in sketches[first: far[-1]]])
+        held = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        for i in range(first, last):
+            others = i + 1 + np.flatnonzero(label[i + 1: far[i - first]] != label[i])
+            for at in range(0, len(others), max(1, HELD_WORDS // w)):
+                j = others[at: at + max(1, HELD_WORDS // w)]
+                both = np.bitwise_count(bits[j - first] & bits[i - first]).sum(axis=1, dtype=np.int64)
+                most = both + np.minimum(n[i] - held[i - first], n[j] - held[j - first])
+                hits = j[most >= _needed(n[i], n[j], percent)]
+                if len(hits):
+                    label[np.isin(label, label[hits])] = label[i]
+    return label
+
+
+def _sketches_of(width: int, percent: int):
+    ends = bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _shingles_of(width)(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index("shingles")).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            band = np.searchsorted(ends, n, "right") - 1
+            below = np.flatnonzero((band > 0) & (np.ceil(n * percent / 100 - 1e-9) <= ends[band] - 1))  # may be linked to a set of the band below
+            row = np.r_[np.arange(len(n)), below]
+            marks = [sketch(x) for x in sets]
+            yield pa.RecordBatch.from_pydict({
+                "comp": batch.column(batch.schema.get_field_index("comp")).take(pa.array(row)), "sid": batch.column(batch.schema.get_field_index("sid")).take(pa.array(row)),
+                "band": pa.array(np.r_[band, band[below] - 1].astype(np.int32)), "n": pa.array(n[row]), "sketch": pa.array([marks[i] for i in row], pa.binary())})
+
+    return run
+
+
+def _group_sketches(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sid").sort_values(["n", "sid"], ignore_index=True)
+        out = pd.DataFrame({"a": pdf.sid, "b": pdf.sid.to_numpy()[sketch_links(pdf.n.to_numpy(), pdf.sketch.tolist(), percent)]})
+        return out[out.a != out.b]
+
+    return run
+
+
+def _blocks(together: DataFrame) -> DataFrame:
+    return together.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+
+
+def _block_pairs(sets: DataFrame) -> DataFrame:
+    """``sets`` with i and j: a set goes to the pairs of its block with every block of its group; mostly there is one block and one pair."""
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.withColumn("own", own).withColumn("other", other)
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
+
+
 def _shingles_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -396,21 +470,25 @@ def labelled_sets(documents: DataFrame, key: str = "doc_id", text: str = "text",
     hashed = docs.withColumn("content", F.xxhash64("text"))
     key_type = docs.schema["key"].dataType.simpleString()
     thin = durable(hashed.mapInArrow(_sets_of("key", "text", width), f"key {key_type}, content long, n long, sid long"))
-    edges = candidate_edges(docs, "text", width, percent)
-    together = connected(edges).toDF("sid", "comp")
-    sizes = together.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     one = thin.filter("n > 0").groupBy("sid").agg(F.min(F.struct("content", "key")).alias("at"))
-    wanted = (together.join(sizes, "comp").join(one, "sid")
-              .select("sid", "comp", "blocks", F.col("at.content").alias("content"), F.col("at.key").alias("_key")))
-    texts = (hashed.join(wanted, (hashed.content == wanted.content) & hashed.key.eqNullSafe(F.col("_key")))
-             .select("comp", "sid", "blocks", "text"))
-    sets = texts.mapInArrow(_shingles_of(width), "comp long, sid long, blocks int, shingles binary")
-    # A set goes to the pairs of its block with every block of its component; mostly there is one block and one pair.
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (sets.withColumn("own", own).withColumn("other", other)
-             .select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "shingles"))
-    links = dealt.groupBy("comp", "i", "j").applyInPandas(_group_links(percent), "a long, b long")
+
+    def texts(components: DataFrame) -> DataFrame:
+        """comp, sid, blocks and a text of every set; texts of other rows stay where they are."""
+        wanted = components.join(one, "sid").select("sid", "comp", "blocks", F.col("at.content").alias("_content"), F.col("at.key").alias("_key"))
+        wanted = durable(wanted.withColumn("_row", F.xxhash64("_key", "_content")))
+        there = only(hashed.withColumn("_row", F.xxhash64("key", "content")), wanted.select("_row"), ["_row"]).drop("_row")
+        return there.join(wanted, F.expr("content = _content and key <=> _key")).select("comp", "sid", "blocks", "text")
+
+    together = durable(connected(candidate_edges(docs, "text", width, percent)).toDF("sid", "comp"))
+    large = durable(_blocks(together).filter("blocks > 1"))
+    if not large.isEmpty():
+        sketches = stored(texts(together.join(large, "comp")).mapInArrow(_sketches_of(width, percent), "comp long, sid long, band int, n long, sketch binary"))
+        blocks = sketches.groupBy("comp", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(SKETCHED)).cast("int").alias("blocks"))
+        dealt = _block_pairs(sketches.join(F.broadcast(blocks), ["comp", "band"]))  # a group holds more than BLOCK sets in all, so there are few
+        parts = connected(dealt.groupBy("comp", "band", "i", "j").applyInPandas(_group_sketches(percent), "a long, b long"))
+        together = durable(together.join(large, "comp", "left_anti").select("sid", "comp").union(parts.toDF("sid", "comp")))
+    sets = texts(together.join(_blocks(together), "comp")).mapInArrow(_shingles_of(width), "comp long, sid long, blocks int, shingles binary")
+    links = _block_pairs(sets).groupBy("comp", "i", "j").applyInPandas(_group_links(percent), "a long, b long")
     roots = connected(links).toDF("sid", "root")
     placed = thin.join(roots, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     return durable(placed.select("key", "content", "n", "label"))

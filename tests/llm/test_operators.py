@@ -424,6 +424,57 @@ def test_tree_links_by_brute_force():
     assert [forest.find(i) for i in range(80)] == [brute.find(i) for i in range(80)]
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(9)
+    sets = []
+    for size in (1, 5, 60, 64, 300):
+        base = rng.integers(0, 1 << 62, 2 * size).astype(np.uint64)
+        sets += [np.unique(rng.choice(base, max(1, int(size * rng.uniform(0.8, 1.2))), replace=False)) for _ in range(20)]
+        sets += [np.unique(np.r_[base[: size], rng.integers(0, 1 << 62, k).astype(np.uint64)]) for k in range(size // 2)]
+    sets.sort(key=len)
+    n = np.array([len(x) for x in sets])
+    for percent in (50, 80, 85):
+        label = jaccard.sketch_links(n, [jaccard.sketch(x) for x in sets], percent)
+        brute = jaccard.Forest(len(sets))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                    assert label[i] == label[j]
+                    brute.join(i, j)
+        assert len(set(label.tolist())) > 20 or percent == 50
+        assert len(set(label.tolist())) <= len({brute.find(i) for i in range(len(sets))})
+
+
+def test_chains_of_candidates_are_split_before_sets_travel(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "SKETCHED", 16, raising=False)
+    compare = jaccard._group_links
+
+    def noted(percent):
+        run, to = compare(percent), str(tmp_path)
+
+        def each(pdf):
+            with open(f"{to}/{pdf.sid.min()}-{pdf.i.iloc[0]}-{pdf.j.iloc[0]}", "w") as f:
+                f.write(str(pdf.sid.nunique()))
+            return run(pdf)
+
+        return each
+
+    monkeypatch.setattr(jaccard, "_group_links", noted)
+    rng = random.Random(12)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(150)
+    texts = [own(40) + passage + own(40) for _ in range(120)]  # one group of candidates by signatures of the passage
+    texts += [t[:20] + ["z"] + t[21:] for t in texts[:10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (130, None), (131, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert counted(jaccard.jaccard_components(docs, width=5, percent=80).collect()) == brute_components(rows, 5, 80)
+    sent = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sent) == 20  # the near copies and their sources, not all sets for each block
+
+
 def test_connected(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(5, 9), (9, 1), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}
